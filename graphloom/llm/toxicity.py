@@ -23,9 +23,12 @@ from .common import small_batches, text_bytes
 
 BITS = 20
 #: Most labelled documents read for training, and most features of one of them.
-TRAIN_ROWS = 12_000
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 1.0, 1.0
-EPOCHS = 3
+TRAIN_ROWS = 15_000
+ALPHA, BETA, L2 = 1.0, 1.0, 1.0
+#: The L1 term is the number of training rows over ROWS_PER_L1, within bounds:
+#: a feature has to recur in a share of the sample to get a weight.
+ROWS_PER_L1, L1_LEAST, L1_MOST = 155, 1.5, 60.0
+EPOCHS = 5
 STRIP = b"".join(bytes([c]) for c in range(33, 127) if not chr(c).isalnum())
 
 
@@ -51,13 +54,14 @@ def slots(text: bytes | None, words: dict[bytes, int]) -> np.ndarray:
 def train(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
     """Slots and weights that are not zero, and the bias."""
     n_slots = 1 << BITS
+    l1 = min(max(len(rows) / ROWS_PER_L1, L1_LEAST), L1_MOST)
     z, n = np.zeros(n_slots + 1), np.zeros(n_slots + 1)
     positive = sum(y for _, y in rows)
     weight = (1.0, min(20.0, (len(rows) - positive) / positive)) if positive else (1.0, 1.0)
 
     def weights(i: np.ndarray) -> np.ndarray:
-        w = -(z[i] - np.sign(z[i]) * L1) / ((BETA + np.sqrt(n[i])) / ALPHA + L2)
-        w[np.abs(z[i]) <= L1] = 0.0
+        w = -(z[i] - np.sign(z[i]) * l1) / ((BETA + np.sqrt(n[i])) / ALPHA + L2)
+        w[np.abs(z[i]) <= l1] = 0.0
         return w
 
     for epoch in range(epochs):
