@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup as dedup
-from . import language, mixing, packing, quality, toxicity, warc
+from . import language, mixing, packing, pii, quality, toxicity, warc
 from .common import fold
 
 
@@ -51,6 +51,16 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, model, keep=["doc_id"])
 
 
+#: Not a secret of anyone's; a deployment brings its own.
+PII_KEY = "graphloom-demonstration-key"
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    out = pii.replace(docs, PII_KEY)
+    return out.select("doc_id", *[F.col(f"pii.{t}").cast("long").alias(f"n_{t}") for t in pii.PATTERNS], "text")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     back = warc.round_trip(pages)
@@ -71,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_quality": op6_quality,
+    "op7_pii": op7_pii,
     "op9_warc": op9_warc,
     "op10_toxicity": op10_toxicity,
 }
