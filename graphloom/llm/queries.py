@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup as dedup
-from . import language, mixing, packing, pii, quality, toxicity, warc
+from . import language, mixing, packing, pii, quality, substring_dedup, toxicity, warc
 from .common import fold
 
 
@@ -61,6 +61,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[F.col(f"pii.{t}").cast("long").alias(f"n_{t}") for t in pii.PATTERNS], "text")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(_docs(spark, sf_dir).select("doc_id", "text"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     back = warc.round_trip(pages)
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op6_quality": op6_quality,
     "op7_pii": op7_pii,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_warc": op9_warc,
     "op10_toxicity": op10_toxicity,
 }
