@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 FLUSH = 500_000
 PAIRS_PER_PARTITION = 1_500_000
 BUCKETS_PER_PARTITION = 4
-SCHEMA = "bucket int, keys binary, ids binary"
+SCHEMA = "bucket int, high binary, low binary, first long, ids binary"
 
 
 def partitions_for(df: DataFrame, pairs: float) -> int:
@@ -29,7 +29,11 @@ def partitions_for(df: DataFrame, pairs: float) -> int:
 
 
 def packed(df: DataFrame, pairs: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], partitions: int) -> DataFrame:
-    """``pairs`` maps a batch to keys (uint64) and ids (int64) of one length."""
+    """``pairs`` maps a batch to keys (uint64) and ids (int64) of one length.
+
+    Keys travel as arrays of their upper and lower halves, ids as differences,
+    so that what varies little within a bucket compresses away.
+    """
     buckets = partitions * BUCKETS_PER_PARTITION
 
     def rows(keys: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
@@ -40,7 +44,13 @@ def packed(df: DataFrame, pairs: Callable[[pa.RecordBatch], tuple[np.ndarray, np
         starts = np.concatenate([[0], edges])
         ends = np.concatenate([edges, [len(bucket)]])
         cut = list(zip(starts.tolist(), ends.tolist(), strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(bucket[starts], pa.int32()), pa.array([keys[a:b].tobytes() for a, b in cut], pa.binary()), pa.array([ids[a:b].tobytes() for a, b in cut], pa.binary())], names=["bucket", "keys", "ids"])
+        high, low = (keys >> np.uint64(32)).astype(np.uint32), (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        step = np.diff(ids, prepend=ids[:1])
+        step[starts] = 0
+        small = bool(len(step)) and step.min() >= -(1 << 31) and step.max() < 1 << 31
+        step = step.astype(np.int32) if small else step
+        # The upper bytes of the keys vary little within a bucket and compress away.
+        return pa.RecordBatch.from_arrays([pa.array(bucket[starts], pa.int32()), pa.array([high[a:b].tobytes() for a, b in cut], pa.binary()), pa.array([low[a:b].tobytes() for a, b in cut], pa.binary()), pa.array(ids[starts], pa.int64()), pa.array([step[a:b].tobytes() for a, b in cut], pa.binary())], names=["bucket", "high", "low", "first", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -62,9 +72,8 @@ def by_bucket(df: DataFrame, use: Callable[[np.ndarray, np.ndarray], Iterator[pa
     each, and yields batches of ``schema``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(parts: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
-            keys = np.frombuffer(b"".join(p[0] for p in parts), np.uint64)
-            ids = np.frombuffer(b"".join(p[1] for p in parts), np.int64)
+        def done(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            keys, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.lexsort((ids, keys))
             keys, ids = keys[order], ids[order]
             new = np.ones(len(keys), bool)
@@ -73,12 +82,14 @@ def by_bucket(df: DataFrame, use: Callable[[np.ndarray, np.ndarray], Iterator[pa
 
         at, parts = None, []
         for b in batches:
-            for bucket, keys, ids in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for bucket, high, low, first, step in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if bucket != at and parts:
                     yield from done(parts)
                     parts = []
                 at = bucket
-                parts.append((keys, ids))
+                keys = np.frombuffer(high, np.uint32).astype(np.uint64) << np.uint64(32) | np.frombuffer(low, np.uint32).astype(np.uint64)
+                steps = np.frombuffer(step, np.int32 if len(step) == len(high) else np.int64)
+                parts.append((keys, first + np.cumsum(steps, dtype=np.int64)))
         if parts:
             yield from done(parts)
 

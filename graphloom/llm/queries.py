@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup as dedup
-from . import language, mixing, packing, pii, quality, substring_dedup, toxicity, warc
+from . import language, mixing, packing, partenum, pii, quality, substring_dedup, toxicity, warc
 from .common import fold
 
 
@@ -51,6 +51,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, model, keep=["doc_id"])
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.near_duplicates(_docs(spark, sf_dir).select("doc_id", "text"))
+
+
 #: Not a secret of anyone's; a deployment brings its own.
 PII_KEY = "graphloom-demonstration-key"
 
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_language_id": op3_language_id,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_quality": op6_quality,
     "op7_pii": op7_pii,
     "op8_substring_dedup": op8_substring_dedup,
