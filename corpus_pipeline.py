@@ -1,9 +1,10 @@
 """A corpus pipeline of five operators, each on all that the one before kept.
 
 Language ID drops rows whose language it rejects, exact dedup and the n-gram
-Jaccard join keep one row of each group, mixing repeats or drops rows to meet
-its sources' targets, and packing cuts what is left into sequences. All stages
-but the last return the columns of ``documents``.
+Jaccard join keep one row of each group (the smallest id), mixing repeats or
+drops rows to meet its sources' targets, and packing cuts what is left into
+sequences of tokens. All stages but the last return the columns of
+``documents``. A document that mixing takes twice is packed twice.
 """
 
 from __future__ import annotations
@@ -11,8 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import exact_dedup, language
+from graphloom.llm import exact_dedup, language, mixing, packing, partenum
 from graphloom.llm.common import fold, new_path
+from graphloom.llm.queries import tokenizer_path
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,9 +26,26 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return exact_dedup.exact_dedup(docs).where("kept").select(*docs.columns)
 
 
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = partenum.near_duplicates(docs)
+    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.repeated(mixing.mix(docs), docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, tokenizer_path())
+
+
 STAGES = [
     ("language_id", language_stage),
     ("exact_dedup", exact_dedup_stage),
+    ("ngram_jaccard", near_dedup_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
 ]
 
 #: SQL has neither the compressor nor the tokenizer; tests/llm compares with brute force.
