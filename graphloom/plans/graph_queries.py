@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -297,3 +299,42 @@ def shortest_path_len(spark, d):
 @query()
 def explain_path(spark, d):
     return g.explain_path(edges(spark, d), ["supplier-1", "nation-3", "customer-5", "region-2"])
+
+
+@query(L + "SELECT epistemic_state, provenance, count(*) AS n FROM kg_edges GROUP BY ALL")
+def report_states(spark, d):
+    from ..sources import io
+
+    return io.report_parts(nodes(spark, d), edges(spark, d))["states"]
+
+
+@query(L + "SELECT community, count(*) AS members, (SELECT string_agg(id, ', ' ORDER BY id) FROM (SELECT id FROM kg_nodes x WHERE x.community = n.community ORDER BY id LIMIT 8)) AS first_members FROM kg_nodes n GROUP BY community")
+def report_communities(spark, d):
+    from ..sources import io
+
+    return io.report_parts(nodes(spark, d), edges(spark, d))["communities"]
+
+
+@query(L + "SELECT count(*) AS n FROM (SELECT source AS id FROM kg_edges UNION SELECT target FROM kg_edges UNION SELECT id FROM kg_nodes)")
+def viewer_nodes(spark, d):
+    from ..sources import io
+
+    return io.viewer_data(nodes(spark, d), edges(spark, d))[0].agg(F.count("*").alias("n"))
+
+
+@query(L + "SELECT id, epistemic_state FROM kg_edges WHERE epistemic_state IN ('failed', 'rejected') ORDER BY id LIMIT 50")
+def report_failures(spark, d):
+    from ..sources import io
+
+    return io.report_parts(nodes(spark, d), edges(spark, d))["failures"].select("id", "epistemic_state")
+
+
+@query(L + "SELECT id, source, target FROM kg_edges")
+def graph_json_round_trip(spark, d):
+    from ..operators.checkpoint import shared_dir
+    from ..sources import io
+
+    n, e = nodes(spark, d), edges(spark, d)
+    path = f"{shared_dir(spark)}/graphloom/graph-{uuid.uuid4().hex}"
+    io.write_graph_json(n, e, path)
+    return io.read_graph_json(spark, path, n, e)[1].select("id", "source", "target")
