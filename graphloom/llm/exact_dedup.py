@@ -25,6 +25,7 @@ from .common import SPACE, stored
 SLOTS_PER_ROW = 16
 MIN_SLOTS, MAX_SLOTS = 1 << 16, 1 << 26
 HASHES = 2
+OUT = ("keep_id", "group_size", "kept", "text_sha256")
 
 
 def normalised(column: str = "text") -> Column:
@@ -49,9 +50,10 @@ def repeated_slots(hashes: DataFrame, m: int) -> DataFrame:
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Columns ``carry`` (all by default), ``keep_id``, ``group_size``, ``kept``
-    and ``text_sha256`` for every row, dropped ones too."""
-    carry = df.columns if carry is None else carry
-    base = df.select(*carry, *([] if id_col in carry else [id_col]), text_sha256(text_col).alias("_sha"))
+    and ``text_sha256`` for every row, dropped ones too. Carried columns with
+    the name of one of these give way to it."""
+    carry = [c for c in (df.columns if carry is None else carry) if c not in OUT]
+    base = df.select(F.struct(*carry).alias("_row"), F.col(id_col).alias("_id"), text_sha256(text_col).alias("_sha"))
     if text_col in carry:
         hashes = stored(base.select("_sha"), "dedup-hashes")
     else:
@@ -66,13 +68,12 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
         for s in _slots(F.col("_sha"), m):
             maybe = maybe & (F.bit_get(F.get(bitmap, F.shiftright(s, 6).cast("int")), s.bitwiseAND(63).cast("int")) == 1)
     marked = base.withColumn("_maybe", maybe)
-    cols = [F.col(c) for c in carry]
-    single = marked.where(~F.col("_maybe")).select(*cols, F.col(id_col).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("_sha").alias("text_sha256"))
+    single = marked.where(~F.col("_maybe")).select("_row.*", F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("_sha").alias("text_sha256"))
     some = marked.where("_maybe").drop("_maybe")
-    groups = some.groupBy("_sha").agg(F.count("*").alias("group_size"), F.min(id_col).alias("keep_id"))
-    first = F.col(id_col).eqNullSafe(F.col("keep_id"))
+    groups = some.groupBy("_sha").agg(F.count("*").alias("group_size"), F.min("_id").alias("keep_id"))
+    first = F.col("_id").eqNullSafe(F.col("keep_id"))
     # Rows that tie for first are ranked; the others are only dealt out evenly.
     tie = Window.partitionBy(F.xxhash64("_sha"), "_deal").orderBy(F.lit(1))
-    joined = some.join(groups, "_sha").withColumn("_first", first).withColumn("_deal", F.when(F.col("_first"), -1).otherwise(F.pmod(F.xxhash64(id_col), F.lit(1024))))
+    joined = some.join(groups, "_sha").withColumn("_first", first).withColumn("_deal", F.when(F.col("_first"), -1).otherwise(F.pmod(F.xxhash64("_id"), F.lit(1024))))
     grouped = joined.withColumn("kept", F.col("_first") & (F.row_number().over(tie) == 1))
-    return single.unionByName(grouped.select(*cols, "keep_id", "group_size", "kept", F.col("_sha").alias("text_sha256")))
+    return single.unionByName(grouped.select("_row.*", "keep_id", "group_size", "kept", F.col("_sha").alias("text_sha256")))

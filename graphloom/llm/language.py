@@ -85,7 +85,7 @@ def predict(df: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text
     """``keep`` (all columns by default) with ``lang_pred``, ``score`` and ``margin``."""
     spark = df.sparkSession
     small_batches(spark)
-    keep = df.columns if keep is None else keep
+    keep = [c for c in (df.columns if keep is None else keep) if c not in ("lang_pred", "score", "margin")]  # clashing names give way
     model = spark.sparkContext.broadcast(dictionaries)  # bounded, see fit()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +95,7 @@ def predict(df: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text
             new = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.float64())]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *new], names=[*b.schema.names[:-1], "lang_pred", "score", "margin"])
 
-    source = df.select(*keep, text_bytes(text_col).alias("_bytes"))
+    source = df.select(*keep, text_bytes(text_col).alias("_graphloom_bytes"))
     schema = df.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("margin", "double")
     return source.mapInArrow(run, schema)
 

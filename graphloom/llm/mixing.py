@@ -39,6 +39,7 @@ CAP = 3.0
 BANDS = 48
 ITERATIONS = 60
 TOLERANCE = 1e-7
+OUT = ("size", "source_size", "target", "rate", "copies", "taken")
 #: Strength of the soft constraints on bands.
 SOFT = 4.0
 
@@ -163,9 +164,10 @@ def _round(cap: float):
 
 def mix(df: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
     """Columns ``carry`` (all by default) with ``size``, ``source_size``,
-    ``target``, ``rate``, ``copies`` and ``taken`` = copies * size, a row each."""
-    carry = df.columns if carry is None else carry
-    base = df.select(*carry, F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")).alias("_source"), F.col(id_col).alias("_id"), word_count(text_col).alias("size"))
+    ``target``, ``rate``, ``copies`` and ``taken`` = copies * size, a row each.
+    Carried columns with the name of one of these give way to it."""
+    carry = [c for c in (df.columns if carry is None else carry) if c not in OUT]
+    base = df.select(F.struct(*carry).alias("_row"), F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")).alias("_source"), F.col(id_col).alias("_id"), word_count(text_col).alias("size"))
     if text_col not in carry:
         base = stored(base, "mix-sizes")
     counts = stored(base.groupBy(F.col("_source").alias("source"), "size").agg(F.count("*").alias("n")), "mix-cells")
@@ -188,7 +190,7 @@ def mix(df: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), text_col: s
     zero = joined["_size"].isNull()
     joined = joined.join(sizes, joined["_source"] == sizes["_s"], "left")
     copies = F.when(zero, F.lit(1)).otherwise(F.col("base") + (F.col("rank") <= F.col("extra")).cast("long")).cast("int")
-    out = joined.select(*[ranked[c] for c in carry], ranked["size"].cast("long").alias("size"), F.col("_z").cast("long").alias("source_size"), F.col("_t").cast("double").alias("target"), F.coalesce("rate", F.lit(1.0)).alias("rate"), copies.alias("copies"))
+    out = joined.select("_row.*", ranked["size"].cast("long").alias("size"), F.col("_z").cast("long").alias("source_size"), F.col("_t").cast("double").alias("target"), F.coalesce("rate", F.lit(1.0)).alias("rate"), copies.alias("copies"))
     return out.withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
 
 

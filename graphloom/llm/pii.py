@@ -202,12 +202,15 @@ def choose_round(df: DataFrame, key: str, text_col: str = "text") -> int:
 
 
 def replace(df: DataFrame, key: str, text_col: str = "text", check: bool = True) -> DataFrame:
-    """``df`` with its text's entities replaced, and ``pii``: how many of each type."""
+    """``df`` with its text's entities replaced, and ``pii``: how many
+    of each type; a column of that name gives way."""
     turn = choose_round(df, key, text_col) if check else 0
-    found = df.withColumn("_e", F.coalesce(entities(F.col(text_col)), F.array().cast("array<string>")))
+    text = F.col("_row")[text_col]
+    found = df.select(F.struct(*df.columns).alias("_row")).withColumn("_e", F.coalesce(entities(text), F.array().cast("array<string>")))
     new = F.transform("_e", lambda e: surrogate(e, key, turn))
-    joined = F.array_join(F.zip_with(_pieces(F.col(text_col)), new, lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
+    joined = F.array_join(F.zip_with(_pieces(text), new, lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
     kinds = F.transform("_e", kind)
     count = lambda t: F.size(F.filter(kinds, lambda k: k == t))
-    out = found.withColumn("_text", F.when(F.size("_e") == 0, F.col(text_col)).otherwise(joined)).withColumn("pii", F.struct(*[count(t).alias(t) for t in PATTERNS]))
-    return out.drop("_e", text_col).withColumnRenamed("_text", text_col).select(*df.columns, "pii")
+    out = F.when(F.size("_e") == 0, text).otherwise(joined).alias(text_col)
+    kept = [out if c == text_col else F.col("_row")[c].alias(c) for c in df.columns if c != "pii"]
+    return found.select(*kept, F.struct(*[count(t).alias(t) for t in PATTERNS]).alias("pii"))

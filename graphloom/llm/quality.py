@@ -161,10 +161,10 @@ def judge(df: DataFrame, model: tuple[np.ndarray, np.ndarray], text_col: str = "
     n_dup_lines, n_repeat_words, base_failed, content_share and kept."""
     spark = df.sparkSession
     small_batches(spark)
-    keep = df.columns if keep is None else keep
     sent = spark.sparkContext.broadcast(model)  # a few numbers
     new = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean"
     names = [x.split()[0] for x in new.split(", ")]
+    keep = [c for c in (df.columns if keep is None else keep) if c not in names]  # clashing names give way
     types = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,4 +184,4 @@ def judge(df: DataFrame, model: tuple[np.ndarray, np.ndarray], text_col: str = "
     schema = df.select(*keep).schema
     for x in new.split(", "):
         schema = schema.add(*x.split())
-    return df.select(*keep, text_bytes(text_col).alias("_bytes")).mapInArrow(run, schema)
+    return df.select(*keep, text_bytes(text_col).alias("_graphloom_bytes")).mapInArrow(run, schema)

@@ -103,7 +103,7 @@ def score(df: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col:
     """``keep`` (all columns by default) with ``score``, 0 to 1, for whole texts."""
     spark = df.sparkSession
     small_batches(spark)
-    keep = df.columns if keep is None else keep
+    keep = [c for c in (df.columns if keep is None else keep) if c not in ("score",)]  # clashing names give way
     sent = spark.sparkContext.broadcast(model)  # at most 2**BITS weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,4 +118,4 @@ def score(df: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col:
                 got.append(1.0 / (1.0 + np.exp(-np.clip(float(np.sort(table[i].astype(np.float64)).sum()) + bias, -35, 35))))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(got, pa.float64())], names=[*b.schema.names[:-1], "score"])
 
-    return df.select(*keep, text_bytes(text_col).alias("_bytes")).mapInArrow(run, df.select(*keep).schema.add("score", "double"))
+    return df.select(*keep, text_bytes(text_col).alias("_graphloom_bytes")).mapInArrow(run, df.select(*keep).schema.add("score", "double"))
