@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Device names that a file may not have.
 RESERVED = ("con", "prn", "aux", "nul", "com1", "com2", "com3", "com4", "com5", "com6", "com7", "com8", "com9", "lpt1", "lpt2", "lpt3", "lpt4", "lpt5", "lpt6", "lpt7", "lpt8", "lpt9")
@@ -44,7 +45,7 @@ def normalize_py(text: str | None) -> str | None:
     return " ".join(t.split()).casefold()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize_udf(s: pd.Series) -> pd.Series:
     return s.map(normalize_py)
 
