@@ -14,7 +14,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 FLUSH = 500_000
 PAIRS_PER_PARTITION = 1_500_000
@@ -28,30 +27,31 @@ def partitions_for(df: DataFrame, pairs: float) -> int:
     return min(16_000, max(least, int(pairs / PAIRS_PER_PARTITION) + 1))
 
 
+def rows_of(keys: np.ndarray, ids: np.ndarray, partitions: int) -> pa.RecordBatch:
+    """Pairs as rows of SCHEMA, one per bucket."""
+    buckets = partitions * BUCKETS_PER_PARTITION
+    bucket = ((keys >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    bucket, keys, ids = bucket[order], keys[order], ids[order]
+    edges = np.flatnonzero(np.diff(bucket)) + 1
+    starts = np.concatenate([[0], edges])
+    ends = np.concatenate([edges, [len(bucket)]])
+    cut = list(zip(starts.tolist(), ends.tolist(), strict=True))
+    high, low = (keys >> np.uint64(32)).astype(np.uint32), (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    step = np.diff(ids, prepend=ids[:1])
+    step[starts] = 0
+    small = bool(len(step)) and step.min() >= -(1 << 31) and step.max() < 1 << 31
+    step = step.astype(np.int32) if small else step
+    # The upper bytes of the keys vary little within a bucket and compress away.
+    return pa.RecordBatch.from_arrays([pa.array(bucket[starts], pa.int32()), pa.array([high[a:b].tobytes() for a, b in cut], pa.binary()), pa.array([low[a:b].tobytes() for a, b in cut], pa.binary()), pa.array(ids[starts], pa.int64()), pa.array([step[a:b].tobytes() for a, b in cut], pa.binary())], names=["bucket", "high", "low", "first", "ids"])
+
+
 def packed(df: DataFrame, pairs: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], partitions: int) -> DataFrame:
     """``pairs`` maps a batch to keys (uint64) and ids (int64) of one length.
 
     Keys travel as arrays of their upper and lower halves, ids as differences,
     so that what varies little within a bucket compresses away.
     """
-    buckets = partitions * BUCKETS_PER_PARTITION
-
-    def rows(keys: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-        bucket = ((keys >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        bucket, keys, ids = bucket[order], keys[order], ids[order]
-        edges = np.flatnonzero(np.diff(bucket)) + 1
-        starts = np.concatenate([[0], edges])
-        ends = np.concatenate([edges, [len(bucket)]])
-        cut = list(zip(starts.tolist(), ends.tolist(), strict=True))
-        high, low = (keys >> np.uint64(32)).astype(np.uint32), (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        step = np.diff(ids, prepend=ids[:1])
-        step[starts] = 0
-        small = bool(len(step)) and step.min() >= -(1 << 31) and step.max() < 1 << 31
-        step = step.astype(np.int32) if small else step
-        # The upper bytes of the keys vary little within a bucket and compress away.
-        return pa.RecordBatch.from_arrays([pa.array(bucket[starts], pa.int32()), pa.array([high[a:b].tobytes() for a, b in cut], pa.binary()), pa.array([low[a:b].tobytes() for a, b in cut], pa.binary()), pa.array(ids[starts], pa.int64()), pa.array([step[a:b].tobytes() for a, b in cut], pa.binary())], names=["bucket", "high", "low", "first", "ids"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for b in batches:
@@ -59,10 +59,10 @@ def packed(df: DataFrame, pairs: Callable[[pa.RecordBatch], tuple[np.ndarray, np
             held.append((keys, ids))
             n += len(keys)
             if n >= FLUSH:
-                yield rows(*map(np.concatenate, zip(*held, strict=True)))
+                yield rows_of(*map(np.concatenate, zip(*held, strict=True)), partitions)
                 held, n = [], 0
         if n:
-            yield rows(*map(np.concatenate, zip(*held, strict=True)))
+            yield rows_of(*map(np.concatenate, zip(*held, strict=True)), partitions)
 
     return df.mapInArrow(run, SCHEMA)
 
@@ -103,16 +103,27 @@ def groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(new), np.cumsum(new) - 1
 
 
-def per_id(ids: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
-    """``id, keys``: a row per id with its keys packed."""
-    order = np.argsort(ids, kind="stable")
-    ids, keys = ids[order], keys[order]
-    starts, _ = groups(ids)
-    ends = np.append(starts[1:], len(ids))
-    cut = zip(starts.tolist(), ends.tolist(), strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(ids[starts], pa.int64()), pa.array([keys[a:b].tobytes() for a, b in cut], pa.binary())], names=["id", "keys"])
+#: An odd number and its inverse modulo 2**64: ids spread over the buckets and back.
+SPREAD = 0x9E3779B97F4A7C15
+UNSPREAD = pow(SPREAD, -1, 1 << 64)
+
+
+def turned(keys: np.ndarray, ids: np.ndarray, partitions: int) -> pa.RecordBatch:
+    """Pairs packed the other way round, to be brought together by id."""
+    spread = ids.view(np.uint64) * np.uint64(SPREAD)
+    order = np.argsort(spread, kind="stable")
+    return rows_of(spread[order], keys.view(np.int64)[order], partitions)
+
+
+def by_id(df: DataFrame, partitions: int) -> DataFrame:
+    """``id, keys``: one row per id, from pairs packed by ``turned``."""
 
+    def use(spread: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+        starts, _ = groups(spread)
+        ends = np.append(starts[1:], len(spread))
+        ids = (spread[starts] * np.uint64(UNSPREAD)).view(np.int64)
+        for i in range(0, len(starts), 1000):
+            cut = zip(starts[i : i + 1000].tolist(), ends[i : i + 1000].tolist(), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 1000], pa.int64()), pa.array([keys[a:b].tobytes() for a, b in cut], pa.binary())], names=["id", "keys"])
 
-def gathered(df: DataFrame) -> DataFrame:
-    """``id, keys`` with all of an id's keys in one array of packed parts."""
-    return df.groupBy("id").agg(F.collect_list("keys").alias("keys"))
+    return by_bucket(df, use, "id long, keys binary", partitions)

@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, small_batches, stored, text_bytes, windows
-from .packed import by_bucket, gathered, groups, packed, partitions_for, per_id
+from .packed import SCHEMA, by_bucket, by_id, groups, packed, partitions_for, turned
 
 LENGTH, START = 13, 7
-STATE = "id long, done boolean, n_words long, n_removed long, kept_sha256 string, text binary, alive array<binary>"
-_TYPES = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.binary())]
+STATE = "id long, done boolean, n_words long, n_removed long, kept_sha256 string, text binary, alive binary"
+_TYPES = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary()]
 _NAMES = [x.split()[0] for x in STATE.split(", ")]
 
 
@@ -89,7 +89,7 @@ def substring_dedup(df: DataFrame, length: int = LENGTH, start: int = START, tex
                 h = hashes.of(text.split())
                 p = parts(h, length, sizes[0], size)
                 if k:
-                    p = p[np.isin(parts(h, length, sizes[0], sizes[k - 1]), np.frombuffer(b"".join(alive), np.uint64))]
+                    p = p[np.isin(parts(h, length, sizes[0], sizes[k - 1]), np.frombuffer(alive, np.uint64))]
                 p = np.unique(p)
                 keys.append(p)
                 ids.append(np.full(len(p), doc, np.int64))
@@ -102,12 +102,12 @@ def substring_dedup(df: DataFrame, length: int = LENGTH, start: int = START, tex
             ends = np.append(starts[1:], len(keys)) - 1
             on = ids > ids[starts][run] if last else (ids[starts] != ids[ends])[run]
             if on.any():
-                yield per_id(ids[on], keys[on])
+                yield turned(keys[on], ids[on], partitions)
 
         columns = ["id", "text", "alive"] if k else ["id", "text"]
         source = state.select(*columns) if k else state
-        found = by_bucket(packed(source, emit, partitions), repeated, "id long, keys binary", partitions)
-        joined = source.select("id", "text").join(gathered(found), "id", "left")
+        found = by_id(by_bucket(packed(source, emit, partitions), repeated, SCHEMA, partitions), partitions)
+        joined = source.select("id", "text").join(found, "id", "left")
 
         def settle(batches: Iterator[pa.RecordBatch], last=last) -> Iterator[pa.RecordBatch]:
             hashes = WordHashes()
@@ -120,7 +120,7 @@ def substring_dedup(df: DataFrame, length: int = LENGTH, start: int = START, tex
                         continue
                     gone = np.zeros(len(words), bool)
                     if alive is not None:
-                        hit = np.flatnonzero(np.isin(windows(hashes.of(words), length), np.frombuffer(b"".join(alive), np.uint64)))
+                        hit = np.flatnonzero(np.isin(windows(hashes.of(words), length), np.frombuffer(alive, np.uint64)))
                         edge = np.zeros(len(words) + 1, np.int64)
                         np.add.at(edge, hit, 1)
                         np.add.at(edge, hit + length, -1)
