@@ -32,12 +32,12 @@ from pyspark.sql import functions as F
 # What is detected, in order of precedence; at one place the first that fits wins.
 PATTERNS: dict[str, str] = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9\-])",
-    "secret": r"(?<=\b(?i:password|passwd|secret|api_key|apikey|token|pwd)[=:])[^\s\"'@]{6,200}+|(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?=[A-Fa-f]{0,60}[0-9])(?:[0-9a-f]{32,64}+|[0-9A-F]{32,64}+)(?![A-Za-z0-9])",
+    "secret": r"(?<=[=:])(?<=\b(?i:password|passwd|secret|api_key|apikey|token|pwd)[=:])[^\s\"'@]{6,200}+|(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?=[A-Fa-f]{0,60}[0-9])(?:[0-9a-f]{32,64}+|[0-9A-F]{32,64}+)(?![A-Za-z0-9])",
     "phone": r"(?<![0-9+])\+[0-9]{1,3}[ .\-]?\(?[0-9]{2,4}\)?[ .\-]?[0-9]{3,4}[ .\-]?[0-9]{3,4}(?![0-9])|(?<![0-9.\-])\(?[0-9]{3}\)?[ .\-][0-9]{3}[.\-][0-9]{4}(?![0-9])",
     "card": r"(?<![0-9])[0-9]{4}(?:[ \-][0-9]{4}){3}(?![0-9])|(?<![0-9A-Za-z])[0-9]{13,19}(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
-    "name": r"(?<=\b(?:Mr|Mrs|Ms|Herr|Frau|Señor|Señora|Monsieur|Madame|Господин|Госпожа)\.? )\p{Lu}\p{Ll}{1,30}+",
+    "name": r"(?<= )(?=\p{Lu})(?<=\b(?:Mr|Mrs|Ms|Herr|Frau|Señor|Señora|Monsieur|Madame|Господин|Госпожа)\.? )\p{Lu}\p{Ll}{1,30}+",
 }
 FEMALE = r"(?:Mrs|Ms|Frau|Señora|Madame|Госпожа)\.? $"
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -164,26 +164,37 @@ def surrogate(entity: Column, key: str, turn: int = 0) -> Column:
     base = [F.lit(key), F.lit(turn)]
     of = lambda t: [*base, F.lit(t)]
     country = F.when(entity.startswith("+"), F.length(F.regexp_extract(entity, r"^\+([0-9]{1,3}?)(?:[ .\-(]|[0-9]{10}$)", 1))).otherwise(0)
+    kept = F.when(k == "phone", country).when(k == "card", 1).otherwise(0)
     return (
         F.when(k == "email", _email(entity, of("email")))
-        .when(k == "phone", _digits(entity, country, of("phone")))
-        .when(k == "card", _digits(entity, F.lit(1), of("card")))
-        .when(k == "ssn", _digits(entity, F.lit(0), of("ssn")))
+        .when(k.isin("phone", "card", "ssn"), _digits(entity, kept, [*base, k]))
         .when(k == "ip", _ip(entity, of("ip")))
         .when(k == "name", _name(F.substring(entity, 3, 64), entity.startswith("f:"), of("name")))
         .otherwise(_alike(entity, _stream(of("secret"), entity)))
     )
 
 
-def _pieces(text: Column) -> Column:
-    return F.split(text, ENTITY, -1)
+TITLES = ("Mr", "Ms", "Herr", "Frau", "Señor", "Monsieur", "Madame", "Госп")
+
+
+def _split(text: Column) -> Column:
+    """``e``, the entities in order (names with their gender), and ``p``, the text
+    around them; null where there is none. Texts without a digit, an at-sign, a
+    colon, an equals sign or a title cannot have any and are not searched; each
+    pattern runs once on the others."""
+    maybe = text.rlike("[0-9@=:]")
+    for t in TITLES:
+        maybe = maybe | text.contains(t)
+    title = r"(?:Mr|Mrs|Ms|Herr|Frau|Señor|Señora|Monsieur|Madame|Господин|Госпожа)\.? $"
+    named = lambda e, before: F.when(e.rlike(r"^\p{Lu}\p{Ll}+$") & before.rlike(title), F.concat(F.when(before.rlike(FEMALE), "f:").otherwise("m:"), e)).otherwise(e)
+    pair = lambda s: F.struct(F.zip_with(s["f"], F.slice(s["p"], 1, F.size(s["f"])), named).alias("e"), s["p"].alias("p"))
+    cut = lambda f: F.when(F.size(f) > 0, _let(F.struct(f.alias("f"), F.split(text, ENTITY, -1).alias("p")), pair))
+    return F.when(maybe, _let(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)), cut))
 
 
 def entities(text: Column) -> Column:
-    """The entities of a text in order, names with their gender."""
-    found, around = F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)), _pieces(text)
-    named = lambda e, before: F.when(before.rlike(r"(?:Mr|Mrs|Ms|Herr|Frau|Señor|Señora|Monsieur|Madame|Господин|Госпожа)\.? $") & e.rlike(r"^\p{Lu}\p{Ll}+$"), F.concat(F.when(before.rlike(FEMALE), "f:").otherwise("m:"), e)).otherwise(e)
-    return F.zip_with(found, F.slice(around, 1, F.size(found)), named)
+    """The entities of a text in order; null if it has none."""
+    return _split(text)["e"]
 
 
 def collisions(df: DataFrame, key: str, turn: int, text_col: str = "text") -> DataFrame:
@@ -206,11 +217,10 @@ def replace(df: DataFrame, key: str, text_col: str = "text", check: bool = True)
     of each type; a column of that name gives way."""
     turn = choose_round(df, key, text_col) if check else 0
     text = F.col("_row")[text_col]
-    found = df.select(F.struct(*df.columns).alias("_row")).withColumn("_e", F.coalesce(entities(text), F.array().cast("array<string>")))
-    new = F.transform("_e", lambda e: surrogate(e, key, turn))
-    joined = F.array_join(F.zip_with(_pieces(text), new, lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
-    kinds = F.transform("_e", kind)
-    count = lambda t: F.size(F.filter(kinds, lambda k: k == t))
-    out = F.when(F.size("_e") == 0, text).otherwise(joined).alias(text_col)
+    join = lambda s: F.array_join(F.zip_with(s["p"], F.transform(s["e"], lambda e: surrogate(e, key, turn)), lambda p, x: F.concat(p, F.coalesce(x, F.lit("")))), "")
+    done = F.struct(_let(_split(text), lambda s: F.struct(F.when(s["p"].isNotNull(), join(s)).alias("text"), F.coalesce(F.transform(s["e"], kind), F.array().cast("array<string>")).alias("kinds"))).alias("x"))
+    found = df.select(F.struct(*df.columns).alias("_row")).withColumn("_x", done["x"])
+    count = lambda t: F.size(F.filter(F.col("_x.kinds"), lambda k: k == t))
+    out = F.coalesce(F.col("_x.text"), text).alias(text_col)
     kept = [out if c == text_col else F.col("_row")[c].alias(c) for c in df.columns if c != "pii"]
     return found.select(*kept, F.struct(*[count(t).alias(t) for t in PATTERNS]).alias("pii"))
