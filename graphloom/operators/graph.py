@@ -57,31 +57,48 @@ def community_stats(nodes: DataFrame, adj: DataFrame) -> DataFrame:
     return nodes.groupBy("community").agg(F.count("*").alias("members")).join(inner, "community", "left").select("community", "members", F.coalesce("internal", F.lit(0)).alias("internal"))
 
 
-def communities(nodes: DataFrame, adj: DataFrame, rounds: int = 20, resolution: float = 1.0) -> DataFrame:
-    """``id, community``: deterministic label propagation weighted against size.
-
-    Every round each node takes the label most of its neighbours have, less
-    ``resolution`` times the label's expected share under random wiring, ties
-    to the smaller label; only half of the nodes, by hash, move at a time, so
-    labels do not swap for ever. Each round is a join and two aggregations and
-    is written before the next. A label is its smallest member in the end.
+def _local_moves(graph: DataFrame, rounds: int, resolution: float) -> tuple[DataFrame, bool]:
+    """``id, label`` after rounds of moves on weighted ends ``u, v, w``, and
+    whether any node moved. Each round another half of the nodes may move, so
+    neighbours do not swap labels for ever."""
+    deg = stored(graph.groupBy(F.col("u").alias("id")).agg(F.sum("w").alias("d")), "degrees")
+    total = deg.agg(F.sum("d")).first()[0] or 1
+    state, any_moved, still = stored(deg.select("id", F.col("id").alias("label")), "labels"), False, 0
+    for i in range(rounds):
+        weight = state.join(deg, "id").groupBy("label").agg(F.sum("d").alias("lw"))
+        near = graph.where("u <> v").join(state.toDF("v", "label"), "v").groupBy("u", "label").agg(F.sum("w").alias("n"))
+        own = state.select(F.col("id").alias("u"), "label", F.lit(0.0).alias("n"))
+        votes = near.unionByName(own).groupBy("u", "label").agg(F.sum("n").alias("n")).join(weight, "label").join(deg.toDF("u", "d"), "u").join(state.toDF("u", "old"), "u")
+        rest = F.col("lw") - F.when(F.col("label") == F.col("old"), F.col("d")).otherwise(0.0)
+        gain = F.round(F.col("n") - resolution * F.col("d") * rest / total, 9)
+        best = votes.groupBy("u").agg(F.min(F.struct((-gain).alias("g"), (F.col("label") != F.col("old")).alias("moved"), "label")).alias("b"), F.first("old").alias("old"))
+        turn = F.pmod(F.xxhash64("u", F.lit(i)), F.lit(2)) == 0
+        after = stored(best.select(F.col("u").alias("id"), F.when(turn, F.col("b.label")).otherwise(F.col("old")).alias("label"), "old"), "labels")
+        moved = after.where("label <> old").count() > 0
+        state, any_moved, still = after.select("id", "label"), any_moved or moved, 0 if moved else still + 1
+        if still == 3:
+            break
+    return state, any_moved
+
+
+def communities(nodes: DataFrame, adj: DataFrame, rounds: int = 16, resolution: float = 1.0, levels: int = 6) -> DataFrame:
+    """``id, community``: modularity by local moves and contraction.
+
+    A node takes the label with the most edges to it beyond what its degree
+    lets expect, ties to staying and then to the smaller label. Labels then
+    become nodes, and it starts again, until nothing moves. All of it is joins
+    and aggregations, each round written before the next. A community is named
+    by its smallest member; isolated nodes are their own.
     """
+    graph = stored(adj.select("u", "v", F.lit(1.0).alias("w")), "graph")
     state = stored(nodes.select("id", F.col("id").alias("label")), "labels")
-    deg = stored(adj.groupBy(F.col("u").alias("id")).agg(F.count("*").alias("d")), "degrees")
-    total = max(1, deg.agg(F.sum("d")).first()[0] or 1)
-    for i in range(rounds):
-        weight = state.join(deg, "id").groupBy("label").agg(F.sum("d").alias("w"))
-        votes = adj.join(state.toDF("v", "label"), "v").groupBy("u", "label").agg(F.count("*").alias("n")).join(weight, "label").join(deg.toDF("u", "d"), "u")
-        gain = F.col("n") - resolution * F.col("d") * F.col("w") / total
-        best = votes.groupBy("u").agg(F.max_by("label", F.struct(F.round(gain, 9), -F.hash("label"), "label")).alias("new")).withColumnRenamed("u", "id")
-        moves = F.pmod(F.xxhash64("id"), F.lit(2)) == i % 2
-        after = state.join(best, "id", "left").select("id", F.when(moves, F.coalesce("new", "label")).otherwise(F.col("label")).alias("label"), "label")
-        after = after.toDF("id", "label", "old")
-        after = stored(after, "labels")
-        changed = after.where("label <> old").count()
-        state = after.select("id", "label")
-        if not changed and i:
+    for _ in range(levels):
+        moves, moved = _local_moves(graph, rounds, resolution)
+        if not moved:
             break
+        state = stored(state.join(moves.toDF("label", "new"), "label", "left").select("id", F.coalesce("new", "label").alias("label")), "labels")
+        ends = graph.join(moves.toDF("u", "lu"), "u").join(moves.toDF("v", "lv"), "v")
+        graph = stored(ends.groupBy(F.col("lu").alias("u"), F.col("lv").alias("v")).agg(F.sum("w").alias("w")), "graph")
     names = state.groupBy("label").agg(F.min("id").alias("community"))
     return state.join(names, "label").select("id", "community")
 
