@@ -115,7 +115,7 @@ def transplant(nodes: DataFrame, adj: DataFrame, edges: DataFrame) -> DataFrame:
     absorb = F.round(F.col("spec") / (density + 1e-6), 6)
     goal = stats.join(F.broadcast(hub.select("hc")), stats["community"] != F.col("hc")).select(F.col("community").alias("tc"), absorb.alias("absorb")).orderBy(F.desc("absorb"), F.desc("tc")).limit(1)
     to = real.join(F.broadcast(goal), real["community"] == F.col("tc")).select(F.col("id").alias("target"), "degree", "absorb")
-    out = to.crossJoin(F.broadcast(hub)).crossJoin(F.broadcast(rel)).where("source <> target").withColumn("score", F.col("hd") * F.col("absorb") * (F.col("degree") + 1))
+    out = to.crossJoin(F.broadcast(hub)).crossJoin(F.broadcast(rel)).where("source <> target").withColumn("score", F.round(F.col("hd") * F.col("absorb") * (F.col("degree") + 1), 2))
     return _shape(out.join(adj.toDF("source", "target"), ["source", "target"], "left_anti"), "transplant")
 
 

@@ -214,7 +214,7 @@ def gen_regroup(spark, d):
 rel AS (SELECT relation FROM kg_edges WHERE source = (SELECT id FROM hub) GROUP BY relation ORDER BY count(*) DESC, relation LIMIT 1),
 cs AS (SELECT c.community, round(c.spec / (CASE WHEN members > 1 THEN 2 * coalesce(i.internal, 0) / (members * (members - 1)) ELSE 0 END + 1e-6), 6) AS absorb FROM (SELECT community, count(*) AS members, avg(specificity) AS spec FROM re GROUP BY 1) c LEFT JOIN (SELECT a.community, count(*) AS internal FROM kg_adj x JOIN re a ON a.id = x.u JOIN re b ON b.id = x.v WHERE x.u < x.v AND a.community = b.community GROUP BY 1) i USING (community)),
 goal AS (SELECT * FROM cs WHERE community <> (SELECT community FROM hub) ORDER BY absorb DESC, community DESC LIMIT 1)
-SELECT 'edge' AS kind, 'transplant' AS mechanism, hub.id AS source, t.id AS target, rel.relation AS relation, round(hub.degree * goal.absorb * (t.degree + 1), 6) AS score FROM re t JOIN goal ON goal.community = t.community, hub, rel WHERE t.id <> hub.id AND NOT EXISTS (SELECT 1 FROM kg_adj x WHERE x.u = hub.id AND x.v = t.id)""")
+SELECT 'edge' AS kind, 'transplant' AS mechanism, hub.id AS source, t.id AS target, rel.relation AS relation, round(hub.degree * goal.absorb * (t.degree + 1), 2) AS score FROM re t JOIN goal ON goal.community = t.community, hub, rel WHERE t.id <> hub.id AND NOT EXISTS (SELECT 1 FROM kg_adj x WHERE x.u = hub.id AND x.v = t.id)""")
 def gen_transplant(spark, d):
     n, e, adj = _ranked(spark, d)
     return gen.transplant(n, adj, e)
