@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, small_batches, stored, text_bytes, windows
+from .common import WordHashes, free_shuffles, small_batches, stored, text_bytes, windows
 from .packed import SCHEMA, by_bucket, by_id, groups, packed, partitions_for, turned
 
 LENGTH, START = 13, 7
@@ -132,6 +132,8 @@ def substring_dedup(df: DataFrame, length: int = LENGTH, start: int = START, tex
         state = joined.mapInArrow(settle, STATE)
         if not last:
             state = stored(state, "substring-state")
+            del found, joined
+            free_shuffles(spark)
             done.append(state.where("done"))
             state = state.where(~F.col("done"))
         else:
