@@ -174,6 +174,24 @@ def test_language(spark, sf):
     assert language.predict(none, {}).count() == 3
 
 
+def test_language_margin_holds_for_long_and_repeated_texts(spark, sf):
+    from graphloom.llm.common import fold
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language.fit(docs, fold("doc_id", 4) != 2)
+    english = " ".join(r["text"] for r in docs.where("lang = 'en' and n_chars > 500").orderBy("doc_id").collect())
+    words_ = english.split()
+    rng = np.random.default_rng(5)
+    long = " ".join(np.array(words_)[rng.integers(0, len(words_), 1_500_000)])
+    texts = [long, long[:3000], " ".join([english[2000:5000]] * 50), " ".join([english[2000:2300]] * 2000)]
+    assert len(long) > 6_000_000
+    out = language.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), model).collect()
+    got = {r["doc_id"]: (r["lang_pred"], r["margin"] >= language.MARGIN) for r in out}
+    assert [got[i] for i in range(4)] == [("en", True)] * 4
+    margins = {r["doc_id"]: r["margin"] for r in out}
+    assert margins[0] > margins[1] / 3
+
+
 def test_toxicity_learns_words_and_pairs():
     rng = np.random.default_rng(0)
     words_, rows = toxicity._Words(), []
