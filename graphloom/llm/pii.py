@@ -12,8 +12,12 @@ surrogates:
   or mixed) and take characters from a keyed SHA-256;
 * addresses of mail keep the look of their local part and their top-level
   domain; equal domains stay equal;
-* names after a title keep the title's gender and the script, Latin or
-  Cyrillic.
+* names after a title are replaced word by word and keep the title's gender
+  and the script, Latin or Cyrillic. Their words are replaced alike wherever
+  else the text has them; without a gendered title they take the gender of the
+  first such mention in the text, or else a man's ending.
+
+A keyword before a secret, quotes and the scheme of an address stay.
 
 ``collisions`` looks for two entities with one surrogate over the whole
 corpus; ``choose_round`` turns the key by a round until there is none.
@@ -29,18 +33,31 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+TITLE = "Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Señor|Señora|Monsieur|Madame|Господин|Госпожа"
+_LETTER = r"[\p{L}\p{M}]"
+_WORD = rf"(?!(?:{TITLE})(?!{_LETTER}))\p{{Lu}}(?:{_LETTER}++(?:['’\-]\p{{Lu}}{_LETTER}++)*|(?:['’\-]\p{{Lu}}{_LETTER}++)+|\.(?= \p{{Lu}}))"
+_PARTICLES = r"(?:(?:von|van|de|der|den|del|della|di|da|du|la|le|zu|ter|ten|bin|al|el) ){0,3}"
+#: Words with internal capitals, apostrophes and hyphens, initials, particles.
+NAME = rf"{_PARTICLES}{_WORD}(?: {_PARTICLES}{_WORD}){{0,7}}"
+_KEYWORD = r"(?i:password|passwd|secret|api_key|apikey|token|pwd)[\"']?\s*[=:]\s*"
+_EMAIL = r"[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){0,126}\.[A-Za-z]{2,63}(?![A-Za-z0-9])"
+_SCHEME = r"[a-z][a-z0-9+.\-]{0,30}://"
+
 # What is detected, in order of precedence; at one place the first that fits wins.
 PATTERNS: dict[str, str] = {
-    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9\-])",
-    "secret": r"(?<=[=:])(?<=\b(?i:password|passwd|secret|api_key|apikey|token|pwd)[=:])[^\s\"'@]{6,200}+|(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?=[A-Fa-f]{0,60}[0-9])(?:[0-9a-f]{32,64}+|[0-9A-F]{32,64}+)(?![A-Za-z0-9])",
-    "phone": r"(?<![0-9+])\+[0-9]{1,3}[ .\-]?\(?[0-9]{2,4}\)?[ .\-]?[0-9]{3,4}[ .\-]?[0-9]{3,4}(?![0-9])|(?<![0-9.\-])\(?[0-9]{3}\)?[ .\-][0-9]{3}[.\-][0-9]{4}(?![0-9])",
-    "card": r"(?<![0-9])[0-9]{4}(?:[ \-][0-9]{4}){3}(?![0-9])|(?<![0-9A-Za-z])[0-9]{13,19}(?![0-9A-Za-z])",
-    "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
+    "email": rf"(?<![A-Za-z0-9._%+\-]){_EMAIL}",
+    "secret": rf"(?<![A-Za-z0-9]){_KEYWORD}(?:\"[^\"]{{4,}}(?=\")|'[^']{{4,}}(?=')|(?!{_EMAIL})[^\s\"']{{6,}}+)|(?<![A-Za-z0-9]){_SCHEME}[^\s/@:]+:[^\s/@]+@\S+|(?<![A-Za-z0-9])AKIA[0-9A-Z]{{16}}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:[0-9a-f]{{32,64}}+|[0-9A-F]{{32,64}}+)(?![A-Za-z0-9])",
+    "phone": r"(?<![0-9+])\+[0-9]{1,3}[\s.\-]?\(?[0-9]{2,4}\)?[\s.\-]?[0-9]{3,4}[\s.\-]?[0-9]{3,4}(?![0-9])|(?<![0-9.\-])\(?[0-9]{3}\)?[ .\-][0-9]{3}[.\-][0-9]{4}(?![0-9])",
+    "card": r"(?<![0-9])[0-9]{4}(?:[ \-][0-9]{4}){3}(?![0-9])|(?<![0-9A-Za-z])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9A-Za-z])",
+    "ssn": r"(?<![0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
-    "name": r"(?<= )(?=\p{Lu})(?<=\b(?:Mr|Mrs|Ms|Herr|Frau|Señor|Señora|Monsieur|Madame|Господин|Госпожа)\.? )\p{Lu}\p{Ll}{1,30}+",
+    "name": rf"(?<=[rsfuaeна.] )(?<=\b(?:{TITLE})\.? ){NAME}",
 }
-FEMALE = r"(?:Mrs|Ms|Frau|Señora|Madame|Госпожа)\.? $"
+FEMALE = r"(?:Mrs|Ms|Frau|Señora|Madame|Госпожа)\.? (?:(?:Dr|Prof)\.? )*$"
+MALE = r"(?:Mr|Herr|Señor|Monsieur|Господин)\.? (?:(?:Dr|Prof)\.? )*$"
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: What of a match stays before the entity.
+HEAD = rf"^(?:{_KEYWORD}[\"']?|{_SCHEME})"
 #: Syllables of surrogate names: a consonant for each of 16 values, a vowel for each of 16.
 CONSONANTS = {"latin": "bdfgklmnprstvzhj", "cyrillic": "бдфгклмнпрствзхж"}
 VOWELS = {"latin": "a e i o u ai ei oi ia ie io ua ue al el ol".split(), "cyrillic": "а е и о у ай ей ой ия ие ио уа уе ал ел ол".split()}
@@ -134,26 +151,31 @@ def _email(entity: Column, key: list[Column]) -> Column:
 
 
 def _name(entity: Column, female: Column, key: list[Column]) -> Column:
-    def spell(script: str, endings: tuple[str, str]) -> Column:
-        r = F.sha2(F.concat_ws("|", *key, entity).cast("binary"), 256)
-        hexa = lambda k: F.conv(F.substring(r, k, 1), 16, 10).cast("int")
-        parts = []
-        for k in range(5):
-            parts += [F.substring(F.lit(CONSONANTS[script]), hexa(2 * k + 1) + 1, F.lit(1)), F.element_at(F.array(*[F.lit(v) for v in VOWELS[script]]), hexa(2 * k + 2) + 1)]
-        return F.initcap(F.concat(*parts, F.when(female, endings[0]).otherwise(endings[1])))
+    def spell(word: Column, script: str, endings: tuple[str, str]) -> Column:
+        def put(r: Column) -> Column:
+            hexa = lambda k: F.conv(F.substring(r, k, 1), 16, 10).cast("int")
+            parts = []
+            for k in range(5):
+                parts += [F.substring(F.lit(CONSONANTS[script]), hexa(2 * k + 1) + 1, F.lit(1)), F.element_at(F.array(*[F.lit(v) for v in VOWELS[script]]), hexa(2 * k + 2) + 1)]
+            return F.initcap(F.concat(*parts, F.when(female, endings[0]).otherwise(endings[1])))
+
+        return _let(F.sha2(F.concat_ws("|", *key, word).cast("binary"), 256), put)
+
+    def one(w: Column) -> Column:
+        return F.when(~w.rlike(r"^\p{Lu}"), w).when(w.rlike(r"^\p{IsCyrillic}"), spell(w, "cyrillic", ("на", "н"))).otherwise(spell(w, "latin", ("na", "n")))
 
-    return F.when(entity.rlike(r"^\p{IsCyrillic}"), spell("cyrillic", ("на", "н"))).otherwise(spell("latin", ("na", "n")))
+    return F.array_join(F.transform(F.split(entity, " "), one), " ")
 
 
 def kind(entity: Column) -> Column:
     """The type of a detected entity, from its shape."""
     return (
-        F.when(entity.rlike("^[^@]+@[^@]+$"), "email")
+        F.when(entity.rlike(r"^[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,63}$"), "email")
         .when(entity.rlike(r"^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$"), "ip")
         .when(entity.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
-        .when(entity.rlike(r"^\+|^\(?[0-9]{3}\)?[ .\-][0-9]{3}[.\-][0-9]{4}$"), "phone")
-        .when(entity.rlike(r"^[0-9]{13,19}$|^[0-9]{4}(?:[ \-][0-9]{4}){3}$"), "card")
-        .when(entity.rlike(r"^[fm]:\p{Lu}\p{Ll}+$"), "name")
+        .when(entity.rlike(r"^\+[0-9 \s().\-]+$|^\(?[0-9]{3}\)?[ .\-][0-9]{3}[.\-][0-9]{4}$"), "phone")
+        .when(entity.rlike(r"^[0-9](?:[ \-]?[0-9]){12,18}$"), "card")
+        .when(entity.rlike(rf"^[fm]:{NAME}$"), "name")
         .otherwise("secret")
     )
 
@@ -163,33 +185,59 @@ def surrogate(entity: Column, key: str, turn: int = 0) -> Column:
     k = kind(entity)
     base = [F.lit(key), F.lit(turn)]
     of = lambda t: [*base, F.lit(t)]
-    country = F.when(entity.startswith("+"), F.length(F.regexp_extract(entity, r"^\+([0-9]{1,3}?)(?:[ .\-(]|[0-9]{10}$)", 1))).otherwise(0)
+    country = F.when(entity.startswith("+"), F.length(F.regexp_extract(entity, r"^\+([0-9]{1,3}?)(?:[\s.\-(]|[0-9]{10}$)", 1))).otherwise(0)
     kept = F.when(k == "phone", country).when(k == "card", 1).otherwise(0)
     return (
         F.when(k == "email", _email(entity, of("email")))
         .when(k.isin("phone", "card", "ssn"), _digits(entity, kept, [*base, k]))
         .when(k == "ip", _ip(entity, of("ip")))
-        .when(k == "name", _name(F.substring(entity, 3, 64), entity.startswith("f:"), of("name")))
+        .when(k == "name", _name(F.substring(entity, F.lit(3), F.length(entity)), entity.startswith("f:"), of("name")))
         .otherwise(_alike(entity, _stream(of("secret"), entity)))
     )
 
 
-TITLES = ("Mr", "Ms", "Herr", "Frau", "Señor", "Monsieur", "Madame", "Госп")
+TITLES = ("Mr", "Ms", "Dr", "Prof", "Herr", "Frau", "Señor", "Monsieur", "Madame", "Госп")
 
 
 def _split(text: Column) -> Column:
     """``e``, the entities in order (names with their gender), and ``p``, the text
     around them; null where there is none. Texts without a digit, an at-sign, a
-    colon, an equals sign or a title cannot have any and are not searched; each
-    pattern runs once on the others."""
-    maybe = text.rlike("[0-9@=:]")
-    for t in TITLES:
-        maybe = maybe | text.contains(t)
-    title = r"(?:Mr|Mrs|Ms|Herr|Frau|Señor|Señora|Monsieur|Madame|Господин|Госпожа)\.? $"
-    named = lambda e, before: F.when(e.rlike(r"^\p{Lu}\p{Ll}+$") & before.rlike(title), F.concat(F.when(before.rlike(FEMALE), "f:").otherwise("m:"), e)).otherwise(e)
-    pair = lambda s: F.struct(F.zip_with(s["f"], F.slice(s["p"], 1, F.size(s["f"])), named).alias("e"), s["p"].alias("p"))
-    cut = lambda f: F.when(F.size(f) > 0, _let(F.struct(f.alias("f"), F.split(text, ENTITY, -1).alias("p")), pair))
-    return F.when(maybe, _let(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)), cut))
+    colon, an equals sign, a title or a long run of hexadecimal letters cannot
+    have any and are not searched."""
+    titled = reduce(lambda a, b: a | b, [text.contains(t) for t in TITLES])
+    maybe = titled | text.rlike("[0-9@=:]|[a-f]{32}|[A-F]{32}")
+    single = lambda w: w.rlike(r"^\p{Lu}[\p{L}\p{M}'’\-]+$")
+    found = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(PATTERNS["name"]), F.lit(0)), lambda n: F.split(n, " ")))
+    # In descending order a word comes before its own beginnings.
+    words = F.when(titled, F.sort_array(F.array_distinct(F.filter(found, single)), asc=False)).otherwise(F.array().cast("array<string>"))
+    mention = lambda w: F.concat(F.lit(ENTITY + r"|(?<![\p{L}\p{M}\p{N}_])(?:"), F.array_join(w, "|"), F.lit(r")(?![\p{L}\p{M}\p{N}_])"))
+
+    def search(w: Column) -> Column:
+        pattern = F.when(F.size(w) > 0, mention(w)).otherwise(F.lit(ENTITY))
+        return _let(pattern, lambda r: _let(F.struct(F.regexp_extract_all(text, r, F.lit(0)).alias("f"), r.alias("r"), w.alias("w")), cut))
+
+    def cut(s: Column) -> Column:
+        return F.when(F.size(s["f"]) > 0, _let(F.struct(s["f"].alias("f"), F.split(text, s["r"], -1).alias("p"), s["w"].alias("w")), pair))
+
+    def pair(s: Column) -> Column:
+        def look(f: Column, before: Column) -> Column:
+            head = F.regexp_extract(f, HEAD, 0)
+            name = (head == "") & f.rlike(f"^{NAME}$") & (before.rlike(rf"(?:{TITLE})\.? $") | F.array_contains(s["w"], f))
+            gender = F.when(~name, "").when(before.rlike(FEMALE), "f:").when(before.rlike(MALE), "m:").otherwise("?")
+            return F.struct(before.alias("b"), head.alias("h"), F.substring(f, F.length(head) + 1, F.length(f)).alias("e"), gender.alias("g"))
+
+        return _let(F.zip_with(s["f"], F.slice(s["p"], 1, F.size(s["f"])), look), lambda each: gendered(each, F.element_at(s["p"], -1)))
+
+    def gendered(each: Column, end: Column) -> Column:
+        known = F.flatten(F.transform(F.filter(each, lambda x: x["g"].isin("f:", "m:")), lambda x: F.transform(F.split(x["e"], " "), lambda w: F.struct(w.alias("w"), x["g"].alias("g")))))
+
+        def full(x: Column, k: Column) -> Column:
+            own = F.get(F.filter(k, lambda y: F.array_contains(F.split(x["e"], " "), y["w"])), F.lit(0))["g"]
+            return F.concat(F.when(x["g"] == "?", F.coalesce(own, F.lit("m:"))).otherwise(x["g"]), x["e"])
+
+        return F.struct(_let(known, lambda k: F.transform(each, lambda x: full(x, k))).alias("e"), F.concat(F.transform(each, lambda x: F.concat(x["b"], x["h"])), F.array(end)).alias("p"))
+
+    return F.when(maybe, _let(words, search))
 
 
 def entities(text: Column) -> Column:

@@ -273,6 +273,24 @@ def test_pii(spark):
     assert re.fullmatch(r"ssn \d{3}-\d{2}-\d{4}", out[9]["text"])
 
 
+def test_pii_finds_the_forms_of_the_scrubber(spark):
+    long = "k" * 150 + "Q7" * 150
+    texts = ["Mr John Smith met Dr McDonald, Mrs Anna-Maria O'Brien and Prof. J. Jean-Luc. Smith's car; Smith, John and McDonald left. Smithers stayed", "Ms Lee saw Herr Dr. von Braun, Lee and Frau Lee", 'password: hunter22 token = "abcXYZ123" secret="my pass word" pwd=' + long, "see https://bob:hunter22@host.org/x and password:hunter22", "card 3782 822463 10005 and ID-123-45-6789", "password: jo.doe@mail5.org or jo.doe@mail5.org, a@b.org-x", "deadbeef" * 4 + " fee", "Dr Smith", "Mr Smith"]
+    out = {r["doc_id"]: r for r in pii.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), "k").collect()}
+    w = r"([A-Z]\w+)"
+    john, smith, mcd, anna, obrien, _, luc, *later = re.fullmatch(rf"Mr {w} {w} met Dr {w}, Mrs {w} {w} and Prof. {w} {w}\. {w}'s car; {w}, {w} and {w} left\. Smithers stayed", out[0]["text"]).groups()
+    assert later == [smith, smith, john, mcd] and obrien.endswith("na") and len({john, smith, mcd, anna, obrien, luc}) == 6 and out[0]["pii"]["name"] == 8
+    assert not set(later) & {"Smith", "John", "McDonald"}
+    lee, braun, again, frau = re.fullmatch(rf"Ms {w} saw Herr Dr\. von {w}, {w} and Frau {w}", out[1]["text"]).groups()
+    assert lee == again == frau != "Lee" and braun != "Braun"
+    one, two, three, four = re.fullmatch(r'password: ([a-z]{6}\d\d) token = "([a-z]{3}[A-Z]{3}\d{3})" secret="([a-z]{2} [a-z]{4} [a-z]{4})" pwd=([a-z]{150}(?:[A-Z]\d){150})', out[2]["text"]).groups()
+    assert one != "hunter22" and two != "abcXYZ123" and three != "my pass word" and four[200:] != long[200:]
+    assert "hunter22" not in out[3]["text"] and "bob" not in out[3]["text"] and out[3]["text"].endswith(f"password:{one}") and out[3]["pii"]["secret"] == 2
+    assert re.fullmatch(r"card 3\d{3} \d{6} \d{5} and ID-\d{3}-\d\d-\d{4}", out[4]["text"]) and "822463" not in out[4]["text"] and "45-6789" not in out[4]["text"]
+    assert out[5]["pii"]["email"] == 3 and len(set(re.findall(r"\S+@\S+org(?= or|,)", out[5]["text"]))) == 1
+    assert "deadbeef" not in out[6]["text"] and out[7]["text"][3:] == out[8]["text"][3:] == smith
+
+
 def test_pii_surrogates_are_distinct(spark):
     df = spark.range(3000).select(F.concat(F.lit("415-555-"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("e"), F.concat(F.lit("10.0."), F.floor(F.col("id") / 250).cast("string"), F.lit("."), (F.col("id") % 250).cast("string")).alias("i"))
     for c in "ei":
