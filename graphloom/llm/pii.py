@@ -202,10 +202,10 @@ TITLES = ("Mr", "Ms", "Dr", "Prof", "Herr", "Frau", "Señor", "Monsieur", "Madam
 def _split(text: Column) -> Column:
     """``e``, the entities in order (names with their gender), and ``p``, the text
     around them; null where there is none. Texts without a digit, an at-sign, a
-    colon, an equals sign, a title or a long run of hexadecimal letters cannot
-    have any and are not searched."""
+    colon, an equals sign, a title, AKIA or a long run of hexadecimal letters
+    cannot have any and are not searched."""
     titled = reduce(lambda a, b: a | b, [text.contains(t) for t in TITLES])
-    maybe = titled | text.rlike("[0-9@=:]|[a-f]{32}|[A-F]{32}")
+    maybe = titled | text.rlike("[0-9@=:]|[a-f]{32}|[A-F]{32}|AKIA")
     single = lambda w: w.rlike(r"^\p{Lu}[\p{L}\p{M}'’\-]+$")
     found = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(PATTERNS["name"]), F.lit(0)), lambda n: F.split(n, " ")))
     # In descending order a word comes before its own beginnings.
