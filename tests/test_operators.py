@@ -66,6 +66,23 @@ def test_betweenness_equals_brandes(spark):
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
 
 
+def test_centrality_queries_see_the_whole_graph(spark, sf):
+    from graphloom.plans import graph_queries as q
+    from graphloom.sources import lift
+
+    n, e = lift.nodes(spark, sf), lift.edges(spark, sf)
+    ids = {x["id"] for x in g.vertices(n, e).collect()}
+    near = {i: set() for i in ids}
+    for x in g.adjacency(e).collect():
+        near[x["u"]].add(x["v"])
+    want = brandes(sorted(ids), near)
+    got = {x["id"]: x["betweenness"] for x in q.betweenness(spark, sf).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 2e-9 for i in want)
+    assert any(got[i] > 0 for i in got if i.startswith("part-"))
+    assert {x["id"] for x in q.communities(spark, sf).select("id").collect()} == {x["id"] for x in n.select("id").collect()}
+    assert q.ranks_bundle(spark, sf).where("node_type = 'part' and betweenness > 0").count() > 0
+
+
 @pytest.mark.parametrize("state", ["failed", "rejected", "obsolete"])
 def test_no_path_through_what_is_not_live(spark, state):
     _, e = graph(spark, [("a", "b"), ("b", "c"), ("a", "d"), ("d", "f"), ("f", "c")], {("b", "c"): state})
