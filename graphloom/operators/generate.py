@@ -158,11 +158,13 @@ def first_of_each(cand: DataFrame) -> DataFrame:
 
 def run(makers: dict[str, Callable[[], DataFrame]], mechanism: str | None, k: int, edges: DataFrame) -> DataFrame:
     """The candidates of one mechanism, of all, or of the default three."""
-    names = ORDER if mechanism == "all" else (mechanism,) if mechanism in makers else DEFAULT
+    names = ORDER if mechanism == "all" else (mechanism,) if mechanism in ORDER else DEFAULT
+    missing = [name for name in names if name not in makers]
+    if missing:
+        raise ValueError(f"no maker for {', '.join(missing)}")
     out = None
     for name in names:
-        if name in makers:
-            out = makers[name]() if out is None else out.unionByName(makers[name](), allowMissingColumns=True)
+        out = makers[name]() if out is None else out.unionByName(makers[name](), allowMissingColumns=True)
     return first_of_each(top(agreement(not_failed(out.drop("rank"), edges)), k))
 
 

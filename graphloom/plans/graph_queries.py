@@ -223,11 +223,15 @@ def gen_transplant(spark, d):
 SECOND = "SELECT DISTINCT 'customer-' || o_custkey AS u, 'supplier-' || (o_custkey % 100 + 1) AS v FROM orders"
 
 
+def _second(spark: SparkSession, d: str) -> DataFrame:
+    """``u, v``: customers and suppliers that orders relate."""
+    o = lift.table(spark, d, "orders")
+    return o.select(F.concat(F.lit("customer-"), "o_custkey").alias("u"), F.concat(F.lit("supplier-"), F.col("o_custkey") % 100 + 1).alias("v")).distinct()
+
+
 @query(L + ", sec AS (" + SECOND + ") SELECT DISTINCT 'edge' AS kind, 'ensemble' AS mechanism, least(u, v) AS source, greatest(u, v) AS target, 'bridges' AS relation, 1.0::DOUBLE AS score FROM sec WHERE u IN (SELECT id FROM kg_nodes) AND v IN (SELECT id FROM kg_nodes) AND NOT EXISTS (SELECT 1 FROM kg_adj x WHERE x.u = sec.u AND x.v = sec.v)")
 def gen_ensemble(spark, d):
-    o = lift.table(spark, d, "orders")
-    second = o.select(F.concat(F.lit("customer-"), "o_custkey").alias("u"), F.concat(F.lit("supplier-"), F.col("o_custkey") % 100 + 1).alias("v")).distinct()
-    return gen.ensemble(g.adjacency(edges(spark, d)), nodes(spark, d).select("id"), second)
+    return gen.ensemble(g.adjacency(edges(spark, d)), nodes(spark, d).select("id"), _second(spark, d))
 
 
 @query(R + """, cut AS (SELECT quantile_disc(degree, 0.25) AS cut FROM kg_ranked WHERE degree > 0), low AS (SELECT r.id AS u, degree FROM kg_ranked r, cut WHERE degree > 0 AND degree <= cut),
@@ -242,7 +246,15 @@ def gen_periphery(spark, d):
 @query()
 def run_generators(spark, d):
     n, e, adj = map(g.stored, _ranked(spark, d), ("ranked", "edges", "adjacency"))
-    makers = {"bridge": lambda: gen.bridge(n, adj), "compression": lambda: gen.compression(n, adj), "transplant": lambda: gen.transplant(n, adj, e), "periphery": lambda: gen.periphery(n, adj)}
+    makers = {
+        "bridge": lambda: gen.bridge(n, adj),
+        "seed": lambda: gen.seed(adj),
+        "compression": lambda: gen.compression(n, adj),
+        "regroup": lambda: gen.regroup(n, adj, g.stored(g.communities(n, adj, resolution=4.0), "regrouped")),
+        "transplant": lambda: gen.transplant(n, adj, e),
+        "ensemble": lambda: gen.ensemble(adj, n.select("id"), _second(spark, d)),
+        "periphery": lambda: gen.periphery(n, adj),
+    }
     return gen.run(makers, "all", 10, e)
 
 

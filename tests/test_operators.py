@@ -119,6 +119,21 @@ def test_failed_pairs_are_not_proposed_either_way(spark):
     assert [x["target"] for x in gen.not_failed(cand, e).collect()] == ["c"]
 
 
+def test_run_generators_runs_all_seven(spark, sf, monkeypatch):
+    from graphloom.plans import graph_queries as q
+
+    seen = {}
+    monkeypatch.setattr(gen, "run", lambda makers, mechanism, k, edges: seen.update(makers) or (mechanism, k))
+    assert q.run_generators(spark, sf) == ("all", 10) and tuple(seen) == gen.ORDER
+    monkeypatch.undo()
+    got = {x["mechanism"] for x in q.run_generators(spark, sf).select("mechanism").distinct().collect()}
+    assert {"seed", "ensemble", "regroup"} <= got
+    with pytest.raises(ValueError):
+        gen.run({"bridge": seen["bridge"]}, "all", 10, None)
+    with pytest.raises(ValueError):
+        gen.run({"bridge": seen["bridge"]}, "seed", 10, None)
+
+
 def test_budget_is_a_prefix(spark):
     df = spark.createDataFrame([(f"{i:02}", "x" * (4 * n)) for i, n in enumerate([3, 1, 9, 1])], "id string, t string")
     got = r.budgeted(df, [F.asc("id")], 10, ["t"]).collect()
