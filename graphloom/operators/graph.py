@@ -161,20 +161,23 @@ def _dependencies(s: int, ptr: np.ndarray, to: np.ndarray, n: int) -> np.ndarray
     return delta
 
 
-def shortest_lengths(adj: DataFrame, source: str, depth: int = 64) -> DataFrame:
-    """``id, hops, path``: nodes reachable from ``source`` with the
-    lexicographically smallest of their shortest paths. One join per level;
-    each level is written, and visited nodes never come back."""
+def shortest_lengths(adj: DataFrame, source: str, depth: int | None = None) -> DataFrame:
+    """``id, hops, path``: nodes reachable from ``source``, within ``depth`` hops
+    if given, with the lexicographically smallest of their shortest paths. One
+    join per level; each level is written, and visited nodes never come back."""
     spark = adj.sparkSession
     seen = stored(spark.createDataFrame([(source, 0, [source])], "id string, hops int, path array<string>"), "bfs")
-    frontier = seen
-    for _ in range(depth):
+    frontier, level = seen, 0
+    while depth is None or level < depth:
         step = frontier.join(adj, frontier["id"] == adj["u"]).groupBy(F.col("v").alias("id")).agg(F.min("path").alias("path"), (F.first("hops") + 1).alias("hops"))
         new = step.join(seen.select("id"), "id", "left_anti").select("id", "hops", F.concat("path", F.array("id")).alias("path"))
         frontier = stored(new, "bfs")
         if frontier.isEmpty():
             break
+        level += 1
         seen = seen.unionByName(frontier)
+        if level % 16 == 0:  # the plan must not grow with the levels
+            seen = stored(seen, "bfs")
     return seen
 
 

@@ -92,6 +92,13 @@ def test_no_path_through_what_is_not_live(spark, state):
     assert [x["id"] for x in g.shortest_path(g.adjacency(e), "q", "q").collect()] == ["q"]
 
 
+def test_search_ends_when_the_frontier_is_empty(spark):
+    ids = [f"n{i:02}" for i in range(68)]
+    _, e = graph(spark, list(zip(ids, ids[1:], strict=False)))
+    got = {x["id"]: (x["hops"], x["path"]) for x in g.shortest_lengths(g.stored(g.adjacency(e), "adjacency"), "n00").collect()}
+    assert got == {x: (i, ids[: i + 1]) for i, x in enumerate(ids)}
+
+
 def test_explain_path_orders_and_reports_unreachable(spark):
     _, e = graph(spark, [("h", "a"), ("h", "b"), ("x", "y")])
     steps = g.explain_path(e, ["a", "b", "x"]).orderBy("step").collect()
