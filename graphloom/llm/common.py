@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,15 +43,6 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that are written and gone;
-    else they stay until the driver happens to collect its garbage."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of few rows: very long texts must not add up in a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -70,6 +62,32 @@ def word_count(column: str | Column = "text") -> Column:
     return F.coalesce(F.regexp_count(c, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+class Bloom:
+    """A Bloom filter of ``id`` with one hash, sized to the number of ids up to
+    32 MB; what it lets through beyond them costs work, never a result."""
+
+    MIN_BITS, MAX_BITS = 1 << 20, 1 << 28
+
+    def __init__(self, ids: DataFrame):
+        self.bits = self.MIN_BITS
+        rows = ids.count()
+        while self.bits < 16 * rows and self.bits < self.MAX_BITS:
+            self.bits *= 2
+        words = ids.select(self.slot().alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("x")).toPandas()
+        found = np.zeros(self.bits >> 6, np.int64)
+        found[words["w"].to_numpy(np.int64)] = words["x"].to_numpy(np.int64)
+        self.sent = ids.sparkSession.sparkContext.broadcast(found.view(np.uint64))
+
+    def slot(self) -> Column:
+        return F.pmod(F.xxhash64("id"), F.lit(self.bits))
+
+    @staticmethod
+    def has(sent, slots: pa.Array) -> np.ndarray:
+        """Which of a batch's ``slot()`` values are in the broadcast filter."""
+        s = slots.to_numpy(zero_copy_only=False)
+        return ((sent.value[s >> 6] >> (s & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+
+
 class WordHashes(dict):
     """Word bytes to 64-bit hashes; forgets all when it has grown to ``most``."""
 

@@ -3,8 +3,10 @@
 Millions of pairs cost far less as a few rows of packed arrays than as a row
 each. A task gathers pairs, sorts them by bucket and emits, per bucket, one
 row with the bucket's keys and ids. The receiving task sorts a bucket by key.
-Buckets are many enough that one fits easily in memory, however many pairs
-there are; one key's pairs are at most one per document.
+The number of partitions follows the number of pairs, so that a bucket has
+some hundred thousand of them. One key's pairs are at most one per document
+and meet in one task, as 16 bytes each; where only the ends of a key's ids
+matter, ``packed`` sends no more than those.
 """
 
 from __future__ import annotations
@@ -18,13 +20,15 @@ from pyspark.sql import DataFrame
 FLUSH = 500_000
 PAIRS_PER_PARTITION = 1_500_000
 BUCKETS_PER_PARTITION = 4
+#: Beyond this partitions grow; buckets are told apart by 24 bits of the key.
+MAX_PARTITIONS = 1_000_000
 SCHEMA = "bucket int, high binary, low binary, first long, ids binary"
 
 
 def partitions_for(df: DataFrame, pairs: float) -> int:
     """Partitions so that each gets a bounded number of ``pairs``."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(16_000, max(least, int(pairs / PAIRS_PER_PARTITION) + 1))
+    return min(MAX_PARTITIONS, max(least, int(pairs / PAIRS_PER_PARTITION) + 1))
 
 
 def rows_of(keys: np.ndarray, ids: np.ndarray, partitions: int) -> pa.RecordBatch:
@@ -46,12 +50,28 @@ def rows_of(keys: np.ndarray, ids: np.ndarray, partitions: int) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([pa.array(bucket[starts], pa.int32()), pa.array([high[a:b].tobytes() for a, b in cut], pa.binary()), pa.array([low[a:b].tobytes() for a, b in cut], pa.binary()), pa.array(ids[starts], pa.int64()), pa.array([step[a:b].tobytes() for a, b in cut], pa.binary())], names=["bucket", "high", "low", "first", "ids"])
 
 
-def packed(df: DataFrame, pairs: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], partitions: int) -> DataFrame:
+def ends(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each key the pairs with the smallest and the largest id."""
+    order = np.lexsort((ids, keys))
+    keys, ids = keys[order], ids[order]
+    edge = np.ones(len(keys) + 1, bool)
+    edge[1:-1] = keys[1:] != keys[:-1]
+    on = edge[:-1] | (edge[1:] & (ids != ids[groups(keys)[0]][groups(keys)[1]]))
+    return keys[on], ids[on]
+
+
+def packed(df: DataFrame, pairs: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], partitions: int, only_ends: bool = False) -> DataFrame:
     """``pairs`` maps a batch to keys (uint64) and ids (int64) of one length.
 
     Keys travel as arrays of their upper and lower halves, ids as differences,
-    so that what varies little within a bucket compresses away.
+    so that what varies little within a bucket compresses away. With
+    ``only_ends`` a task sends a key with its smallest and largest id alone.
     """
+
+    def rows(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        keys, ids = map(np.concatenate, zip(*held, strict=True))
+        return rows_of(*(ends(keys, ids) if only_ends else (keys, ids)), partitions)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for b in batches:
@@ -59,10 +79,10 @@ def packed(df: DataFrame, pairs: Callable[[pa.RecordBatch], tuple[np.ndarray, np
             held.append((keys, ids))
             n += len(keys)
             if n >= FLUSH:
-                yield rows_of(*map(np.concatenate, zip(*held, strict=True)), partitions)
+                yield rows(held)
                 held, n = [], 0
         if n:
-            yield rows_of(*map(np.concatenate, zip(*held, strict=True)), partitions)
+            yield rows(held)
 
     return df.mapInArrow(run, SCHEMA)
 

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix64, small_batches, stored, text_bytes, windows
+from .common import Bloom, WordHashes, mix64, small_batches, stored, text_bytes, windows
 from .components import components
 from .packed import by_bucket, groups, packed, partitions_for
 
@@ -57,7 +57,6 @@ POOR = 1
 SMALL = 4
 HISTOGRAM = 64
 SKETCH = 16
-MIN_BITS, MAX_BITS = 1 << 20, 1 << 28
 #: Sets of a tile; a pair of tiles' sets is compared in one task.
 TILE, BLOCK = 1024, 512
 #: A round of stars that merges fewer than one in so many of its pairs is the last.
@@ -154,29 +153,6 @@ def _sets(docs: DataFrame) -> DataFrame:
     return stored(docs.mapInArrow(run, "id long, n long, set long"), "near-sets")
 
 
-class Bloom:
-    """A Bloom filter of ids with one hash, sized to their number up to 32 MB;
-    what it lets through beyond them costs work, never a result."""
-
-    def __init__(self, ids: DataFrame):
-        self.bits = MIN_BITS
-        rows = ids.count()
-        while self.bits < 16 * rows and self.bits < MAX_BITS:
-            self.bits *= 2
-        words = ids.select(self.slot().alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("x")).toPandas()
-        found = np.zeros(self.bits >> 6, np.int64)
-        found[words["w"].to_numpy(np.int64)] = words["x"].to_numpy(np.int64)
-        self.sent = ids.sparkSession.sparkContext.broadcast(found.view(np.uint64))
-
-    def slot(self):
-        return F.pmod(F.xxhash64("id"), F.lit(self.bits))
-
-    @staticmethod
-    def has(sent, slots: pa.Array) -> list[bool]:
-        s = slots.to_numpy(zero_copy_only=False)
-        return ((sent.value[s >> 6] >> (s & 63).astype(np.uint64)) & np.uint64(1)).astype(bool).tolist()
-
-
 def _candidates(docs: DataFrame, reps: DataFrame, partitions: int) -> DataFrame:
     """``kind, a, b, m`` from the sets of ``reps``: kind 0, a pair to verify;
     kind 1, b is one of the m rows of the large group of signature a; kind 2,
@@ -186,7 +162,7 @@ def _candidates(docs: DataFrame, reps: DataFrame, partitions: int) -> DataFrame:
 
     def emit(b: pa.RecordBatch, hashes=WordHashes()) -> tuple[np.ndarray, np.ndarray]:
         keys, ids = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-        for doc, t, on in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), Bloom.has(sent, b.column(2)), strict=True):
+        for doc, t, on in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), Bloom.has(sent, b.column(2)).tolist(), strict=True):
             if on and doc is not None and t:
                 sig = signatures(shingles(t.lower().split(), hashes))
                 keys.append(sig)
@@ -227,7 +203,7 @@ def _loaded(docs: DataFrame, wanted: DataFrame, repeats: bool) -> DataFrame:
         hashes = WordHashes()
         for b in batches:
             rows = []
-            for doc, t, on in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), Bloom.has(sent, b.column(2)), strict=True):
+            for doc, t, on in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), Bloom.has(sent, b.column(2)).tolist(), strict=True):
                 s = shingles(t.lower().split(), hashes) if on and doc is not None and t else ()
                 if len(s):
                     hist = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=HISTOGRAM).astype("<i4")

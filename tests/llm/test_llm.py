@@ -77,8 +77,9 @@ def test_similar_sets_share_a_signature(n):
             assert np.intersect1d(partenum.signatures(a), partenum.signatures(b)).size
 
 
-def test_substring_dedup(docs):
-    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.substring_dedup(docs).collect()}
+@pytest.mark.parametrize("start", [2, 3, 7])
+def test_substring_dedup(docs, start):
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.substring_dedup(docs, start=start).collect()}
     first, want = {}, {}
     for i, t in sorted(collected(docs), key=lambda x: x[0]):
         w = words(t)
