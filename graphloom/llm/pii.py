@@ -2,28 +2,38 @@
 
 Detected entities get keyed replacements of their own type and format. One key
 and one entity always give one surrogate, in every document, so mentions of
-one person or account still belong together; different entities get different
-surrogates:
-
-* digits (phones, cards, social security numbers) and IPv4 addresses go
-  through a four-round Feistel network, a permutation of the numbers of that
-  length, and are put back between the separators they stood in;
-* secrets keep their length and alphabet (hexadecimal, upper-case and digits,
-  or mixed) and take characters from a keyed SHA-256;
-* addresses of mail keep the look of their local part and their top-level
-  domain; equal domains stay equal;
-* names after a title are replaced word by word and keep the title's gender
-  and the script, Latin or Cyrillic. Their words are replaced alike wherever
-  else the text has them; without a gendered title they take the gender of the
-  first such mention in the text, or else a man's ending.
-
-A keyword before a secret, quotes and the scheme of an address stay.
-
-``collisions`` looks for two entities with one surrogate over the whole
-corpus; ``choose_round`` turns the key by a round until there is none.
+one person or account still belong together. Every surrogate comes from a
+permutation of the entities of its format, a keyed four-round Feistel network,
+so different entities get different surrogates by construction:
+
+* the digits of phones, cards and social security numbers are permuted and put
+  back between the separators they stood in; a card keeps its first four
+  digits and gets the check digit of its new number, so it stays a valid one;
+* IPv4 addresses are permuted as numbers, IPv6 addresses by their digits;
+* secrets are permuted character by character: digits stay digits, letters
+  letters of their case and script, hexadecimal strings hexadecimal; a secret
+  of punctuation alone gets other punctuation;
+* addresses of mail keep the look of their local part and domain and their
+  top-level domain, behind ``.example``; equal domains stay equal;
+* names after a title are replaced word by word, vowels by vowels and
+  consonants by consonants of their script, with an ending for the title's
+  gender. Their words are replaced alike wherever else the text has them;
+  without a gendered title they take the gender of the first such mention in
+  the text, or else a man's ending.
+
+A keyword before a secret, quotes and the scheme of an address stay. Numbers
+of 13 to 19 digits are cards only with an issuer's first digits and a right
+check digit; others stay as they are.
+
+``collisions`` looks over the whole corpus for surrogates that two entities
+share or that are themselves an entity of the corpus; ``choose_round`` takes
+the turn of the key that has none, or the one with the fewest: where a format
+has few values and the corpus most of them, some are met whatever the key.
 
 Text is split at the entities and joined with their surrogates; nothing else
-of it changes. Null texts stay null and have no entity.
+of it changes. Null texts stay null and have no entity, nor have empty ones;
+an empty table gives an empty table; very long texts are searched whole;
+repeated rows are replaced alike.
 """
 
 from __future__ import annotations
@@ -33,6 +43,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 TITLE = "Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Señor|Señora|Monsieur|Madame|Господин|Госпожа"
 _LETTER = r"[\p{L}\p{M}]"
 _WORD = rf"(?!(?:{TITLE})(?!{_LETTER}))\p{{Lu}}(?:{_LETTER}++(?:['’\-]\p{{Lu}}{_LETTER}++)*|(?:['’\-]\p{{Lu}}{_LETTER}++)+|\.(?= \p{{Lu}}))"
@@ -50,7 +62,7 @@ PATTERNS: dict[str, str] = {
     "phone": r"(?<![0-9+])\+[0-9]{1,3}[\s.\-]?\(?[0-9]{2,4}\)?[\s.\-]?[0-9]{3,4}[\s.\-]?[0-9]{3,4}(?![0-9])|(?<![0-9.\-])\(?[0-9]{3}\)?[ .\-][0-9]{3}[.\-][0-9]{4}(?![0-9])",
     "card": r"(?<![0-9])[0-9]{4}(?:[ \-][0-9]{4}){3}(?![0-9])|(?<![0-9A-Za-z])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])",
-    "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
+    "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])|(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]*[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])",
     "name": rf"(?<=[rsfuaeна.] )(?<=\b(?:{TITLE})\.? ){NAME}",
 }
 FEMALE = r"(?:Mrs|Ms|Frau|Señora|Madame|Госпожа)\.? (?:(?:Dr|Prof)\.? )*$"
@@ -58,10 +70,17 @@ MALE = r"(?:Mr|Herr|Señor|Monsieur|Господин)\.? (?:(?:Dr|Prof)\.? )*$"
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What of a match stays before the entity.
 HEAD = rf"^(?:{_KEYWORD}[\"']?|{_SCHEME})"
-#: Syllables of surrogate names: a consonant for each of 16 values, a vowel for each of 16.
-CONSONANTS = {"latin": "bdfgklmnprstvzhj", "cyrillic": "бдфгклмнпрствзхж"}
-VOWELS = {"latin": "a e i o u ai ei oi ia ie io ua ue al el ol".split(), "cyrillic": "а е и о у ай ей ой ия ие ио уа уе ал ел ол".split()}
-ROUNDS = 8
+#: First digits of cards by issuer.
+ISSUER = "^(?:4|5[1-5]|2[2-7]|3[47]|3[0689]|35|6[0-9])"
+#: Characters that stand for one another. All of one string are of one kind.
+ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ"]
+SPOKEN = ["aeiouy", "AEIOUY", "bcdfghjklmnpqrstvwxz", "BCDFGHJKLMNPQRSTVWXZ", "аеиоуыэюя", "АЕИОУЫЭЮЯ", "бвгджзклмнпрстфхцчш", "БВГДЖЗКЛМНПРСТФХЦЧШ", "àáâãäåèéêëìíîïòóôõöùúûüý", "ÀÁÂÃÄÅÈÉÊËÌÍÎÏÒÓÔÕÖÙÚÛÜÝ"]
+HEXADECIMAL = ["0123456789abcdef"]
+PUNCTUATION = ["!#$%&()*+,-./:;<=>?@[]^_`{|}~"]
+ENDINGS = {"latin": ("na", "n"), "cyrillic": ("на", "н")}
+#: Other letters stand for those of their block of so many code points.
+BLOCK = 64
+ROUNDS = 4
 
 
 def _let(value: Column, use) -> Column:
@@ -97,23 +116,31 @@ def _refill(entity: Column, digits: Column) -> Column:
     return F.aggregate(F.split(entity, ""), start, put, lambda acc: acc["out"])
 
 
-def _digits(entity: Column, keep: Column, key: list[Column]) -> Column:
-    """Digits permuted but for the first ``keep``."""
+def _digits(entity: Column, keep: Column, check: Column, key: list[Column]) -> Column:
+    """Digits permuted but for the first ``keep``; where ``check``, the last is the check digit."""
     d = F.regexp_replace(entity, "[^0-9]", "")
 
     def use(s: Column) -> Column:
-        head, tail = F.substring(s["d"], F.lit(1), s["keep"]), F.substring(s["d"], s["keep"] + 1, F.lit(40))
+        size = F.length(s["d"]) - s["keep"] - F.when(s["check"], 1).otherwise(0)
+        head, tail = F.substring(s["d"], F.lit(1), s["keep"]), F.substring(s["d"], s["keep"] + 1, size)
 
         def halves(t: Column) -> Column:
             n = F.length(t)
             u = F.floor(n / 2).cast("int")
             ten = lambda k: F.pow(F.lit(10.0), k).cast("long")
-            out = _feistel(F.substring(t, F.lit(1), u).cast("long"), F.substring(t, u + 1, F.lit(40)).cast("long"), ten(u), ten(n - u), [*key, n.cast("string"), head])
-            return _let(out, lambda r: F.concat(F.lpad(r["a"].cast("string"), u, F.lit("0")), F.lpad(r["b"].cast("string"), n - u, F.lit("0"))))
+            out = _feistel(F.coalesce(F.substring(t, F.lit(1), u).try_cast("long"), F.lit(0)), F.substring(t, u + 1, F.lit(40)).cast("long"), ten(u), ten(n - u), [*key, n.cast("string"), head])
+            return _let(out, lambda r: F.concat(F.when(u > 0, F.lpad(r["a"].cast("string"), u, F.lit("0"))).otherwise(""), F.lpad(r["b"].cast("string"), n - u, F.lit("0"))))
+
+        checked = lambda x: F.concat(x, F.when(s["check"], F.pmod(-_luhn(F.concat(x, F.lit("0"))), F.lit(10)).cast("string")).otherwise(""))
+        return _refill(s["e"], _let(F.concat(head, _let(tail, halves)), checked))
+
+    return _let(F.struct(d.alias("d"), keep.cast("int").alias("keep"), check.alias("check"), entity.alias("e")), use)
 
-        return _refill(s["e"], F.concat(head, _let(tail, halves)))
 
-    return _let(F.struct(d.alias("d"), keep.cast("int").alias("keep"), entity.alias("e")), use)
+def _luhn(digits: Column) -> Column:
+    """The sum of a number's digits, every second from the right doubled and cast out."""
+    each = F.transform(F.split(F.reverse(digits), ""), lambda c, i: F.when(i % 2 == 0, c.cast("int")).otherwise(2 * c.cast("int") - F.when(c >= "5", 9).otherwise(0)))
+    return F.aggregate(each, F.lit(0), lambda x, y: x + y)
 
 
 def _ip(entity: Column, key: list[Column]) -> Column:
@@ -122,85 +149,123 @@ def _ip(entity: Column, key: list[Column]) -> Column:
     return _let(out, lambda r: F.concat_ws(".", F.shiftright(r["a"], 8).cast("string"), r["a"].bitwiseAND(255).cast("string"), F.shiftright(r["b"], 8).cast("string"), r["b"].bitwiseAND(255).cast("string")))
 
 
-def _stream(key: list[Column], entity: Column) -> Column:
-    """256 keyed hexadecimal digits."""
-    return F.concat(*[F.sha2(F.concat_ws("|", *key, F.lit(i), entity).cast("binary"), 256) for i in range(4)])
+def _stream(key: list[Column], half: Column, n: Column) -> Column:
+    """Keyed hexadecimal digits, four at least for each of ``n`` characters."""
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.floor(n / 16).cast("int")), lambda i: F.sha2(F.concat_ws("|", *key, i.cast("string"), half).cast("binary"), 256)), "")
 
 
-def _alike(entity: Column, stream: Column) -> Column:
-    """Characters of the same kind: digits for digits, letters for letters in
-    their case (a to f in what is all hexadecimal), others as they are. A
-    character takes two digits of the stream, which comes round again."""
-    lower, upper, ten = (F.lit(x) for x in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"))
+def _permuted(text: Column, alphabets: list[str], key: list[Column]) -> Column:
+    """A permutation of the texts of one pattern of alphabets: a Feistel network
+    whose halves are those of the text, added character by character. Other
+    characters beyond ASCII move within their block, the rest of ASCII stays."""
 
-    def use(s: Column) -> Column:
-        def one(c: Column, i: Column) -> Column:
-            v = F.conv(F.substring(s["r"], F.pmod(2 * i, F.lit(256)) + 1, F.lit(2)), 16, 10).cast("int")
-            return F.when(s["hex"], F.substring(F.lit("0123456789abcdef"), F.pmod(v, F.lit(16)) + 1, F.lit(1))).when(c.between("0", "9"), F.substring(ten, F.pmod(v, F.lit(10)) + 1, F.lit(1))).when(c.between("a", "z"), F.substring(lower, F.pmod(v, F.lit(26)) + 1, F.lit(1))).when(c.between("A", "Z"), F.substring(upper, F.pmod(v, F.lit(26)) + 1, F.lit(1))).otherwise(c)
+    def code(c: Column) -> Column:
+        point = F.ascii(c)
+        low = F.when(point < 192, 160).otherwise(point - F.pmod(point, F.lit(BLOCK)))
+        out = F.when(point >= 160, F.struct((point - low).alias("v"), F.when(point < 192, 32).otherwise(BLOCK).alias("m"), low.alias("b")))
+        out = out.otherwise(F.struct(F.lit(0).alias("v"), F.lit(1).alias("m"), point.alias("b")))
+        for k, a in reversed(list(enumerate(alphabets))):
+            at = F.instr(F.lit(a), c)
+            out = F.when(at > 0, F.struct((at - 1).alias("v"), F.lit(len(a)).alias("m"), F.lit(-1 - k).alias("b"))).otherwise(out)
+        return out
+
+    def char(x: Column) -> Column:
+        out = F.decode(F.unhex(F.lpad(F.hex((x["b"] + x["v"]).cast("long")), 8, "0")), "UTF-32")
+        for k, a in enumerate(alphabets):
+            out = F.when(x["b"] == -1 - k, F.substring(F.lit(a), x["v"] + 1, F.lit(1))).otherwise(out)
+        return out
+
+    def moved(half: Column, other: Column, i: int) -> Column:
+        seed = F.array_join(F.transform(other, lambda x: F.concat(x["b"].cast("string"), F.lit("."), x["v"].cast("string"))), ",")
+        add = lambda r: F.transform(half, lambda x, k: F.struct(F.pmod(x["v"] + F.conv(F.substring(r, 4 * k + 1, F.lit(4)), 16, 10).cast("int"), x["m"]).alias("v"), x["m"].alias("m"), x["b"].alias("b")))
+        return _let(_stream([*key, F.lit(str(i))], seed, F.size(half)), add)
+
+    def step(i: int):
+        if i % 2 == 0:
+            return lambda s: F.struct(moved(s["l"], s["r"], i).alias("l"), s["r"].alias("r"))
+        return lambda s: F.struct(s["l"].alias("l"), moved(s["r"], s["l"], i).alias("r"))
+
+    def cut(codes: Column) -> Column:
+        u = F.floor(F.size(codes) / 2).cast("int")
+        return F.struct(F.slice(codes, F.lit(1), u).alias("l"), F.slice(codes, u + 1, F.size(codes)).alias("r"))
 
-        return F.array_join(F.transform(F.split(s["e"], ""), one), "")
+    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), code)
+    state = reduce(_let, [step(i) for i in range(4)], _let(codes, cut))
+    return _let(state, lambda s: F.array_join(F.transform(F.concat(s["l"], s["r"]), char), ""))
 
-    return _let(F.struct(entity.alias("e"), stream.alias("r"), entity.rlike("^[0-9a-f]{16,}$").alias("hex")), use)
+
+def _secret(entity: Column, key: list[Column]) -> Column:
+    """Characters of the same kind. Which alphabets hold is seen alike in the surrogate."""
+    hexadecimal, spoken = entity.rlike("^[0-9a-f]{16,}$"), entity.rlike(r"[^\x00-\x7F]|[0-9A-Za-z]")
+    return F.when(hexadecimal, _permuted(entity, HEXADECIMAL, key)).when(spoken, _permuted(entity, ALPHABETS, key)).otherwise(_permuted(entity, PUNCTUATION, key))
 
 
 def _email(entity: Column, key: list[Column]) -> Column:
     local, domain = F.lower(F.substring_index(entity, "@", 1)), F.lower(F.substring_index(entity, "@", -1))
-    tag = F.substring(F.sha2(F.concat_ws("|", *key, F.lit("l"), local, domain).cast("binary"), 256), 1, 16)
-    host = F.substring(F.sha2(F.concat_ws("|", *key, F.lit("d"), domain).cast("binary"), 256), 1, 8)
-    return F.concat(_alike(local, _stream(key, local)), F.lit("."), tag, F.lit("@m"), host, F.lit(".example."), F.substring_index(domain, ".", -1))
+    top = F.substring_index(domain, ".", -1)
+    host = F.substring(domain, F.lit(1), F.length(domain) - F.length(top) - 1)
+    return F.concat(_permuted(local, ALPHABETS, [*key, domain]), F.lit("@"), _permuted(host, ALPHABETS, key), F.lit(".example."), top)
 
 
 def _name(entity: Column, female: Column, key: list[Column]) -> Column:
-    def spell(word: Column, script: str, endings: tuple[str, str]) -> Column:
-        def put(r: Column) -> Column:
-            hexa = lambda k: F.conv(F.substring(r, k, 1), 16, 10).cast("int")
-            parts = []
-            for k in range(5):
-                parts += [F.substring(F.lit(CONSONANTS[script]), hexa(2 * k + 1) + 1, F.lit(1)), F.element_at(F.array(*[F.lit(v) for v in VOWELS[script]]), hexa(2 * k + 2) + 1)]
-            return F.initcap(F.concat(*parts, F.when(female, endings[0]).otherwise(endings[1])))
-
-        return _let(F.sha2(F.concat_ws("|", *key, word).cast("binary"), 256), put)
+    def ended(word: Column, script: str) -> Column:
+        return F.concat(_permuted(word, SPOKEN, key), F.when(female, ENDINGS[script][0]).otherwise(ENDINGS[script][1]))
 
     def one(w: Column) -> Column:
-        return F.when(~w.rlike(r"^\p{Lu}"), w).when(w.rlike(r"^\p{IsCyrillic}"), spell(w, "cyrillic", ("на", "н"))).otherwise(spell(w, "latin", ("na", "n")))
+        return F.when(~w.rlike(r"^\p{Lu}"), w).when(w.endswith("."), _permuted(w, SPOKEN, key)).when(w.rlike(r"^\p{IsCyrillic}"), ended(w, "cyrillic")).otherwise(ended(w, "latin"))
 
     return F.array_join(F.transform(F.split(entity, " "), one), " ")
 
 
 def kind(entity: Column) -> Column:
-    """The type of a detected entity, from its shape."""
+    """The type of an entity, which stands before its first colon."""
+    return F.substring_index(entity, ":", 1)
+
+
+def _value(entity: Column) -> Column:
+    return F.substring(entity, F.length(kind(entity)) + 2, F.length(entity))
+
+
+def _shape(found: Column) -> Column:
+    """The type of what was found without a title or keyword; ``none`` for numbers that are no card."""
+    digits = F.regexp_replace(found, "[ \\-]", "")
     return (
-        F.when(entity.rlike(r"^[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,63}$"), "email")
-        .when(entity.rlike(r"^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$"), "ip")
-        .when(entity.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
-        .when(entity.rlike(r"^\+[0-9 \s().\-]+$|^\(?[0-9]{3}\)?[ .\-][0-9]{3}[.\-][0-9]{4}$"), "phone")
-        .when(entity.rlike(r"^[0-9](?:[ \-]?[0-9]){12,18}$"), "card")
-        .when(entity.rlike(rf"^[fm]:{NAME}$"), "name")
+        F.when(found.rlike(r"^[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,63}$"), "email")
+        .when(found.rlike(r"^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$|^[0-9A-Fa-f:]*:[0-9A-Fa-f:]*$"), "ip")
+        .when(found.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
+        .when(found.rlike(r"^\+[0-9 \s().\-]+$|^\(?[0-9]{3}\)?[ .\-][0-9]{3}[.\-][0-9]{4}$"), "phone")
+        .when(found.rlike(r"^[0-9](?:[ \-]?[0-9]){12,18}$"), F.when(digits.rlike(ISSUER) & (_luhn(digits) % 10 == 0), "card").otherwise("none"))
         .otherwise("secret")
     )
 
 
 def surrogate(entity: Column, key: str, turn: int = 0) -> Column:
-    """The replacement of an entity; names are given as ``f:Name`` or ``m:Name``."""
-    k = kind(entity)
-    base = [F.lit(key), F.lit(turn)]
-    of = lambda t: [*base, F.lit(t)]
-    country = F.when(entity.startswith("+"), F.length(F.regexp_extract(entity, r"^\+([0-9]{1,3}?)(?:[\s.\-(]|[0-9]{10}$)", 1))).otherwise(0)
-    kept = F.when(k == "phone", country).when(k == "card", 1).otherwise(0)
-    return (
-        F.when(k == "email", _email(entity, of("email")))
-        .when(k.isin("phone", "card", "ssn"), _digits(entity, kept, [*base, k]))
-        .when(k == "ip", _ip(entity, of("ip")))
-        .when(k == "name", _name(F.substring(entity, F.lit(3), F.length(entity)), entity.startswith("f:"), of("name")))
-        .otherwise(_alike(entity, _stream(of("secret"), entity)))
-    )
+    """The replacement of an entity, given as ``type:value``, names as ``name:f:value`` or ``name:m:value``."""
+    base = [F.lit(key), F.lit(str(turn))]
+
+    def put(s: Column) -> Column:
+        k, v = s["k"], s["v"]
+        of = lambda t: [*base, F.lit(t)]
+        country = F.when(v.startswith("+"), F.length(F.regexp_extract(v, r"^\+([0-9]{1,3}?)(?:[\s.\-(]|[0-9]{10}$)", 1))).otherwise(0)
+        kept = F.when(k == "phone", country).when(k == "card", 4).otherwise(0)
+        return (
+            F.when(k == "email", _email(v, of("email")))
+            .when(k.isin("phone", "card", "ssn"), _digits(v, kept, k == "card", [*base, k]))
+            .when((k == "ip") & v.contains(":"), _permuted(F.lower(v), HEXADECIMAL, of("ip")))
+            .when(k == "ip", _ip(v, of("ip")))
+            .when(k == "name", _name(F.substring(v, F.lit(3), F.length(v)), v.startswith("f:"), of("name")))
+            .when(k == "secret", _secret(v, of("secret")))
+            .otherwise(v)
+        )
+
+    return _let(F.struct(kind(entity).alias("k"), _value(entity).alias("v")), put)
 
 
 TITLES = ("Mr", "Ms", "Dr", "Prof", "Herr", "Frau", "Señor", "Monsieur", "Madame", "Госп")
 
 
 def _split(text: Column) -> Column:
-    """``e``, the entities in order (names with their gender), and ``p``, the text
+    """``e``, the entities in order as ``surrogate`` takes them, and ``p``, the text
     around them; null where there is none. Texts without a digit, an at-sign, a
     colon, an equals sign, a title, AKIA or a long run of hexadecimal letters
     cannot have any and are not searched."""
@@ -224,7 +289,9 @@ def _split(text: Column) -> Column:
             head = F.regexp_extract(f, HEAD, 0)
             name = (head == "") & f.rlike(f"^{NAME}$") & (before.rlike(rf"(?:{TITLE})\.? $") | F.array_contains(s["w"], f))
             gender = F.when(~name, "").when(before.rlike(FEMALE), "f:").when(before.rlike(MALE), "m:").otherwise("?")
-            return F.struct(before.alias("b"), head.alias("h"), F.substring(f, F.length(head) + 1, F.length(f)).alias("e"), gender.alias("g"))
+            entity = F.substring(f, F.length(head) + 1, F.length(f))
+            of = F.when(head != "", "secret").when(name, "name").otherwise(_shape(entity))
+            return F.struct(before.alias("b"), head.alias("h"), entity.alias("e"), gender.alias("g"), of.alias("t"))
 
         return _let(F.zip_with(s["f"], F.slice(s["p"], 1, F.size(s["f"])), look), lambda each: gendered(each, F.element_at(s["p"], -1)))
 
@@ -233,7 +300,7 @@ def _split(text: Column) -> Column:
 
         def full(x: Column, k: Column) -> Column:
             own = F.get(F.filter(k, lambda y: F.array_contains(F.split(x["e"], " "), y["w"])), F.lit(0))["g"]
-            return F.concat(F.when(x["g"] == "?", F.coalesce(own, F.lit("m:"))).otherwise(x["g"]), x["e"])
+            return F.concat(x["t"], F.lit(":"), F.when(x["g"] == "?", F.coalesce(own, F.lit("m:"))).otherwise(x["g"]), x["e"])
 
         return F.struct(_let(known, lambda k: F.transform(each, lambda x: full(x, k))).alias("e"), F.concat(F.transform(each, lambda x: F.concat(x["b"], x["h"])), F.array(end)).alias("p"))
 
@@ -242,22 +309,32 @@ def _split(text: Column) -> Column:
 
 def entities(text: Column) -> Column:
     """The entities of a text in order; null if it has none."""
-    return _split(text)["e"]
+    return F.filter(_split(text)["e"], lambda e: kind(e) != "none")
 
 
-def collisions(df: DataFrame, key: str, turn: int, text_col: str = "text") -> DataFrame:
-    """Surrogates that two entities of the corpus share, with their number."""
+def distinct_entities(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """``entity``, each of the corpus once; addresses in lower case."""
     each = df.select(F.explode(entities(F.col(text_col))).alias("entity")).distinct()
-    canon = F.when(kind(F.col("entity")) == "email", F.lower("entity")).otherwise(F.col("entity"))
-    return each.select(canon.alias("entity")).distinct().groupBy(surrogate(F.col("entity"), key, turn).alias("surrogate")).agg(F.count("*").alias("n")).where("n > 1")
+    canon = F.when(kind(F.col("entity")).isin("email", "ip"), F.lower("entity")).otherwise(F.col("entity"))
+    return each.select(canon.alias("entity")).distinct()
+
+
+def collisions(each: DataFrame, key: str, turn: int) -> DataFrame:
+    """Surrogates, by type, that two of the entities share or that are an entity, with their number."""
+    made = each.select(kind(F.col("entity")).alias("kind"), surrogate(F.col("entity"), key, turn).alias("surrogate"), F.lit(1).alias("made"))
+    real = each.select(kind(F.col("entity")).alias("kind"), F.regexp_replace(_value(F.col("entity")), "^[fm]:", "").alias("surrogate"), F.lit(0).alias("made"))
+    both = made.union(real.distinct()).groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.sum("made").alias("made"))
+    return both.where("n > 1 and made > 0")
 
 
 def choose_round(df: DataFrame, key: str, text_col: str = "text") -> int:
-    """The first turn of the key that gives different entities different surrogates."""
+    """The first turn of the key without collisions, or else the one with the fewest."""
+    each, least = stored(distinct_entities(df, text_col), "pii-entities"), []
     for turn in range(ROUNDS):
-        if collisions(df, key, turn, text_col).isEmpty():
+        least.append(collisions(each, key, turn).count())
+        if not least[-1]:
             return turn
-    raise ValueError(f"no turn of the key below {ROUNDS} is free of collisions")
+    return min(range(ROUNDS), key=least.__getitem__)
 
 
 def replace(df: DataFrame, key: str, text_col: str = "text", check: bool = True) -> DataFrame:
@@ -266,7 +343,7 @@ def replace(df: DataFrame, key: str, text_col: str = "text", check: bool = True)
     turn = choose_round(df, key, text_col) if check else 0
     text = F.col("_row")[text_col]
     join = lambda s: F.array_join(F.zip_with(s["p"], F.transform(s["e"], lambda e: surrogate(e, key, turn)), lambda p, x: F.concat(p, F.coalesce(x, F.lit("")))), "")
-    done = F.struct(_let(_split(text), lambda s: F.struct(F.when(s["p"].isNotNull(), join(s)).alias("text"), F.coalesce(F.transform(s["e"], kind), F.array().cast("array<string>")).alias("kinds"))).alias("x"))
+    done = F.struct(_let(_split(text), lambda s: F.struct(F.when(s["p"].isNotNull(), join(s)).alias("text"), F.coalesce(F.transform(s["e"], lambda e: kind(e)), F.array().cast("array<string>")).alias("kinds"))).alias("x"))
     found = df.select(F.struct(*df.columns).alias("_row")).withColumn("_x", done["x"])
     count = lambda t: F.size(F.filter(F.col("_x.kinds"), lambda k: k == t))
     out = F.coalesce(F.col("_x.text"), text).alias(text_col)
