@@ -7,11 +7,19 @@ all that is kept. Pass two reads the texts again: rows that miss the filter
 are unique and pass straight through, and only the others shuffle, to be
 grouped by the SHA-256 of their normalised text.
 
-The filter has at most ``MAX_SLOTS`` bits (8 MB), which bounds what is
-broadcast. Beyond the row count at which so many bits would no longer tell
-rows apart, every row takes the grouping path: same result, more shuffle.
-
-Nulls count as empty text. Rows equal in text and id are ranked among
+A filter has at most ``MAX_SLOTS`` bits (32 MB), which bounds what is broadcast.
+More rows than these serve are taken in shards, ranges of the SHA-256 with a
+filter each: the hashes are stored sorted, so a shard reads little more than
+its own. Where the texts themselves are carried along, one filter serves all
+rows, as reading all texts once a shard would cost more than it saves; beyond
+what it can tell apart more rows shuffle, and the result is the same.
+
+Texts with a thousandth of the rows or more, at most a thousand, are told to
+all tasks, and their copies stay where they are; copies of other texts meet by
+their hash.
+
+Nulls count as empty text; an empty table gives an empty table; very long texts
+count whole. Rows equal in text and id are ranked among
 themselves, so exactly one row of a group stays. Rows with a null id come last.
 """
 
@@ -20,11 +28,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, stored
+from .common import SPACE, new_path, stored
 
 SLOTS_PER_ROW = 16
-MIN_SLOTS, MAX_SLOTS = 1 << 16, 1 << 26
+MIN_SLOTS, MAX_SLOTS = 1 << 16, 1 << 28
 HASHES = 2
+#: Texts with one in so many rows or more are hot.
+HOT = 1000
 OUT = ("keep_id", "group_size", "kept", "text_sha256")
 
 
@@ -48,32 +58,51 @@ def repeated_slots(hashes: DataFrame, m: int) -> DataFrame:
     return full.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0)).alias("bits")))), lambda x: x["bits"]).alias("bits"))
 
 
+def _marked(base: DataFrame, hashes: DataFrame, m: int) -> DataFrame:
+    """``base`` with ``_maybe``: the filter has both slots of the row's hash."""
+    bitmap = stored(repeated_slots(hashes, m), "dedup-filter").scalar()
+    maybe = F.lit(True)
+    for s in _slots(F.col("_sha"), m):
+        maybe = maybe & (F.bit_get(F.get(bitmap, F.shiftright(s, 6).cast("int")), s.bitwiseAND(63).cast("int")) == 1)
+    return base.withColumn("_maybe", maybe)
+
+
+def _by_shard(base: DataFrame, m: int, shards: int) -> DataFrame:
+    """The same, a range of hashes and its filter after another."""
+    spark, path = base.sparkSession, new_path(base.sparkSession, "dedup-marked")
+    ends = [f"{(k << 32) // shards:08x}" for k in range(shards)] + ["g"]
+    for k in range(shards):
+        mine = base.where((F.col("_sha") >= ends[k]) & (F.col("_sha") < ends[k + 1]))
+        _marked(mine, mine, m).write.option("compression", "zstd").parquet(f"{path}/{k}")
+    schema = base.schema.add("_maybe", "boolean")
+    return spark.read.schema(schema).parquet(*[f"{path}/{k}" for k in range(shards)])
+
+
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Columns ``carry`` (all by default), ``keep_id``, ``group_size``, ``kept``
     and ``text_sha256`` for every row, dropped ones too. Carried columns with
     the name of one of these give way to it."""
     carry = [c for c in (df.columns if carry is None else carry) if c not in OUT]
     base = df.select(F.struct(*carry).alias("_row"), F.col(id_col).alias("_id"), text_sha256(text_col).alias("_sha"))
-    if text_col in carry:
+    whole = text_col in carry
+    if whole:
         hashes = stored(base.select("_sha"), "dedup-hashes")
     else:
-        base = hashes = stored(base, "dedup-hashes")
+        base = hashes = stored(base.sortWithinPartitions("_sha"), "dedup-hashes")
     rows = hashes.count()
+    shards = 1 if whole else max(1, -(-SLOTS_PER_ROW * rows // MAX_SLOTS))
     m = MIN_SLOTS
-    while m < SLOTS_PER_ROW * rows and m < MAX_SLOTS:
+    while m < SLOTS_PER_ROW * rows // shards and m < MAX_SLOTS:
         m *= 2
-    maybe = F.lit(True)
-    if 4 * rows <= m:
-        bitmap = stored(repeated_slots(hashes, m), "dedup-filter").scalar()
-        for s in _slots(F.col("_sha"), m):
-            maybe = maybe & (F.bit_get(F.get(bitmap, F.shiftright(s, 6).cast("int")), s.bitwiseAND(63).cast("int")) == 1)
-    marked = base.withColumn("_maybe", maybe)
+    marked = _marked(base, hashes, m) if shards == 1 else _by_shard(base, m, shards)
     single = marked.where(~F.col("_maybe")).select("_row.*", F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("_sha").alias("text_sha256"))
     some = marked.where("_maybe").drop("_maybe")
-    groups = some.groupBy("_sha").agg(F.count("*").alias("group_size"), F.min("_id").alias("keep_id"))
-    first = F.col("_id").eqNullSafe(F.col("keep_id"))
+    groups = stored(some.groupBy("_sha").agg(F.count("*").alias("group_size"), F.min("_id").alias("keep_id")), "dedup-groups")
+    hot = F.broadcast(groups.where(F.col("group_size") * HOT >= rows))  # at most HOT rows
+    cold = groups.where(F.col("group_size") * HOT < rows)
+    joined = some.join(hot, "_sha").unionByName(some.join(hot, "_sha", "left_anti").join(cold, "_sha"))
     # Rows that tie for first are ranked; the others are only dealt out evenly.
-    tie = Window.partitionBy(F.xxhash64("_sha"), "_deal").orderBy(F.lit(1))
-    joined = some.join(groups, "_sha").withColumn("_first", first).withColumn("_deal", F.when(F.col("_first"), -1).otherwise(F.pmod(F.xxhash64("_id"), F.lit(1024))))
-    grouped = joined.withColumn("kept", F.col("_first") & (F.row_number().over(tie) == 1))
+    first = F.col("_id").eqNullSafe(F.col("keep_id"))
+    tied = joined.where(first).withColumn("kept", F.row_number().over(Window.partitionBy("_sha").orderBy(F.lit(1))) == 1)
+    grouped = tied.unionByName(joined.where(~first).withColumn("kept", F.lit(False)))
     return single.unionByName(grouped.select("_row.*", "keep_id", "group_size", "kept", F.col("_sha").alias("text_sha256")))

@@ -48,6 +48,23 @@ def test_exact_dedup(docs):
     assert exact_dedup.exact_dedup(docs.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("carry", [None, ["doc_id"]])
+def test_exact_dedup_beyond_one_filter(spark, monkeypatch, carry):
+    monkeypatch.setattr(exact_dedup, "MIN_SLOTS", 4096)
+    monkeypatch.setattr(exact_dedup, "MAX_SLOTS", 4096)
+    monkeypatch.setattr(exact_dedup, "HOT", 10)
+    docs = spark.range(2560).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 2000).cast("string")).alias("text"))
+    out = exact_dedup.exact_dedup(docs, carry=carry).toPandas()
+    text = {i: "hot" if i % 3 == 0 else str(i % 2000) for i in range(2560)}
+    groups = {}
+    for i, t in text.items():
+        groups.setdefault(t, []).append(i)
+    assert len(out) == 2560
+    for r in out.itertuples():
+        own = groups[text[r.doc_id]]
+        assert (r.keep_id, r.group_size, r.kept) == (own[0], len(own), r.doc_id == own[0])
+
+
 def test_near_duplicates(docs):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in partenum.near_duplicates(docs).collect()}
     sets = {}
@@ -231,6 +248,52 @@ def test_quality_counts_and_viterbi():
     assert quality.base_counts(b"", WordHashes()) == (0, 0, 0, 0, 0)
 
 
+def test_quality_likelihood_equals_enumeration():
+    import itertools
+
+    rng = np.random.default_rng(4)
+    w, t = rng.normal(size=(quality.FEATURES, 2)), rng.normal(size=(2, 2))
+    sequences = [rng.normal(size=(n, quality.FEATURES)) for n in (1, 3, 5)]
+    labels = [rng.integers(0, 2, len(x)) for x in sequences]
+    score = lambda x, y, w, t: sum((x @ w)[i, y[i]] for i in range(len(x))) + sum(t[y[i], y[i + 1]] for i in range(len(x) - 1))
+
+    def brute(w, t):
+        return sum(score(x, y, w, t) - np.log(sum(np.exp(score(x, z, w, t)) for z in itertools.product((0, 1), repeat=len(x)))) for x, y in zip(sequences, labels, strict=True))
+
+    value, gw, gt = quality.likelihood(*quality._padded(sequences, labels), w, t)
+    assert abs(value - brute(w, t)) < 1e-9
+    for param, grad in ((w, gw), (t, gt)):
+        for at in ((0, 0), (1, 1), (1, 0)):
+            param[at] += 1e-5
+            up = brute(w, t)
+            param[at] -= 2e-5
+            down = brute(w, t)
+            param[at] += 1e-5
+            assert abs((up - down) / 2e-5 - grad[at]) < 1e-5
+
+
+def test_quality_marks_planted_boilerplate_and_leaves_its_neighbours(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    w, t = quality.fit(docs.union(docs), labels)
+    again = quality.fit(docs.repartition(7), labels)
+    assert np.allclose(w, again[0]) and np.allclose(t, again[1])
+    good = [r["text"].encode() for r in docs.join(labels.where("quality = 1"), "doc_id").where("text is not null").orderBy("doc_id").collect()]
+    good = [[x for x in g.split(b"\n") if x.strip()] for g in good]
+    good = [g for g in good if 6 <= len(g) <= 200][:40]
+    planted = [b"### $$$ %%% &&& ***", b"Home | About | Contact | Login", b"This work is licensed under the GNU General Public License, version 3.", b"Buy now and save, free shipping on all orders!"]
+    hit = stay = lines = 0
+    for g in good:
+        for p in planted:
+            at = len(g) // 2
+            y = quality.viterbi(quality.line_features(b"\n".join([*g[:at], p, *g[at:]]))[0] @ w, t)
+            hit, stay, lines = hit + (y[at] == 0), stay + y.sum(), lines + len(g)
+    assert len(good) >= 20 and hit >= 0.95 * len(good) * len(planted) and stay >= 0.95 * lines
+    out = quality.judge(docs, (w, t)).join(labels.where("quality in (0, 1)"), "doc_id")
+    right = out.where("kept = (quality = 1)").count()
+    assert right >= 0.9 * out.count()
+    assert quality.judge(docs.where("false"), (w, t)).count() == 0 and quality.fit(docs, labels.where("false"))[0][0, 1] == 1
+
+
 def test_quality_on_awkward_texts(spark, docs):
     w = np.zeros((quality.FEATURES, 2))
     w[0, 1] = 1.0
