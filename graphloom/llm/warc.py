@@ -5,13 +5,19 @@ payloads, of at least ``min_bytes``, the one with the smallest id is a
 ``response`` and the others are ``revisit`` records that refer to it.
 
 The reader's tasks each get a byte range of a file. A task looks for gzip's
-magic from the start of its range, validates each place by decoding the member
-and reading a WARC header, and from the first valid one follows the chain of
-members. It owns the records that start inside its range, however far they
-reach past its end, so ranges may cut anywhere.
+magic from the start of its range and validates each place by decoding the
+member and reading a WARC header; another such member or the end of the file
+must follow, so a record stored inside a record is not taken for one. From the
+first valid one it follows the chain of members. It owns the records that
+start inside its range, however far they reach past its end, so ranges may cut
+anywhere. A chain that breaks is an error, unless ``strict`` is false: then the
+reader looks for the next member. ``round_trip`` compares the number of records
+read with that of rows written.
 
 Null payloads count as empty. Rows with one id and equal payloads are all
-responses; rows with a null id are written with an empty id.
+responses; rows with a null id are written with an empty id and are responses,
+unless another row has their payload. Empty tables give no file. A record is
+held in memory whole.
 """
 
 from __future__ import annotations
@@ -26,14 +32,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, small_batches
+from .common import new_path, small_batches, stored
 
 MAGIC = b"\x1f\x8b\x08"
-SALTS = 16
 READ_BYTES = 1 << 20
 SPLIT_BYTES = 8 << 20
-#: How much of a candidate member is decoded to see whether a WARC header follows.
-PROBE_BYTES = 4096
+MAX_TASKS = 50_000
+#: Payloads with one in so many rows or more are hot: all tasks are told of them.
+HOT = 1000
 
 
 def sha1_base32(payload: bytes) -> str:
@@ -60,7 +66,7 @@ def filesystem(uri: str):
 
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0) -> DataFrame:
-    """Writes archives under ``path`` and returns the manifest: ``file`` and ``bytes``.
+    """Writes archives under ``path`` and returns the manifest: ``file``, ``bytes`` and ``records``.
 
     A task writes a file under a name of its own and the manifest, written
     last, names the files of the attempts that counted; files of lost or
@@ -70,23 +76,26 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     small_batches(spark)
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     sha = F.sha1(payload)
-    first = pages.where(F.length(payload) >= min_bytes).groupBy(sha.alias("_sha")).agg(F.min(id_col).alias("_first"), F.count("*").alias("_n")).where("_n > 1")
-    # Salted: a payload that a third of all pages share still meets many tasks.
-    firsts = first.select("_sha", "_first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    fields = "id long, url string, member binary, _sha string, _salt int"
+    first = pages.where(F.length(payload) >= min_bytes).groupBy(sha.alias("_sha")).agg(F.min(id_col).cast("long").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    first, rows = stored(first, "warc-first"), pages.count()
+    hot = F.broadcast(first.where(F.col("_n") * HOT >= rows).select("_sha", "_first"))  # at most HOT rows
+    cold = first.where(F.col("_n") * HOT < rows).select("_sha", "_first")
+    fields = "id long, url string, member binary, _sha string"
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = list(zip(*(c.to_pylist() for c in b.columns), strict=True))
-            made = [member(i, u, p, sha1_base32(p), None, False) for i, u, p, _, _ in rows]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.binary()), b.column(3), b.column(4)], names=["id", "url", "member", "_sha", "_salt"])
+            made = [member(i, u, p, sha1_base32(p), None, False) for i, u, p, _ in rows]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.binary()), b.column(3)], names=["id", "url", "member", "_sha"])
 
-    source = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("p"), sha.alias("_sha"), F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int").alias("_salt"))
+    source = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("p"), sha.alias("_sha"))
     # Compressed members shuffle, not pages; one that turns out a revisit is made anew, from its header.
-    joined = source.mapInArrow(pack, fields).join(firsts, ["_sha", "_salt"], "left").select("id", "url", "member", "_first")
+    members = source.mapInArrow(pack, fields)
+    rest = members.join(hot, "_sha", "left_anti").join(cold, "_sha", "left")
+    joined = members.join(hot, "_sha").unionByName(rest).select("id", "url", "member", "_first")
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, name, size = None, "", 0
+        out, name, size, count = None, "", 0, 0
         for b in batches:
             for i, url, m, ref in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if ref is not None and ref != i:
@@ -98,13 +107,13 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
                     name = f"{uuid.uuid4().hex}.warc.gz"
                     out = fs.open_output_stream(f"{at}/{name}", compression=None)
                 out.write(m)
-                size += len(m)
+                size, count = size + len(m), count + 1
         if out is not None:
             out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([size], pa.int64())], names=["file", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([size], pa.int64()), pa.array([count], pa.int64())], names=["file", "bytes", "records"])
 
     manifest = f"{path}/_manifest"
-    joined.mapInArrow(store, "file string, bytes long").write.parquet(manifest)
+    joined.mapInArrow(store, "file string, bytes long, records long").write.parquet(manifest)
     return spark.read.parquet(manifest)
 
 
@@ -142,9 +151,18 @@ def _decode(read, at: int) -> tuple[bytes, int] | None:
     return b"".join(out), pos - len(z.unused_data)
 
 
-def records(read, start: int, end: int) -> Iterator[dict]:
+def _record(read, at: int) -> tuple[dict, int] | None:
+    """The record whose member starts at ``at`` and the offset after it, or None."""
+    got = _decode(read, at)
+    try:
+        return got and (parse(got[0]), got[1])
+    except (ValueError, KeyError):
+        return None
+
+
+def records(read, start: int, end: int, strict: bool = True) -> Iterator[dict]:
     """Records that start in [start, end); ``read(offset, n)`` gives bytes of the file."""
-    at, synced = start, False
+    at, synced = start, start == 0
     while at < end:
         if not synced:
             window = read(at, min(READ_BYTES, end - at) + len(MAGIC) - 1)
@@ -157,20 +175,19 @@ def records(read, start: int, end: int) -> Iterator[dict]:
             at += hit
             if at >= end:
                 return
-        got = _decode(read, at)
-        if got is not None:
-            try:
-                yield parse(got[0])
-                at, synced = got[1], True
-                continue
-            except (ValueError, KeyError):
-                pass
+        got = _record(read, at)
+        if got is not None and (synced or not read(got[1], 1) or _record(read, got[1]) is not None):
+            yield got[0]
+            at, synced = got[1], True
+            continue
         if synced and not read(at, 1):
             return
+        if synced and strict:
+            raise ValueError(f"no WARC record at byte {at}")
         at, synced = at + 1, False
 
 
-def read(spark: SparkSession, path: str, manifest: DataFrame | None = None, split_bytes: int = SPLIT_BYTES, with_payload: bool = True) -> DataFrame:
+def read(spark: SparkSession, path: str, manifest: DataFrame | None = None, split_bytes: int = SPLIT_BYTES, with_payload: bool = True, strict: bool = True) -> DataFrame:
     """Records of the archives that the manifest names, by byte ranges of at most
     ``split_bytes``: id, url, type, digest, payload_bytes, refers_to and payload
     (of responses), with ``valid``: the payload has the digest it is said to have.
@@ -178,7 +195,9 @@ def read(spark: SparkSession, path: str, manifest: DataFrame | None = None, spli
     manifest = spark.read.parquet(f"{path}/_manifest") if manifest is None else manifest
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long")))
     ranges = manifest.where("bytes > 0").select("file", "bytes", starts.alias("start"))
-    ranges = ranges.select("file", "start", F.least(F.col("bytes"), F.col("start") + split_bytes).alias("end")).repartition("file", "start")
+    ranges = ranges.select("file", "start", F.least(F.col("bytes"), F.col("start") + split_bytes).alias("end"))
+    number = manifest.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 1
+    ranges = ranges.repartition(min(int(number), MAX_TASKS))  # a task a range, if they are not too many
     schema = "id long, url string, type string, digest string, payload_bytes long, refers_to long, valid boolean, payload binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +217,7 @@ def read(spark: SparkSession, path: str, manifest: DataFrame | None = None, spli
                         return f.read(n)
 
                     rows, held = [], 0
-                    for r in records(bytes_at, start, end):
+                    for r in records(bytes_at, start, end, strict):
                         valid = r["type"] == "revisit" or (sha1_base32(r["payload"]) == r["digest"] and len(r["payload"]) == r["payload_bytes"])
                         rows.append([r["id"], r["url"], r["type"], r["digest"], r["payload_bytes"], r["refers_to"], valid, r["payload"] if with_payload and r["type"] == "response" else None])
                         held += len(r["payload"]) if with_payload else 100
@@ -215,7 +234,11 @@ def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Writes ``pages`` to new archives in the shared folder and reads them back."""
     path = new_path(pages.sparkSession, "warc")
     manifest = write(pages, path, min_bytes=min_bytes)
-    return read(pages.sparkSession, path, manifest, with_payload=False)
+    back = stored(read(pages.sparkSession, path, manifest, with_payload=False), "warc-read")
+    written, found = manifest.agg(F.sum("records")).first()[0] or 0, back.count()
+    if written != found:
+        raise ValueError(f"{written} WARC records written, {found} read")
+    return back
 
 
 def checked(valid: Column, value: Column) -> Column:

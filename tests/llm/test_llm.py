@@ -319,6 +319,33 @@ def test_warc_round_trip(spark, tmp_path):
         data = gzip.decompress((tmp_path / "w" / f["file"]).read_bytes())
         assert data.startswith(b"WARC/1.1\r\n")
     assert warc.round_trip(pages.where("false")).count() == 0
+    assert warc.read(spark, path, manifest, split_bytes=1000).rdd.getNumPartitions() >= sum(f["bytes"] for f in manifest.collect()) // 1000
+
+
+def test_warc_records_inside_records_and_broken_members():
+    import zlib
+
+    inner = warc.member(99, "u", b"inner", warc.sha1_base32(b"inner"), None, False)
+    z = zlib.compressobj(0, zlib.DEFLATED, 31)  # stored blocks: the inner member's bytes stand in the file
+    noise = np.random.default_rng(0).bytes(3000)
+    raw = zlib.decompress(warc.member(1, "u", noise + inner + noise, warc.sha1_base32(noise + inner + noise), None, False), 31)
+    file = z.compress(raw) + z.flush() + warc.member(2, "u", b"x", warc.sha1_base32(b"x"), None, False)
+    assert file.find(inner) > 0
+    read = lambda at, n: file[at : at + n]
+    for size in (1, 500, 1500, 10_000):
+        got = [r["id"] for s in range(0, len(file), size) for r in warc.records(read, s, min(len(file), s + size))]
+        assert got == [1, 2]
+    broken = file[:-30] + b"?" * 10 + file[-20:]
+    with pytest.raises(ValueError, match="no WARC record"):
+        list(warc.records(lambda at, n: broken[at : at + n], 0, len(broken)))
+    assert [r["id"] for r in warc.records(lambda at, n: broken[at : at + n], 0, len(broken), strict=False)] == [1]
+
+
+def test_warc_small_payloads_null_and_repeated_ids(spark):
+    rows = [(1, "u", "same"), (2, "u", "same"), (2, "u", "same"), (None, "u", "same"), (3, None, "long enough"), (4, None, "long enough"), (None, None, "alone")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = sorted((str(r["id"]), r["type"], r["refers_to"]) for r in warc.round_trip(pages, min_bytes=5).collect())
+    assert out == sorted([("1", "response", None), ("2", "response", None), ("2", "response", None), ("None", "response", None), ("3", "response", None), ("4", "revisit", 3), ("None", "response", None)])
 
 
 def test_pii(spark):
