@@ -6,6 +6,7 @@ is exactly ``bytes.split()``, so Python code here works on UTF-8 bytes.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,10 +22,13 @@ BATCH_ROWS = 500
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is set."""
+    """The folder all executors share. Where none is set, a temporary one in
+    local mode, where there is one machine, and an error on a cluster."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.sparkContext.getCheckpointDir()
+    if not at and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not at:
         at = tempfile.mkdtemp(prefix="graphloom-")
         spark.sparkContext.setCheckpointDir(at)
@@ -32,7 +36,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/graphloom/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/graphloom/{what}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+#: The tables written so far that nobody has released.
+_MADE: list[str] = []
+
+
+def release(spark: SparkSession, keep: tuple[str, ...] = (), since: int = 0) -> None:
+    """Deletes the tables written after the first ``since``, but for those in
+    ``keep``. For callers whose own results no longer need them."""
+    jvm = spark.sparkContext._jvm
+    for path in [p for p in _MADE[since:] if p not in keep]:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _MADE.remove(path)
+
+
+def made() -> int:
+    return len(_MADE)
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:

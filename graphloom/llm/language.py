@@ -11,7 +11,10 @@ on their own and their sizes added, and the margin is relative to the
 compressed size: neither length nor repetition makes it smaller.
 
 Texts that are null or have no letter get ``und`` with score 0. Rows equal in
-text get equal answers; no other column is looked at.
+text get equal answers; no other column is looked at. Of languages that tie the
+first by name is the answer, with margin 0. Very long texts are compressed
+whole, block by block. Columns that clash with those added give way to them. An
+empty table gives an empty table; without any labelled text all are ``und``.
 """
 
 from __future__ import annotations
@@ -27,9 +30,10 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, text_bytes
 
-#: Bounds of the labelled sample: texts a language, and bytes taken of each.
+#: Bounds of the labelled sample: texts a language, characters taken of each, and
+#: languages (those with the most labelled rows, then by name).
 TEXTS_PER_LANGUAGE = 400
-BYTES_PER_TEXT = 600
+CHARS_PER_TEXT = 600
 LANGUAGES = 256
 LEVEL = 3
 #: Longer texts are compressed in equal blocks of at most this many bytes.
@@ -40,22 +44,25 @@ MARGIN = 0.005
 
 def fit(df: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> dict[str, bytes]:
     """Dictionaries from a bounded sample: in each language the texts with the
-    smallest hashes of their ids, of which ``BYTES_PER_TEXT`` from their middle.
+    smallest hashes of their ids, of which ``CHARS_PER_TEXT`` from their middle.
 
-    The sample has at most LANGUAGES * TEXTS_PER_LANGUAGE * BYTES_PER_TEXT
-    bytes, whatever the size of ``df``. Samples that another language's
+    The sample has at most LANGUAGES * TEXTS_PER_LANGUAGE * CHARS_PER_TEXT
+    characters, whatever the size of ``df``; repeated ids count once, with the
+    least of their pieces. Samples that another language's
     dictionary compresses better are mislabelled or mixed and are left out.
     """
     rank = Window.partitionBy(lang_col).orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col)
     labelled = df.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    picked = labelled.select(lang_col, id_col).withColumn("_k", F.row_number().over(rank)).where(F.col("_k") <= TEXTS_PER_LANGUAGE).select(lang_col, id_col)
-    piece = F.expr(f"substring({text_col}, greatest(1, cast(length({text_col}) / 2 as int) - {BYTES_PER_TEXT // 2}), {BYTES_PER_TEXT})")
-    rows = labelled.join(F.broadcast(picked), [lang_col, id_col]).select(F.col(lang_col).alias("lang"), id_col, piece.alias("piece")).collect()
+    languages = labelled.groupBy(lang_col).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), lang_col).limit(LANGUAGES)
+    known = labelled.select(lang_col, id_col).join(F.broadcast(languages.select(lang_col)), lang_col).distinct()
+    picked = known.withColumn("_k", F.row_number().over(rank)).where(F.col("_k") <= TEXTS_PER_LANGUAGE).select(lang_col, id_col)
+    piece = F.expr(f"substring({text_col}, greatest(1, cast(length({text_col}) / 2 as int) - {CHARS_PER_TEXT // 2}), {CHARS_PER_TEXT})")
+    sample = labelled.join(F.broadcast(picked), [lang_col, id_col]).groupBy(F.col(lang_col).alias("lang"), id_col)
+    rows = sample.agg(F.min(piece).alias("piece")).collect()
     by: dict[str, list[bytes]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], hashlib.sha1(str(r[id_col]).encode()).digest())):
         by.setdefault(r["lang"], []).append(r["piece"].encode())
-    by = {k: v for k, v in sorted(by.items())[:LANGUAGES]}
-    coders = compressors({k: b"\n".join(v) for k, v in by.items()})
+    by = dict(sorted(by.items()))
     if len(by) < 2:
         return {k: b"\n".join(v) for k, v in by.items()}
     out = {}
@@ -63,7 +70,6 @@ def fit(df: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "l
         half = [compressors({k: b"\n".join(v if k != lang else [x for j, x in enumerate(v) if j % 2 != part]) for k, v in by.items()}) for part in (0, 1)]
         clean = [p for j, p in enumerate(pieces) if min(half[j % 2], key=lambda k: len(half[j % 2][k].compress(p))) == lang]
         out[lang] = b"\n".join(clean or pieces)
-    del coders
     return out
 
 

@@ -38,6 +38,8 @@ from .common import salted_rank, stored, word_count
 CAP = 3.0
 BANDS = 48
 ITERATIONS = 60
+#: Parts of the gradient and Hessian that reach the driver in an iteration.
+TASKS = 64
 TOLERANCE = 1e-7
 OUT = ("size", "source_size", "target", "rate", "copies", "taken")
 #: Strength of the soft constraints on bands.
@@ -123,7 +125,7 @@ def solve(cells: DataFrame) -> tuple[DataFrame, np.ndarray]:
 
     mu = np.zeros(BANDS)
     for _ in range(ITERATIONS):
-        sums = sources.mapInPandas(parts(mu), "x array<double>").toPandas()["x"]
+        sums = sources.coalesce(TASKS).mapInPandas(parts(mu), "x array<double>").toPandas()["x"]
         x = np.sum(np.stack(sums.to_numpy()), axis=0) if len(sums) else np.zeros(BANDS * (BANDS + 2) + 1)
         grad, hess, total, spent = x[:BANDS], x[BANDS : BANDS * (BANDS + 1)].reshape(BANDS, BANDS), x[-BANDS - 1 : -1], x[-1]
         ridge = max(spent, 1.0) / SOFT / BANDS

@@ -44,6 +44,7 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _ODD = re.compile("[^!-~À-ÖØ-öø-ÿ]|<\\|")
 _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\n0-9a-zß-öø-ÿ]+")
 _END, _LINE = "\0", "\n"
+_TRIED = ["Don't", "we've", "'ll", "abc123", "ÉCOLE", "größe", "x--y!!", "a1b2", "!@#$%", "The", "straße", "1,234.56", "naïve", "(see)", "e-mail@x.org"]
 
 
 class WordTokens(dict):
@@ -52,7 +53,9 @@ class WordTokens(dict):
 
     For tokenizers that lower-case, drop white space, split at letters, digits
     and other characters, merge bytes within such pieces and mark their ends
-    with ``</w>``; it has fewer than 65,536 ids. Its merges are ordered by id,
+    with ``</w>``. That is tried on some words at first: where it fails, words,
+    or whole texts, go to the tokenizer itself. More than 65,536 ids are
+    refused. The merges are ordered by id,
     so the same merges run in a quicker library, on all new words of a batch at
     once, with a null byte for the mark. Words with characters other than ASCII
     and Latin letters go to the tokenizer itself. A dictionary of the words
@@ -64,6 +67,12 @@ class WordTokens(dict):
         import tiktoken
 
         self.tokenizer, self.most = tokenizer, most
+        if tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError(f"the tokenizer has {tokenizer.get_vocab_size()} ids; they are stored in 16 bits")
+        self.apart = self.ask(" ".join(_TRIED)) == b"".join(map(self.ask, _TRIED))
+        self.quick = None
+        if tokenizer.get_vocab().get("\u010a") is None:
+            return
         byte = _byte_symbols()
         ranks: dict[bytes, int] = {}
         for token, i in tokenizer.get_vocab().items():
@@ -74,10 +83,18 @@ class WordTokens(dict):
         self.line = ranks[b"\n"]
         self.quick = tiktoken.Encoding("words", pat_str="[^\\x00\n]+\\x00|\n", mergeable_ranks=ranks, special_tokens={})
 
+        self.learn([w.encode() for w in _TRIED])
+        if any(self[w.encode()] != self.ask(w) for w in _TRIED):
+            self.quick = None
+        self.clear()
+
     def ask(self, word: str) -> bytes:
         return np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u2").tobytes()
 
     def learn(self, words: list[bytes]) -> None:
+        if self.quick is None:
+            self.update((w, self.ask(w.decode("utf-8", "replace"))) for w in words)
+            return
         lines = b"\n".join(words).decode("utf-8", "replace")
         if _ODD.search(lines.replace(_LINE, "")):
             plain = []
@@ -103,6 +120,8 @@ class WordTokens(dict):
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         if len(self) > self.most:
             self.clear()
+        if not self.apart:
+            return [self.ask((t or b"").decode("utf-8", "replace")) for t in texts]
         split = [(t or b"").split() for t in texts]
         found = [list(map(self.get, words)) for words in split]
         holes = [[i for i, x in enumerate(got) if x is None] if None in got else [] for got in found]

@@ -7,6 +7,10 @@ an L1 term, so most weights end at exactly zero; what is broadcast is the
 non-zero ones.
 
 Null, empty and wordless texts have no feature and get the score of the bias.
+Very long texts are scored whole; repeated rows get equal scores; a column
+``score`` gives way. Repeated ids count once for training, with the least of
+their feature lists. An empty table gives an empty table, and without labels
+all scores are even.
 """
 
 from __future__ import annotations
@@ -19,11 +23,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_bytes
+from .common import mix64, small_batches, text_bytes
 
 BITS = 20
-#: Most labelled documents read for training, and most features of one of them.
-TRAIN_ROWS = 15_000
+#: Most labelled documents read for training, and most features of one of them:
+#: of longer ones those with the smallest hashes.
+TRAIN_ROWS, TRAIN_FEATURES = 15_000, 20_000
 ALPHA, BETA, L2 = 1.0, 1.0, 1.0
 #: The L1 term is the number of training rows over ROWS_PER_L1, within bounds:
 #: a feature has to recur in a share of the sample to get a weight.
@@ -51,6 +56,14 @@ def slots(text: bytes | None, words: dict[bytes, int]) -> np.ndarray:
     return np.concatenate([(p * np.uint64(0xFF51AFD7ED558CCD) >> np.uint64(64 - BITS)) for p in parts]).astype(np.int64)
 
 
+def sampled(found: np.ndarray) -> np.ndarray:
+    """A document's distinct slots, at most TRAIN_FEATURES of them, sorted."""
+    found = np.unique(found)
+    if len(found) > TRAIN_FEATURES:
+        found = np.sort(found[np.argsort(mix64(found.astype(np.uint64) + np.uint64(1)), kind="stable")[:TRAIN_FEATURES]])
+    return found
+
+
 def train(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
     """Slots and weights that are not zero, and the bias."""
     n_slots = 1 << BITS
@@ -89,11 +102,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for b in batches:
-            got = [np.unique(slots(t, words)).astype("<i4").tobytes() for t in b.column(2).to_pylist()]
+            got = [sampled(slots(t, words)).astype("<i4").tobytes() for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.binary())], names=["id", "y", "slots"])
 
     sample = docs.select(id_col, text_bytes(text_col).alias("_bytes")).join(F.broadcast(picked), id_col)
-    rows = sample.select(F.col(id_col).cast("long").alias("id"), F.col("y").cast("int"), "_bytes").mapInArrow(run, "id long, y int, slots binary").toPandas()
+    rows = sample.select(F.col(id_col).cast("long").alias("id"), F.col("y").cast("int"), "_bytes").mapInArrow(run, "id long, y int, slots binary").groupBy("id", "y").agg(F.min("slots").alias("slots")).toPandas()
     rows = rows.sort_values(["id", "slots"])
     bias = np.array([1 << BITS], np.int64)
     return train([(np.concatenate([np.frombuffer(s, "<i4").astype(np.int64), bias]), int(y)) for s, y in zip(rows["slots"], rows["y"], strict=True)])
