@@ -4,7 +4,10 @@ Language ID drops rows whose language it rejects, exact dedup and the n-gram
 Jaccard join keep one row of each group (the smallest id), mixing repeats or
 drops rows to meet its sources' targets, and packing cuts what is left into
 sequences of tokens. All stages but the last return the columns of
-``documents``. A document that mixing takes twice is packed twice.
+``documents``. A document that mixing takes twice is packed twice. Null, empty
+and letterless texts go with the language they have not; null ids are never
+near duplicates; repeated rows go in exact dedup. An empty table of documents
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import exact_dedup, language, mixing, packing, partenum
-from graphloom.llm.common import fold, new_path
+from graphloom.llm.common import fold, made, new_path, release
 from graphloom.llm.queries import tokenizer_path
 
 
@@ -54,8 +57,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    since = made()
     for name, stage in STAGES:
         path = new_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        release(spark, keep=(path,), since=since)  # a stage's own tables, and the one before's result
     return docs
