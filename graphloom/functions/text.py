@@ -26,13 +26,20 @@ def slug_signature(value: str | Column) -> Column:
 
 
 def slug(value: str | Column) -> Column:
+    """A file-safe name. What is one already, nearly every id, costs one match."""
+    plain = _col(value).rlike("^[a-z0-9]+(?:-[a-z0-9]+)*$")
     s = F.regexp_replace(slug_signature(value), "^-+|-+$", "")
-    s = F.when(s == "", "node").otherwise(s)
-    return F.when(s.isin(*RESERVED), F.concat(s, F.lit("-"))).otherwise(s)
+    device = lambda x: x.isin(*RESERVED)
+    own = F.when(device(_col(value)), F.concat(_col(value), F.lit("-"))).otherwise(_col(value))
+    return F.when(plain, own).when(s == "", "node").when(device(s), F.concat(s, F.lit("-"))).otherwise(s)
 
 
 def edge_id(source: str | Column, relation: str | Column, target: str | Column) -> Column:
-    return F.concat(F.lit("e_"), slug(source), F.lit("__"), slug(relation), F.lit("__"), slug(target))
+    return edge_id_of_slugs(slug(source), slug(relation), slug(target))
+
+
+def edge_id_of_slugs(source: str | Column, relation: str | Column, target: str | Column) -> Column:
+    return F.concat(F.lit("e_"), _col(source), F.lit("__"), _col(relation), F.lit("__"), _col(target))
 
 
 def normalize_py(text: str | None) -> str | None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import edge_id, slug, slug_signature
+from ..functions.text import edge_id, edge_id_of_slugs, slug, slug_signature
 from ..schema import CONFIDENCE, FAILURE, GROUNDABLE, PROVENANCE, STATES, clamped_confidence, coerced
 
 EDGE_FLOOR, NODE_FLOOR, FLOOD_FACTOR, MIN_SPAN = 64, 512, 20, 4
@@ -34,6 +34,7 @@ def flood(df: DataFrame, baseline: Column, floor: int, existing: str = "known")
     so their running count is small; it is still taken after the filter.
     """
     fits = F.col("reason").isNull()
+    df = df.repartition("payload")  # which all three windows can use
     first = F.row_number().over(Window.partitionBy("payload", "id", fits).orderBy("ord"))
     marked = df.withColumn("_first", F.when(fits, first))
     new = (fits & (F.col("_first") == 1) & ~F.col(existing)).cast("int")
@@ -58,10 +59,14 @@ def edge_dispositions(payload: DataFrame, pack: list[str], failed: DataFrame, ve
     """
     e = payload.withColumn("provenance", coerced(F.col("provenance"), PROVENANCE, "inferred")).withColumn("confidence_score", clamped_confidence(F.col("confidence_score")))
     e = guard(e.withColumn("epistemic_state", coerced(F.col("epistemic_state"), STATES, "unverified")))
-    e = e.withColumn("id", edge_id("source", "relation", "target")).withColumn("reverse", edge_id("target", "relation", "source"))
-    f = failed.select("id").distinct()
-    v = verdicts.select("id").distinct()
-    e = e.join(f.withColumn("_f", F.lit(True)), "id", "left").join(f.toDF("reverse").withColumn("_r", F.lit(True)), "reverse", "left").join(v.withColumn("_v", F.lit(True)), "id", "left").join(existing.select("id").distinct().withColumn("known", F.lit(True)), "id", "left")
+    e = e.select("*", F.struct(slug("source").alias("s"), slug("relation").alias("r"), slug("target").alias("t")).alias("_x"))
+    e = e.withColumn("id", edge_id_of_slugs("_x.s", "_x.r", "_x.t")).withColumn("reverse", edge_id_of_slugs("_x.t", "_x.r", "_x.s")).drop("_x")
+    # One table of what is known of an id, joined once for it; reversed ids matter to hypotheses alone.
+    mark = lambda df, name: df.select("id", *[F.lit(True if n == name else None).cast("boolean").alias(n) for n in ("_f", "_v", "known")])
+    known = mark(failed, "_f").unionAll(mark(verdicts, "_v")).unionAll(mark(existing, "known"))
+    known = known.groupBy("id").agg(*[F.max(n).alias(n) for n in ("_f", "_v", "known")])
+    back = failed.select(F.col("id").alias("reverse")).distinct().withColumn("_r", F.lit(True))
+    e = e.join(known, "id", "left").join(back, "reverse", "left")
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     hyp = F.col("provenance") == "hypothesized"
     empty = lambda c: ~F.coalesce(F.col(c), F.lit("")).rlike(WORD_CHAR)

@@ -11,7 +11,7 @@ from ..operators import measure as m
 from ..operators import retrieve as r
 from ..operators import write as w
 from ..sources import lift
-from ..sources.lift import LIFT_SQL, edges, nodes
+from ..sources.lift import LIFT_SQL, edges, nodes, stored_edges
 from .registry import query
 
 L = f"WITH {LIFT_SQL}"
@@ -49,7 +49,7 @@ PAYLOAD = """, pl AS (
 SELECT CASE WHEN reason LIKE 'collapses%' OR reason LIKE 'undeclared%' THEN 'QUARANTINED' WHEN reason IS NOT NULL THEN 'REJECTED' WHEN forged <> '' THEN 'DEMOTED' ELSE 'ACCEPTED' END AS disposition,
   concat_ws('; ', reason, CASE WHEN forged <> '' THEN forged END, CASE WHEN dup THEN 'deduped' END) AS reason, count(*) AS n FROM dd GROUP BY ALL""")
 def edge_dispositions(spark, d):
-    e = edges(spark, d)
+    e = stored_edges(spark, d)
     swap = lambda relation: F.regexp_replace("id", "__approximates__", f"__{relation}__").alias("id")
     failed = e.where(F.col("epistemic_state").isin("failed", "rejected")).select(swap("bridges"))
     verdicts = e.where(F.col("epistemic_state").isin("grounded", "obsolete")).select(swap("grounds"))
@@ -74,7 +74,7 @@ INCOMING = """, inc AS (SELECT id, CASE WHEN relation = 'approximates' THEN 'unv
   CASE WHEN o.id IS NULL THEN 'inserted' WHEN n.id IS NULL OR (o.epistemic_state IN ('grounded', 'rejected', 'failed', 'obsolete') AND n.epistemic_state = 'unverified') OR (o.epistemic_state = n.epistemic_state AND o.provenance = n.provenance AND o.confidence_score = n.confidence_score) THEN 'kept' ELSE 'updated' END AS change
 FROM (FROM kg_edges WHERE relation <> 'bridges') o FULL JOIN inc n USING (id)""")
 def merge_into_existing(spark, d):
-    e = edges(spark, d)
+    e = stored_edges(spark, d)
     inc = e.where("provenance = 'span-present'").select("id", F.when(F.col("relation") == "approximates", "unverified").otherwise("rejected").alias("epistemic_state"), "provenance", F.lit(0.5).alias("confidence_score"), F.lit(1).alias("ord"))
     return w.merged(e.where("relation <> 'bridges'"), inc).select("id", "epistemic_state", "change")
 
@@ -106,7 +106,7 @@ def merge_nodes(spark, d):
 j AS (SELECT o.id, b.epistemic_state AS b, o.epistemic_state AS o, t.epistemic_state AS t FROM o JOIN t USING (id) LEFT JOIN b USING (id))
 SELECT id, CASE WHEN o = t THEN o WHEN o IS NOT DISTINCT FROM b THEN t WHEN t IS NOT DISTINCT FROM b THEN o ELSE 'unverified' END AS epistemic_state, o <> t AND o IS DISTINCT FROM b AND t IS DISTINCT FROM b AS conflict FROM j""")
 def three_way_merge(spark, d):
-    e = edges(spark, d)
+    e = stored_edges(spark, d)
     c = F.col("confidence_score")
     change = lambda over, to: e.select("id", F.when(c > over, to).otherwise(F.col("epistemic_state")).alias("epistemic_state"))
     return w.three_way(e.where("relation <> 'bridges'"), change(0.7, "failed"), change(0.5, "grounded"))
@@ -117,7 +117,7 @@ j AS (SELECT e.id, e.epistemic_state AS st, b.was, a.key IS NOT NULL AS paid FRO
 x AS (SELECT *, CASE WHEN st = was THEN 'unchanged' WHEN st <> 'unverified' AND paid THEN 'audited' WHEN was IN ('failed', 'rejected') THEN 'failure-restored' WHEN st <> 'unverified' THEN 're-quarantined' ELSE 'unchanged' END AS action FROM j)
 SELECT id, action, CASE action WHEN 'failure-restored' THEN was WHEN 're-quarantined' THEN 'unverified' ELSE st END AS epistemic_state, (CASE WHEN action = 'audited' THEN 1 ELSE 0 END)::BIGINT AS spent FROM x""")
 def reconcile_forged(spark, d):
-    e = edges(spark, d)
+    e = stored_edges(spark, d)
     c = F.col("confidence_score")
     audit = e.where(c < 0.4).select(F.col("id").alias("key"), F.col("epistemic_state").alias("to"))
     base = e.select("id", F.when(c > 0.8, F.col("epistemic_state")).when(c > 0.6, "failed").otherwise("unverified").alias("epistemic_state"))
@@ -127,7 +127,7 @@ def reconcile_forged(spark, d):
 
 @query(L + "SELECT id, CASE WHEN relation = 'bridges' THEN 'inserted' WHEN relation = 'projects' THEN 'deleted' ELSE 'updated' END AS change FROM kg_edges WHERE relation IN ('bridges', 'projects') OR provenance = 'hypothesized'".replace("SELECT id", " SELECT id", 1))
 def incremental_diff(spark, d):
-    e = edges(spark, d)
+    e = stored_edges(spark, d)
     new = e.where("relation <> 'projects'").withColumn("epistemic_state", F.when(F.col("provenance") == "hypothesized", "unknown").otherwise(F.col("epistemic_state")))
     return w.changes(e.where("relation <> 'bridges'"), new, "id", ["source", "target", "epistemic_state"])
 

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import edge_id
+from ..functions.text import edge_id_of_slugs
+from ..operators.checkpoint import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,7 +46,13 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = first.select(F.concat(F.lit("supplier-"), F.col("l_suppkey")).alias("source"), F.concat(F.lit("part-"), F.col("l_partkey")).alias("target"), F.lit("approximates").alias("relation"), F.when(F.col("l.l_linestatus") == "F", "span-present").otherwise("hypothesized").alias("provenance"), state.alias("epistemic_state"), (F.col("l.l_discount") * 10).alias("confidence_score"))
     out = dim(read("nation"), "nation", "n_nationkey", "region", "n_regionkey", "projects")
     out = out.unionByName(dim(read("supplier"), "supplier", "s_suppkey", "nation", "s_nationkey", "grounds")).unionByName(dim(read("customer"), "customer", "c_custkey", "nation", "c_nationkey", "bridges")).unionByName(lines)
-    return out.select(edge_id("source", "relation", "target").alias("id"), "source", "target", "relation", "provenance", "epistemic_state", "confidence_score", F.col("source").alias("owner"))
+    # Kinds and keys are slugs already.
+    return out.select(edge_id_of_slugs("source", "relation", "target").alias("id"), "source", "target", "relation", "provenance", "epistemic_state", "confidence_score", F.col("source").alias("owner"))
+
+
+def stored_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges as a table, for queries that use them more than once."""
+    return stored(edges(spark, sf_dir), "edges")
 
 
 #: The same as common table expressions.
