@@ -9,10 +9,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,23 +112,6 @@ class Bloom:
         return ((sent.value[s >> 6] >> (s & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
 
 
-class WordHashes(dict):
-    """Word bytes to 64-bit hashes; forgets all when it has grown to ``most``."""
-
-    def __init__(self, most: int = 300_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit."""
     x = x ^ (x >> np.uint64(33))
@@ -138,6 +121,54 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: A number for each byte, none for white space; and an odd base with its inverse modulo 2**64.
+_NUMBERS = np.where(_IS_SPACE, np.uint64(0), mix64(np.arange(1, 257, dtype=np.uint64)))
+_BASE = 0x9E3779B97F4A7C15
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+HASH_BYTES = 1 << 20
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """At least ``n`` powers of the base and of its inverse."""
+    if len(_POWERS[0]) < n:
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            x = np.full(max(n, 1 << 16), base, np.uint64)
+            x[0] = 1
+            _POWERS[k] = np.multiply.accumulate(x)
+    return _POWERS
+
+
+def _pieces(text: bytes) -> Iterator[bytes]:
+    """``text`` in pieces of about HASH_BYTES that end at white space."""
+    at = 0
+    while len(text) - at > HASH_BYTES:
+        end = re.compile(rb"[\x09-\x0d ]").search(text, at + HASH_BYTES)
+        if end is None:
+            break
+        yield text[at : end.start()]
+        at = end.start()
+    yield text[at:]
+
+
+def word_hashes(text: bytes | None) -> np.ndarray:
+    """64-bit hashes of the words of a text, in order: polynomials in the words'
+    bytes, all of a piece of text at once, mixed with the words' lengths."""
+    out = [np.empty(0, np.uint64)]
+    for piece in _pieces(text or b""):
+        b = np.frombuffer(piece, np.uint8)
+        space = np.ones(len(b) + 2, bool)
+        space[1:-1] = _IS_SPACE[b]
+        edge = np.flatnonzero(space[1:] != space[:-1])
+        start, end = edge[::2], edge[1::2]
+        if len(start):
+            power, inverse = _powers(len(b))
+            x = np.add.reduceat(_NUMBERS[b] * power[: len(b)], start) * inverse[start]
+            out.append(mix64(x + mix64((end - start).astype(np.uint64))))
+    return np.concatenate(out) if len(out) != 2 else out[1]
+
+
 def windows(h: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the windows of ``n`` consecutive words, by starting word."""
     if len(h) < n:

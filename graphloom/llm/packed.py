@@ -18,17 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 FLUSH = 500_000
-PAIRS_PER_PARTITION = 1_500_000
+PAIRS_PER_PARTITION = 500_000
 BUCKETS_PER_PARTITION = 4
 #: Beyond this partitions grow; buckets are told apart by 24 bits of the key.
 MAX_PARTITIONS = 1_000_000
 SCHEMA = "bucket int, high binary, low binary, first long, ids binary"
 
 
-def partitions_for(df: DataFrame, pairs: float) -> int:
-    """Partitions so that each gets a bounded number of ``pairs``."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(MAX_PARTITIONS, max(least, int(pairs / PAIRS_PER_PARTITION) + 1))
+def partitions_for(pairs: float) -> int:
+    """Partitions so that each gets a bounded number of ``pairs``. No more than
+    that: a task sends a row to each bucket it has pairs for."""
+    return min(MAX_PARTITIONS, int(pairs / PAIRS_PER_PARTITION) + 1)
 
 
 def rows_of(keys: np.ndarray, ids: np.ndarray, partitions: int) -> pa.RecordBatch:

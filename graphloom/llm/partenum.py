@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bloom, WordHashes, mix64, small_batches, stored, text_bytes, windows
+from .common import Bloom, mix64, small_batches, stored, text_bytes, windows, word_hashes
 from .components import components
 from .packed import by_bucket, groups, packed, partitions_for
 
@@ -63,11 +63,11 @@ TILE, BLOCK = 1024, 512
 FEW = 20
 
 
-def shingles(words: list[bytes], hashes: WordHashes) -> np.ndarray:
+def shingles(text: bytes | None) -> np.ndarray:
     """The set of a document's shingles, sorted."""
-    if not words:
-        return np.empty(0, np.uint64)
-    h = hashes.of(words)
+    h = word_hashes((text or b"").lower())
+    if not len(h):
+        return h
     return np.unique(windows(h, min(SHINGLE, len(h))) + np.uint64(min(SHINGLE, len(h))))
 
 
@@ -141,11 +141,10 @@ def _sets(docs: DataFrame) -> DataFrame:
     """``id, n, set``: number of shingles and a hash of the set (null if empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for b in batches:
             n, key = [], []
             for t in b.column(1).to_pylist():
-                s = shingles((t or b"").lower().split(), hashes)
+                s = shingles(t)
                 n.append(len(s))
                 key.append(set_hash(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(key, pa.int64())], names=["id", "n", "set"])
@@ -160,11 +159,11 @@ def _candidates(docs: DataFrame, reps: DataFrame, partitions: int) -> DataFrame:
     bloom = Bloom(reps)
     sent = bloom.sent
 
-    def emit(b: pa.RecordBatch, hashes=WordHashes()) -> tuple[np.ndarray, np.ndarray]:
+    def emit(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         keys, ids = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
         for doc, t, on in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), Bloom.has(sent, b.column(2)).tolist(), strict=True):
             if on and doc is not None and t:
-                sig = signatures(shingles(t.lower().split(), hashes))
+                sig = signatures(shingles(t))
                 keys.append(sig)
                 ids.append(np.full(len(sig), doc, np.int64))
         return np.concatenate(keys), np.concatenate(ids)
@@ -200,11 +199,10 @@ def _loaded(docs: DataFrame, wanted: DataFrame, repeats: bool) -> DataFrame:
     sent = bloom.sent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for b in batches:
             rows = []
             for doc, t, on in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), Bloom.has(sent, b.column(2)).tolist(), strict=True):
-                s = shingles(t.lower().split(), hashes) if on and doc is not None and t else ()
+                s = shingles(t) if on and doc is not None and t else ()
                 if len(s):
                     hist = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=HISTOGRAM).astype("<i4")
                     rows.append((doc, set_hash(s), len(s), hist.tobytes(), s.tobytes()))
@@ -354,7 +352,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     same = stored(known.groupBy("set", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "near-classes")
     node = stored(known.join(same.where("copies > 1"), ["set", "n"], "left").select("id", F.coalesce("rep", "id").alias("rep"), "set"), "near-nodes")
     total, repeats = same.agg(F.sum("n")).first()[0] or 0, known.agg(F.max("rows")).first()[0]
-    found = _candidates(docs, same.select(F.col("rep").alias("id")), partitions_for(df, 0.9 * total))
+    found = _candidates(docs, same.select(F.col("rep").alias("id")), partitions_for(0.9 * total))
     ra, rb = node.select(F.col("id").alias("a"), F.col("rep").alias("ra")), node.select(F.col("id").alias("b"), F.col("rep").alias("rb"))
     pairs = found.where("kind <> 1").select("kind", "a", "b").distinct().join(ra, "a").join(rb, "b").where("ra <> rb")
     pairs = stored(pairs.groupBy(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).agg(F.min("kind").alias("kind")), "near-pairs")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix64, small_batches, text_bytes, windows
+from .common import mix64, small_batches, text_bytes, windows, word_hashes
 
 #: Labelled documents of each quality that are read for fitting; of a document the
 #: runs of ``RUN`` lines with the smallest hashes, at most ``TRAIN_RUNS`` of them.
@@ -56,9 +56,9 @@ MARKS = [4, 6, 9, 10, 13]
 BARS = 12
 
 
-def base_counts(text: bytes, hashes: WordHashes) -> tuple[int, int, int, int, int]:
+def base_counts(text: bytes) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
-    words = text.split()
+    words = word_hashes(text)
     n = len(words)
     chars = len(text.translate(None, NOT_WORD_CHARS))
     symbols = len(text) - len(text.translate(None, SYMBOLS))
@@ -66,7 +66,7 @@ def base_counts(text: bytes, hashes: WordHashes) -> tuple[int, int, int, int, in
     dup = len(lines) - len(set(lines))
     repeat = 0
     if n > WINDOW:
-        w = windows(hashes.of(words), WINDOW)
+        w = windows(words, WINDOW)
         order = np.argsort(w, kind="stable")
         same = w[order[1:]] == w[order[:-1]]
         if same.any():
@@ -252,11 +252,11 @@ def judge(df: DataFrame, model: tuple[np.ndarray, np.ndarray], text_col: str = "
     types = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (w, t), hashes = sent.value, WordHashes()
+        w, t = sent.value
         for b in batches:
             out = []
             for text in b.column(b.num_columns - 1).to_pylist():
-                counts = base_counts(text or b"", hashes)
+                counts = base_counts(text or b"")
                 n, repeat = counts[0], counts[4]
                 failed = n < MIN_WORDS or 100 * repeat > MAX_REPEAT_PERCENT * n
                 x, sizes = line_features(text or b"")

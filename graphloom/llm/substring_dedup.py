@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bloom, WordHashes, small_batches, stored, text_bytes, windows
+from .common import Bloom, small_batches, stored, text_bytes, windows, word_hashes
 from .packed import SCHEMA, by_bucket, by_id, groups, packed, partitions_for, turned
 
 LENGTH, START = 13, 3
@@ -56,20 +56,23 @@ def levels(length: int = LENGTH, start: int = START) -> list[int]:
 
 def anchors(h: np.ndarray, length: int, start: int) -> np.ndarray:
     """Of each window, where its minimiser starts."""
-    n = len(h) - length + 1
+    part, width = windows(h, start), length - start + 1
+    n = len(part) - width + 1
     if n <= 0:
         return np.empty(0, np.int64)
-    return np.lib.stride_tricks.sliding_window_view(windows(h, start), length - start + 1).argmin(1) + np.arange(n)
+    at, span = np.arange(len(part)), 1
+    while span < width:  # the smallest of twice as many, or of the last ones
+        step = min(span, width - span)
+        left, right = at[: len(at) - step], at[step:]
+        at = np.where(part[left] <= part[right], left, right)
+        span += step
+    return at
 
 
-def parts(h: np.ndarray, at: np.ndarray, length: int, size: int) -> np.ndarray:
-    """Hashes, by window, of its part of ``size`` words: the one that starts at
-    the window's anchor, or earlier where it would reach past the end."""
-    if not len(at):
-        return np.empty(0, np.uint64)
-    if size == length:
-        return windows(h, length)
-    return windows(h, size)[np.minimum(at, np.arange(len(at)) + length - size)]
+def begins(at: np.ndarray, length: int, size: int) -> np.ndarray:
+    """Where each window's part of ``size`` words begins: at the window's anchor,
+    or earlier where it would reach past the end."""
+    return np.minimum(at, np.arange(len(at)) + length - size)
 
 
 def _among(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -101,7 +104,7 @@ def substring_dedup(df: DataFrame, length: int = LENGTH, start: int = START, tex
     sizes = levels(length, start)
     chars = df.agg(F.sum(F.length(text_col))).first()[0] or 0
     pairs = chars / 5 * 2 / (length - sizes[0] + 2)
-    partitions = partitions_for(df, pairs)
+    partitions = partitions_for(pairs)
     bits = MIN_BITS
     while bits < 8 * pairs and bits < MAX_BITS:
         bits *= 2
@@ -109,16 +112,22 @@ def substring_dedup(df: DataFrame, length: int = LENGTH, start: int = START, tex
     def level(k: int, before) -> DataFrame:
         """The parts of level k of windows that the one before let through."""
 
-        def emit(b: pa.RecordBatch, hashes=WordHashes()) -> tuple[np.ndarray, np.ndarray]:
+        def emit(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
             keys, ids = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if doc is None or not text:
                     continue
-                h = hashes.of(text.split())
+                h = word_hashes(text)
                 at = anchors(h, length, sizes[0])
-                p = parts(h, at, length, sizes[k])
+                if not len(at):
+                    continue
+                here, last = begins(at, length, sizes[k]), begins(at, length, sizes[max(k - 1, 0)])
+                # Neighbouring windows mostly have the same parts.
+                new = np.ones(len(at), bool)
+                new[1:] = (here[1:] != here[:-1]) | (last[1:] != last[:-1])
+                p = windows(h, sizes[k])[here[new]]
                 if k:
-                    p = p[_among(before.value, parts(h, at, length, sizes[k - 1]))]
+                    p = p[_among(before.value, windows(h, sizes[k - 1])[last[new]])]
                 p = np.unique(p)
                 keys.append(p)
                 ids.append(np.full(len(p), doc, np.int64))
@@ -146,14 +155,13 @@ def substring_dedup(df: DataFrame, length: int = LENGTH, start: int = START, tex
                 yield turned(keys[on], ids[on], partitions)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for b in batches:
             rows = []
             for doc, text, hit in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 words = (text or b"").split()
                 gone = np.zeros(len(words), bool)
                 if hit is not None:
-                    at = np.flatnonzero(np.isin(windows(hashes.of(words), length), np.frombuffer(hit, np.uint64)))
+                    at = np.flatnonzero(np.isin(windows(word_hashes(text), length), np.frombuffer(hit, np.uint64)))
                     edge = np.zeros(len(words) + 1, np.int64)
                     np.add.at(edge, at, 1)
                     np.add.at(edge, at + length, -1)

@@ -234,18 +234,30 @@ def test_toxicity_scores_awkward_texts(spark, docs):
     assert len(out) == 19 and all(0 < r["score"] < 1 for r in out)
 
 
-def test_quality_counts_and_viterbi():
-    from graphloom.llm.common import WordHashes
+def test_word_hashes_tell_words_apart_wherever_they_stand(monkeypatch):
+    from graphloom.llm import common
+
+    rng = np.random.default_rng(3)
+    vocabulary = [bytes(rng.integers(33, 256, rng.integers(1, 9)).astype(np.uint8)) for _ in range(3000)] + [b"a", b"aa", b"ab", b"ba", b"\xc3\xa9"]
+    picked = [vocabulary[i] for i in rng.integers(0, len(vocabulary), 20_000)]
+    text = b"".join(w + [b" ", b"\n", b"\t \r", b"\x0b\x0c"][i % 4] for i, w in enumerate(picked))
+    h = common.word_hashes(b"  " + text)
+    assert len(h) == len(picked) and len(dict(zip(h.tolist(), picked, strict=True))) == len(set(picked)) == len({(a, b) for a, b in zip(h.tolist(), picked, strict=True)})
+    monkeypatch.setattr(common, "HASH_BYTES", 777)
+    assert np.array_equal(common.word_hashes(text), h) and len(common.word_hashes(b" \n")) == len(common.word_hashes(None)) == 0
+    assert common.word_hashes(b"x" * 5000)[0] == common.word_hashes(b" y " + b"x" * 5000 + b" z")[1]
 
+
+def test_quality_counts_and_viterbi():
     t = b"a b c d e f\nx\na b c d e g\nx\n\n##"
-    assert quality.base_counts(t, WordHashes()) == (15, 16, 2, 1, 10)
+    assert quality.base_counts(t) == (15, 16, 2, 1, 10)
     rng = np.random.default_rng(1)
     s, tr = rng.normal(size=(7, 2)), rng.normal(size=(2, 2))
     import itertools
 
     best = max(itertools.product((0, 1), repeat=7), key=lambda y: sum(s[i, y[i]] for i in range(7)) + sum(tr[y[i], y[i + 1]] for i in range(6)))
     assert tuple(quality.viterbi(s, tr)) == best
-    assert quality.base_counts(b"", WordHashes()) == (0, 0, 0, 0, 0)
+    assert quality.base_counts(b"") == (0, 0, 0, 0, 0)
 
 
 def test_quality_likelihood_equals_enumeration():
