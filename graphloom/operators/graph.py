@@ -242,6 +242,13 @@ def specificity_gate(ranked: DataFrame, id_col: str = "id", top: int = 5) -> Dat
     return out.select("n", confound.alias("confound"), "churn", "spread", gate.cast("int").alias("gate_on"))
 
 
+def bridge_strength(gate_on: Column, weighted: Column | None = None) -> Column:
+    """How much a node bridges: by weighted betweenness where the gate is on, else
+    whether it is a structural bridge, and by a millionth of its degree."""
+    honest = F.col("structural_bridge") + 1e-6 * F.col("degree")
+    return honest if weighted is None else F.when(gate_on == 1, weighted).otherwise(honest)
+
+
 def ranks(nodes: DataFrame, edges: DataFrame, spec: DataFrame) -> DataFrame:
     """The bundle of ranks for ``nodes`` (with ``community``): degree, bridge
     communities, betweenness, specificity, their product and the gate."""

@@ -42,38 +42,56 @@ def absorption(history: DataFrame, degree: DataFrame, now: int, absorbed: int =
     return j.select("id", growth.cast("long").alias("growth"), status.alias("status"), F.when(growth > 0, F.round((now - F.col("introduced_at")) / growth, 6)).alias("half_life"))
 
 
-#: Words that mark a usable output.
-MARKERS = ("because", "therefore", "for", "with", "from")
-
-
-def ideation(outputs: DataFrame, source: DataFrame, markers: tuple[str, ...] = MARKERS) -> DataFrame:
-    """Per ``arm``: ``diversity`` (distinct n-grams of all), ``novelty`` (those
-    not in the source), ``utility`` (marker words, five are enough) and
-    ``unsupported`` (sentences without a word of five letters of the source).
-
-    ``outputs`` has ``arm, text``; ``source`` has ``text``.
+# What counts as a sign of use, the words a key term has to be longer
+# than, key terms of a sentence, words of a sentence, signs that are enough.
+MARKERS = r"\bbecause\b|\bif\b|\btherefore\b|\bbridge|\bconnect"
+KEY_LENGTH, KEY_TERMS, SENTENCE_WORDS, ENOUGH = 5, 3, 4, 5
+WORDS = r"[A-Za-z][A-Za-z0-9_-]{1,}"
+SCORES = ("diversity", "novelty", "utility", "unsupported_rate")
+
+
+def ideation(outputs: DataFrame, source: DataFrame) -> DataFrame:
+    """Per ``arm``: ``n`` outputs and, to three places, ``diversity`` (distinct
+    3-grams of the arm over the sum of its outputs'), and over outputs the mean
+    ``novelty`` (share of an output's 3-grams that the source has not; none is
+    0), ``utility`` (signs of use, five are enough) and ``unsupported_rate``
+    (of sentences with key terms, those none of whose key terms the source has).
+
+    ``outputs`` has ``output`` (a key), ``arm, text``; ``source`` has ``text``.
+    Texts are split once. A term occurs in the source where it is part of one of
+    its runs of word characters, so terms meet the parts of distinct runs.
     """
-    grams = outputs.select("arm", F.explode(F.array_distinct(ngrams(words("text")))).alias("g"))
-    known = source.select(F.explode(F.array_distinct(ngrams(words("text")))).alias("g")).distinct().withColumn("known", F.lit(1))
-    per = grams.groupBy("arm", "g").agg(F.count("*").alias("n")).join(known, "g", "left").groupBy("arm").agg((F.count("*") / F.sum("n")).alias("diversity"), (1 - F.sum(F.coalesce("known", F.lit(0))) / F.count("*")).alias("novelty"))
-    hits = F.size(F.filter(words("text"), lambda w: w.isin(*markers)))
-    use = outputs.groupBy("arm").agg(F.avg(F.least(F.lit(1.0), hits / 5)).alias("utility"))
-    keys = source.select(F.explode(F.array_distinct(words("text"))).alias("w")).where("length(w) >= 5").distinct()
-    sentence = outputs.select("arm", F.monotonically_increasing_id().alias("o"), F.posexplode(F.split("text", r"[.!?]+")).alias("i", "s")).where("trim(s) <> ''")
-    each = sentence.select("arm", "o", "i", F.explode_outer(F.filter(F.array_distinct(words("s")), lambda w: F.length(w) >= 5)).alias("w"))
-    backed = each.join(keys.withColumn("k", F.lit(1)), "w", "left").groupBy("arm", "o", "i").agg(F.max("k").alias("k"))
-    unsupported = backed.groupBy("arm").agg(F.avg(F.when(F.col("k").isNull(), 1.0).otherwise(0.0)).alias("unsupported"))
-    r = lambda c: F.round(c, 6).alias(c)
-    return use.join(per, "arm", "left").join(unsupported, "arm", "left").select("arm", r("diversity"), r("novelty"), r("utility"), r("unsupported"))
+    found = lambda c: F.regexp_extract_all(c, F.lit(WORDS), F.lit(0))
+    o = outputs.where("text is not null").select("output", "arm", "text", F.array_distinct(ngrams(F.transform(found(F.col("text")), F.lower))).alias("grams"))
+    src = source.where("text is not null").select(F.lower("text").alias("t"), F.transform(found(F.col("text")), F.lower).alias("w"))
+    known = src.select(F.explode(F.array_distinct(ngrams(F.col("w")))).alias("g")).distinct().withColumn("known", F.lit(1))
+    per = o.select("arm", "output", F.explode("grams").alias("g")).join(known, "g", "left")
+    pooled = per.groupBy("arm").agg((F.count_distinct("g") / F.count("*")).alias("diversity"))
+    new = per.groupBy("output").agg((1 - F.sum(F.coalesce("known", F.lit(0))) / F.count("*")).alias("novelty"))
+    runs = src.select(F.explode(F.regexp_extract_all("t", F.lit("[a-z0-9_-]{6,}"), F.lit(0))).alias("r")).distinct()
+    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.length("r") - KEY_LENGTH), lambda i: F.transform(F.sequence(F.lit(KEY_LENGTH + 1), F.length("r") - i + 1), lambda n: F.substring(F.col("r"), i, n))))
+    parts = runs.select(F.explode(spans).alias("term")).distinct().withColumn("k", F.lit(1))
+    sentences = o.select("output", F.posexplode(F.split("text", r"[.!?]+\s+")).alias("i", "s")).where(F.size(F.filter(F.split("s", r"\s+"), lambda w: w != "")) >= SENTENCE_WORDS)
+    terms = F.slice(F.filter(found(F.col("s")), lambda w: F.length(w) > KEY_LENGTH), 1, KEY_TERMS)
+    each = sentences.select("output", "i", F.explode(F.transform(terms, F.lower)).alias("term"))
+    backed = each.join(parts, "term", "left").groupBy("output", "i").agg(F.max("k").alias("k"))
+    bare = backed.groupBy("output").agg(F.avg(F.col("k").isNull().cast("double")).alias("bare"))
+    use = F.least(F.lit(1.0), F.regexp_count(F.lower("text"), F.lit(MARKERS)) / ENOUGH)
+    scored = o.select("output", "arm", use.alias("use")).join(new, "output", "left").join(bare, "output", "left")
+    r = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 3)
+    out = scored.groupBy("arm").agg(F.count("*").alias("n"), r(F.avg(F.coalesce("novelty", F.lit(0.0)))).alias("novelty"), r(F.avg("use")).alias("utility"), r(F.avg("bare")).alias("unsupported_rate"))
+    return out.join(pooled, "arm", "left").select("arm", "n", r(F.col("diversity")).alias("diversity"), "novelty", "utility", "unsupported_rate")
 
 
 def ideation_verdicts(scores: DataFrame, slack: float = 0.05) -> DataFrame:
-    """Which arm is at least as good as which on all counts, within ``slack``."""
-    a = scores.select(F.col("arm").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("diversity", "novelty", "utility", "unsupported")])
-    b = scores.select(F.col("arm").alias("b"), *[F.col(c).alias(f"b_{c}") for c in ("diversity", "novelty", "utility", "unsupported")])
-    wins = lambda c: F.col(f"a_{c}") >= F.col(f"b_{c}") - slack
-    ok = wins("diversity") & wins("novelty") & wins("utility") & (F.col("a_unsupported") <= F.col("b_unsupported") + slack)
-    return a.join(F.broadcast(b), F.col("a") != F.col("b")).select("a", "b", F.coalesce(ok, F.lit(False)).alias("at_least_as_good"))
+    """``a, b, beats``: arm a loses to b neither in diversity nor in novelty nor,
+    by more than ``slack``, in support, and gains in diversity or novelty. Arms
+    are few: both sides are the score table, a row each."""
+    a = scores.select(F.col("arm").alias("a"), *[F.col(c).alias(f"a_{c}") for c in SCORES])
+    b = scores.select(F.col("arm").alias("b"), *[F.col(c).alias(f"b_{c}") for c in SCORES])
+    holds = (F.col("a_diversity") >= F.col("b_diversity")) & (F.col("a_novelty") >= F.col("b_novelty")) & (F.col("a_unsupported_rate") <= F.col("b_unsupported_rate") + slack)
+    gains = (F.col("a_diversity") > F.col("b_diversity")) | (F.col("a_novelty") > F.col("b_novelty"))
+    return a.join(b, F.col("a") != F.col("b")).select("a", "b", (holds & gains).alias("beats"))
 
 
 def precision(sheet: DataFrame, least: int = 3) -> DataFrame:
@@ -107,12 +125,29 @@ def pack_coverage(text: DataFrame, glossary: DataFrame, text_col: str = "text")
     return t.join(g, "term", "full_outer").select("term", F.coalesce("t", F.lit(False)).alias("in_text"), F.coalesce("g", F.lit(False)).alias("in_glossary"))
 
 
-def section_coverage(sections: DataFrame, spans: DataFrame) -> DataFrame:
-    """``file, sections, covered``: sections whose body contains some span. Spans
-    are a vocabulary of the graph; beyond a size of 10 MB they are shuffled."""
-    hit = F.max(F.col("span").isNotNull().cast("int"))
-    j = sections.join(spans.select("span").distinct(), F.col("body").contains(F.col("span")), "left")
-    return j.groupBy("file", "section").agg(hit.alias("hit")).groupBy("file").agg(F.count("*").alias("sections"), F.sum("hit").alias("covered"))
+def section_coverage(sections: DataFrame, spans: DataFrame, shingle: int = 3) -> DataFrame:
+    """``file, section, covered`` from ``file, section, norm`` (the normalised body)
+    and ``span`` (normalised): does the body contain some span?
+
+    Spans of ``shingle`` words or more meet bodies by their first ``shingle`` whole
+    inner words, an equi-join, and are compared only there; the first and last word
+    of a span may be cut, so they are no part of the key. Shorter spans, a
+    vocabulary of at most a few words each, are compared with all bodies.
+    """
+    s = spans.where("trim(span) <> ''").select("span").distinct()
+    inner = F.split("span", " ")
+    keyed = s.withColumn("_k", F.when(F.size(inner) >= shingle + 2, F.xxhash64(F.slice(inner, 2, shingle))))
+    keys = F.array_distinct(F.transform(F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.size(F.split("norm", " ")) - shingle + 1, F.lit(1))), lambda i: F.slice(F.split("norm", " "), i, shingle)), lambda x: F.size(x) == shingle), F.xxhash64))
+    body = sections.select("file", "section", "norm")
+    long = body.select("file", "section", "norm", F.explode(keys).alias("_k")).join(keyed.where("_k is not null"), "_k").where(F.col("norm").contains(F.col("span"))).select("file", "section")
+    short = body.join(keyed.where("_k is null").select("span"), F.col("norm").contains(F.col("span"))).select("file", "section")
+    hit = long.unionAll(short).distinct().withColumn("covered", F.lit(True))
+    return sections.select("file", "section").join(hit, ["file", "section"], "left").withColumn("covered", F.coalesce("covered", F.lit(False)))
+
+
+def file_coverage(sections: DataFrame) -> DataFrame:
+    """``file, sections, covered_sections`` of covered sections."""
+    return sections.groupBy("file").agg(F.count("*").alias("sections"), F.count_if("covered").alias("covered_sections"))
 
 
 def stale_verdicts(verified: DataFrame) -> DataFrame:
@@ -126,15 +161,63 @@ def re_examinable(items: DataFrame, changed_terms: DataFrame, term_col: Column)
     return t.join(changed_terms.select("term").distinct(), "term", "left_semi").select("id").distinct()
 
 
-def erosion(history: DataFrame, window: int = 5) -> DataFrame:
-    """``cycle, mean, step, mean_of_window, eroding``: moving novelty of a
-    series ``cycle, novelty``; eroding once the window's later steps fall
-    faster than its earlier ones, two cycles running, and it is full."""
-    o = Window.orderBy("cycle")
-    step = F.col("novelty") - F.lag("novelty").over(o)
-    s = history.withColumn("step", step).withColumn("n", F.row_number().over(o))
-    s = s.withColumn("late", (F.col("step") + F.lag("step", 1).over(o)) / 2).withColumn("early", (F.lag("step", 2).over(o) + F.lag("step", 3).over(o)) / 2)
-    worse = (F.col("n") >= window) & (F.col("late") < 0) & (F.col("late") < F.col("early"))
-    s = s.withColumn("worse", F.coalesce(worse, F.lit(False)))
-    rows = Window.orderBy("cycle").rowsBetween(1 - window, 0)
-    return s.select("cycle", F.round("step", 6).alias("step"), F.round(F.avg("novelty").over(rows), 6).alias("window_mean"), (F.col("worse") & F.coalesce(F.lag("worse").over(o), F.lit(False))).alias("eroding"))
+# Cycles of the window, by how much decay has to quicken, for how many
+# cycles, the least slope that counts, and the share of the target that is enough.
+WINDOW, QUICKER, PERSIST, LEAST_SLOPE, HEALTHY = 5, 0.5, 2, 0.005, 0.6
+
+
+def erosion(history: DataFrame, session: str = "session") -> DataFrame:
+    """``session, cycle`` with ``under_generation, slope_earlier, slope_recent,
+    accelerating, streak, eroding`` from ``session, cycle, novelty, submitted, target``.
+
+    The slopes are the mean falls in the two halves of the last five novelties
+    (cycles without one add none). Decay accelerates where the recent slope
+    exceeds the earlier one by half, in healthy cycles only; two in a row are
+    erosion. The streak is a running count since the last cycle that was not.
+    """
+    o = f"over (partition by {session} order by cycle)"
+    back = lambda k: F.expr(f"lag(novelty, {k}) ignore nulls {o}")
+    has = F.col("novelty").isNotNull()
+    s = history.withColumn("v0", F.coalesce("novelty", back(1)))
+    for k in range(1, WINDOW):
+        s = s.withColumn(f"v{k}", F.when(has, back(k)).otherwise(back(k + 1)))
+    under = (F.col("target") > 0) & (F.col("submitted") < HEALTHY * F.col("target"))
+    full = ~under & F.col(f"v{WINDOW - 1}").isNotNull()
+    s = s.withColumn("under_generation", under)
+    s = s.withColumn("slope_earlier", F.when(full, (F.col("v4") - F.col("v2")) / 2)).withColumn("slope_recent", F.when(full, (F.col("v2") - F.col("v0")) / 2))
+    quick = (F.col("slope_recent") > LEAST_SLOPE) & (F.col("slope_recent") >= (1 + QUICKER) * F.greatest("slope_earlier", F.lit(LEAST_SLOPE)))
+    s = s.withColumn("accelerating", F.coalesce(quick, F.lit(False)))
+    w = Window.partitionBy(session).orderBy("cycle")
+    s = s.withColumn("_run", F.sum((~F.col("accelerating")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    streak = F.sum(F.col("accelerating").cast("long")).over(Window.partitionBy(session, "_run").orderBy("cycle").rowsBetween(Window.unboundedPreceding, 0))
+    s = s.withColumn("streak", streak)
+    return s.select(session, "cycle", "under_generation", F.round("slope_earlier", 4).alias("slope_earlier"), F.round("slope_recent", 4).alias("slope_recent"), "accelerating", "streak", (F.col("streak") >= PERSIST).alias("eroding"))
+
+
+# Samples of the baseline, margin over it, ceiling, and the limit without it.
+BASELINE, MARGIN, CEILING, LIMIT, LEAST_SAMPLES = 5, 0.15, 0.80, 0.55, 2
+
+
+def similarity_limits(cycles: DataFrame, session: str = "session") -> DataFrame:
+    """``session, cycle, similarity_limit, too_similar, baseline`` from ``session, cycle, n,
+    mean_cosine``: a cycle is too similar above the mean of the baseline plus
+    a margin, or above a fixed limit while the baseline has too few samples.
+    A cycle of two rows or more joins the baseline unless a calibrated limit
+    flagged it, so what a cycle adds depends on those before: a fold over the
+    session's cycles, in order, of which a session has few.
+    """
+    ordered = cycles.groupBy(session).agg(F.array_sort(F.collect_list(F.struct("cycle", F.col("n").cast("long").alias("n"), F.col("mean_cosine").cast("double").alias("c")))).alias("xs"))
+    start = F.struct(F.array().cast("array<double>").alias("base"), F.array().cast("array<struct<cycle:bigint,similarity_limit:double,too_similar:boolean,baseline:int>>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        base = acc["base"]
+        calibrated = F.size(base) >= LEAST_SAMPLES
+        mean = F.aggregate(base, F.lit(0.0), lambda p, q: p + q) / F.greatest(F.size(base), F.lit(1))
+        limit = F.when(calibrated, F.least(mean + MARGIN, F.lit(CEILING))).otherwise(LIMIT)
+        similar = (x["n"] >= 2) & (x["c"] > limit)
+        grown = F.concat(base, F.array(x["c"]))
+        keep = F.when((x["n"] >= 2) & ~(calibrated & similar), F.slice(grown, F.greatest(F.size(grown) - BASELINE + 1, F.lit(1)), F.lit(BASELINE))).otherwise(base)
+        row = F.struct(x["cycle"].cast("long").alias("cycle"), limit.alias("similarity_limit"), similar.alias("too_similar"), F.size(base).alias("baseline"))
+        return F.struct(keep.alias("base"), F.concat(acc["out"], F.array(row)).alias("out"))
+
+    return ordered.select(session, F.explode(F.aggregate("xs", start, step, lambda acc: acc["out"])).alias("x")).select(session, "x.cycle", F.round("x.similarity_limit", 6).alias("similarity_limit"), "x.too_similar", "x.baseline")

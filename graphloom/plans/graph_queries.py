@@ -18,20 +18,19 @@ L = f"WITH {LIFT_SQL} "
 
 
 def _ranked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes with degree, strength (distinct communities next to them, from two
-    on, plus a thousandth of the degree) and specificity (a function of the
-    label's length); edges; adjacency."""
+    """Nodes with degree, strength (as without the gate) and specificity (a
+    function of the label's length); edges; adjacency."""
     n, e = nodes(spark, d), edges(spark, d)
     adj = g.adjacency(e)
     b = g.bridge_communities(n, adj)
-    out = g.degree(n, adj).join(b, "id").withColumn("strength", F.when(F.col("structural_bridge") == 1, F.col("bridge_communities") + F.col("degree") / 1000).otherwise(0.0))
+    out = g.degree(n, adj).join(b, "id").withColumn("strength", g.bridge_strength(F.lit(0)))
     return out.withColumn("specificity", (F.length("label") % 7 + 1).cast("double")), e, adj
 
 
 RANKED = LIFT_SQL + """, kg_bridge AS (
   SELECT n.id, count(DISTINCT c.community) AS bridge_communities FROM kg_nodes n LEFT JOIN kg_adj a ON a.u = n.id LEFT JOIN kg_nodes c ON c.id = a.v GROUP BY n.id
 ), kg_ranked AS (
-  SELECT d.*, b.bridge_communities, CASE WHEN b.bridge_communities >= 2 THEN b.bridge_communities + d.degree / 1000 ELSE 0 END AS strength, (length(d.label) % 7 + 1)::DOUBLE AS specificity
+  SELECT d.*, b.bridge_communities, (b.bridge_communities >= 2)::INT + 1e-6 * d.degree AS strength, (length(d.label) % 7 + 1)::DOUBLE AS specificity
   FROM kg_degree d JOIN kg_bridge b USING (id)
 )
 """

@@ -168,34 +168,34 @@ def absorption(spark, d):
     return m.absorption(h, g.multi_degree(n, edges(spark, d)), 10)
 
 
-GRAMS = """, tok AS (SELECT role AS arm, conv_id, turn, regexp_extract_all(lower(text), '[a-z][a-z0-9_-]{1,}') AS w, text FROM conversations WHERE text IS NOT NULL
-), ol AS (SELECT row_number() OVER () AS o, * FROM tok
-), src AS (SELECT regexp_extract_all(lower(text), '[a-z][a-z0-9_-]{1,}') AS w FROM benchmark
+SCORES = """WITH o AS (SELECT conv_id || '-' || turn AS output, role AS arm, text, list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_-]{1,}'), lambda x: lower(x)) AS w FROM conversations WHERE text IS NOT NULL
+), src AS (SELECT list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_-]{1,}'), lambda x: lower(x)) AS w, lower(text) AS t FROM benchmark
 ), sg AS (SELECT DISTINCT unnest([array_to_string(w[i:i+2], ' ') FOR i IN range(1, len(w) - 1)]) AS g FROM src
-), og AS (SELECT arm, unnest(list_distinct([array_to_string(w[i:i+2], ' ') FOR i IN range(1, len(w) - 1)])) AS g FROM ol
-), pg AS (SELECT arm, g, count(*) AS n FROM og GROUP BY ALL
-), pa AS (SELECT arm, count(*) / sum(n) AS diversity, 1 - count(*) FILTER (g IN (FROM sg)) / count(*) AS novelty FROM pg GROUP BY arm
-), ut AS (SELECT arm, avg(least(1.0, len(list_filter(w, lambda x: x IN ('because', 'therefore', 'for', 'with', 'from'))) / 5)) AS utility FROM ol GROUP BY arm
-), kw AS (SELECT DISTINCT x FROM (SELECT unnest(w) AS x FROM src) WHERE length(x) >= 5
-), se AS (SELECT arm, o, s, row_number() OVER () AS i FROM (SELECT arm, o, unnest(regexp_split_to_array(text, '[.!?]+')) AS s FROM ol) WHERE trim(s) <> ''
-), sw AS (SELECT arm, i, unnest(CASE WHEN len(x) = 0 THEN [''] ELSE x END) AS w FROM (SELECT arm, i, list_filter(regexp_extract_all(lower(s), '[a-z][a-z0-9_-]{1,}'), lambda x: length(x) >= 5) AS x FROM se)
-), un AS (SELECT arm, avg(CASE WHEN k THEN 0.0 ELSE 1.0 END) AS unsupported FROM (SELECT arm, i, bool_or(w IN (FROM kw)) AS k FROM sw GROUP BY ALL) GROUP BY arm
-), sc AS (SELECT arm, round(diversity, 6) AS diversity, round(novelty, 6) AS novelty, round(utility, 6) AS utility, round(unsupported, 6) AS unsupported FROM ut LEFT JOIN pa USING (arm) LEFT JOIN un USING (arm))"""
+), og AS (SELECT output, arm, unnest(list_distinct([array_to_string(w[i:i+2], ' ') FOR i IN range(1, len(w) - 1)])) AS g FROM o
+), dv AS (SELECT arm, count(DISTINCT g) / count(*) AS diversity FROM og GROUP BY arm
+), nv AS (SELECT output, 1 - count(*) FILTER (g IN (FROM sg)) / count(*) AS novelty FROM og GROUP BY output
+), se AS (SELECT output, unnest(regexp_split_to_array(text, '[.!?]+\\s+')) AS s FROM o
+), kt AS (SELECT output, list_filter(regexp_extract_all(s, '[A-Za-z][A-Za-z0-9_-]{1,}'), lambda x: length(x) > 5)[1:3] AS k FROM se WHERE len(regexp_extract_all(s, '\\S+')) >= 4
+), al AS (SELECT string_agg(t, chr(10)) AS t FROM src
+), un AS (SELECT output, avg(CASE WHEN len(list_filter(k, lambda x: contains(al.t, lower(x)))) = 0 THEN 1.0 ELSE 0.0 END) AS bare FROM kt, al WHERE len(k) > 0 GROUP BY output
+), sc AS (SELECT arm, count(*) AS n, round(coalesce(any_value(diversity), 0), 3) AS diversity, round(avg(coalesce(novelty, 0)), 3) AS novelty,
+    round(avg(least(1.0, len(regexp_extract_all(lower(text), '\\bbecause\\b|\\bif\\b|\\btherefore\\b|\\bbridge|\\bconnect')) / 5)), 3) AS utility, round(coalesce(avg(bare), 0), 3) AS unsupported_rate
+  FROM o LEFT JOIN dv USING (arm) LEFT JOIN nv USING (output) LEFT JOIN un USING (output) GROUP BY arm)"""
 
 
 def _scores(spark, d):
-    c = lift.table(spark, d, "conversations").where("text is not null").select(F.col("role").alias("arm"), "text")
+    c = lift.table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("output"), F.col("role").alias("arm"), "text")
     return m.ideation(c, lift.table(spark, d, "benchmark").select("text"))
 
 
-@query("WITH z AS (SELECT 1)" + GRAMS + " SELECT * FROM sc")
+@query(SCORES + " SELECT * FROM sc")
 def ideation_scores(spark, d):
     return _scores(spark, d)
 
 
-@query("WITH z AS (SELECT 1)" + GRAMS + " SELECT a.arm AS a, b.arm AS b, a.diversity >= b.diversity - 0.05 AND a.novelty >= b.novelty - 0.05 AND a.utility >= b.utility - 0.05 AND a.unsupported <= b.unsupported + 0.05 AS at_least_as_good FROM sc a, sc b WHERE a.arm <> b.arm")
+@query(SCORES + """ SELECT a.arm AS a, b.arm AS b, a.diversity >= b.diversity AND a.novelty >= b.novelty AND a.unsupported_rate <= b.unsupported_rate + 0.05 AND (a.diversity > b.diversity OR a.novelty > b.novelty) AS beats FROM sc a, sc b WHERE a.arm <> b.arm""")
 def ideation_verdicts(spark, d):
-    return m.ideation_verdicts(_scores(spark, d))
+    return m.ideation_verdicts(g.stored(_scores(spark, d), "scores"))
 
 
 @query(L + """, s AS (SELECT relation, CASE epistemic_state WHEN 'grounded' THEN 'correct' WHEN 'failed' THEN 'wrong' WHEN 'rejected' THEN 'astrology' END AS verdict, provenance = 'span-present' AS span_found, confidence_score FROM kg_edges), b AS (SELECT unnest(['*', relation]) AS relation, verdict, span_found, confidence_score FROM s WHERE verdict IS NOT NULL)
@@ -300,8 +300,31 @@ def re_examinable(spark, d):
     return m.re_examinable(items, changed, tx.terms("label"))
 
 
-@query("""WITH h AS (SELECT date_trunc('day', ts)::DATE AS cycle, avg(value) AS novelty FROM events GROUP BY 1), s AS (SELECT *, novelty - lag(novelty) OVER (ORDER BY cycle) AS step, row_number() OVER (ORDER BY cycle) AS n FROM h), t AS (SELECT *, (step + lag(step) OVER (ORDER BY cycle)) / 2 AS late, (lag(step, 2) OVER (ORDER BY cycle) + lag(step, 3) OVER (ORDER BY cycle)) / 2 AS early FROM s), u AS (SELECT *, coalesce(n >= 5 AND late < 0 AND late < early, false) AS worse FROM t)
-SELECT strftime(cycle, '%Y-%m-%d') AS cycle, round(step, 6) AS step, round(avg(novelty) OVER (ORDER BY cycle ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS window_mean, worse AND coalesce(lag(worse) OVER (ORDER BY cycle), false) AS eroding FROM u""")
+CYCLES = """WITH h AS (SELECT event_type AS session, epoch_us(date_trunc('hour', ts)) // 3600000000 AS cycle, CASE WHEN count(*) % 7 = 0 THEN NULL ELSE avg(ln(2 + abs(value))) END AS novelty, count(*) AS submitted, 3 AS target, round(avg(value) / 100, 9) AS mean_cosine FROM events GROUP BY ALL)"""
+
+
+def _cycles(spark, d):
+    """Cycles of a session: the events of a type by the hour."""
+    e = lift.table(spark, d, "events").groupBy(F.col("event_type").alias("session"), F.floor(F.unix_micros(F.date_trunc("hour", F.col("ts").cast("timestamp"))) / 3_600_000_000).alias("cycle"))
+    novelty = F.when(F.count("*") % 7 == 0, None).otherwise(F.avg(F.log(2 + F.abs("value"))))
+    return e.agg(novelty.alias("novelty"), F.count("*").alias("submitted"), F.round(F.avg("value") / 100, 9).alias("mean_cosine")).withColumn("target", F.lit(3))
+
+
+@query(CYCLES + """, k AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY cycle) AS i, count(novelty) OVER (PARTITION BY session ORDER BY cycle ROWS UNBOUNDED PRECEDING) AS c FROM h),
+v AS (SELECT session, c, novelty AS x FROM k WHERE novelty IS NOT NULL),
+s AS (SELECT k.*, submitted < 0.6 * target AS under, (v4.x - v2.x) / 2 AS e, (v2.x - v0.x) / 2 AS r FROM k LEFT JOIN v v0 ON v0.session = k.session AND v0.c = k.c LEFT JOIN v v2 ON v2.session = k.session AND v2.c = k.c - 2 LEFT JOIN v v4 ON v4.session = k.session AND v4.c = k.c - 4),
+a AS (SELECT *, CASE WHEN NOT under AND e IS NOT NULL THEN e END AS se, CASE WHEN NOT under AND e IS NOT NULL THEN r END AS sr FROM s),
+q AS (SELECT *, coalesce(sr > 0.005 AND sr >= 1.5 * greatest(se, 0.005), false) AS acc FROM a),
+z AS (SELECT *, i - coalesce(max(CASE WHEN NOT acc THEN i END) OVER (PARTITION BY session ORDER BY cycle ROWS UNBOUNDED PRECEDING), 0) AS streak FROM q)
+SELECT session, cycle, under AS under_generation, round(se, 4) AS slope_earlier, round(sr, 4) AS slope_recent, acc AS accelerating, streak, streak >= 2 AS eroding FROM z""")
 def variety_erosion(spark, d):
-    h = lift.table(spark, d, "events").groupBy(F.to_date("ts").alias("cycle")).agg(F.avg("value").alias("novelty"))
-    return m.erosion(h).withColumn("cycle", F.date_format("cycle", "yyyy-MM-dd"))
+    return m.erosion(_cycles(spark, d))
+
+
+@query("WITH RECURSIVE " + CYCLES[5:] + """, k AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY cycle) AS i FROM h),
+f AS (SELECT session, 0 AS i, 0::BIGINT AS cycle, 0.55::DOUBLE AS lim, false AS sim, 0 AS nb, []::DOUBLE[] AS base FROM k WHERE i = 1
+  UNION ALL SELECT session, i, cycle, lim, sim, len(old) AS nb, CASE WHEN n >= 2 AND NOT (len(old) >= 2 AND sim) THEN list_append(old, c)[-5:] ELSE old END AS base FROM (
+    SELECT k.session, k.i, k.cycle, k.submitted AS n, k.mean_cosine AS c, f.base AS old, CASE WHEN len(f.base) >= 2 THEN least(list_avg(f.base) + 0.15, 0.80) ELSE 0.55 END AS lim, k.submitted >= 2 AND k.mean_cosine > CASE WHEN len(f.base) >= 2 THEN least(list_avg(f.base) + 0.15, 0.80) ELSE 0.55 END AS sim FROM f JOIN k ON k.session = f.session AND k.i = f.i + 1))
+SELECT session, cycle, round(lim, 6) AS similarity_limit, sim AS too_similar, nb AS baseline FROM f WHERE i > 0""")
+def similarity_limits(spark, d):
+    return m.similarity_limits(_cycles(spark, d).withColumnRenamed("submitted", "n"))
