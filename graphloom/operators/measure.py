@@ -125,23 +125,29 @@ def pack_coverage(text: DataFrame, glossary: DataFrame, text_col: str = "text")
     return t.join(g, "term", "full_outer").select("term", F.coalesce("t", F.lit(False)).alias("in_text"), F.coalesce("g", F.lit(False)).alias("in_glossary"))
 
 
-def section_coverage(sections: DataFrame, spans: DataFrame, shingle: int = 3) -> DataFrame:
-    """``file, section, covered`` from ``file, section, norm`` (the normalised body)
-    and ``span`` (normalised): does the body contain some span?
+def span_hits(texts: DataFrame, keys: list[str], spans: DataFrame, shingle: int = 3) -> DataFrame:
+    """``keys, span``: which texts (``keys, norm``) contain which spans (``span``), both normalised.
 
-    Spans of ``shingle`` words or more meet bodies by their first ``shingle`` whole
-    inner words, an equi-join, and are compared only there; the first and last word
-    of a span may be cut, so they are no part of the key. Shorter spans, a
-    vocabulary of at most a few words each, are compared with all bodies.
+    Spans of ``shingle`` whole inner words or more meet texts by the first of
+    those words, an equi-join, and are compared only there; the first and last
+    word of a span may be cut, so they are no part of the key. Shorter spans, a
+    vocabulary of a few words each, are compared with all texts.
     """
     s = spans.where("trim(span) <> ''").select("span").distinct()
-    inner = F.split("span", " ")
-    keyed = s.withColumn("_k", F.when(F.size(inner) >= shingle + 2, F.xxhash64(F.slice(inner, 2, shingle))))
-    keys = F.array_distinct(F.transform(F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.size(F.split("norm", " ")) - shingle + 1, F.lit(1))), lambda i: F.slice(F.split("norm", " "), i, shingle)), lambda x: F.size(x) == shingle), F.xxhash64))
-    body = sections.select("file", "section", "norm")
-    long = body.select("file", "section", "norm", F.explode(keys).alias("_k")).join(keyed.where("_k is not null"), "_k").where(F.col("norm").contains(F.col("span"))).select("file", "section")
-    short = body.join(keyed.where("_k is null").select("span"), F.col("norm").contains(F.col("span"))).select("file", "section")
-    hit = long.unionAll(short).distinct().withColumn("covered", F.lit(True))
+    parts = F.split("span", " ")
+    keyed = s.withColumn("_k", F.when(F.size(parts) >= shingle + 2, F.xxhash64(F.slice(parts, 2, shingle))))
+    grams = F.transform("_w", lambda _, i: F.when(i + shingle <= F.size("_w"), F.xxhash64(F.slice("_w", i + 1, shingle))))
+    split = texts.select(*keys, "norm", F.split("norm", " ").alias("_w"))
+    long = split.select(*keys, "norm", F.explode(F.array_distinct(F.filter(grams, lambda k: k.isNotNull()))).alias("_k"))
+    long = long.join(keyed.where("_k is not null"), "_k").where(F.col("norm").contains(F.col("span")))
+    short = texts.select(*keys, "norm").join(keyed.where("_k is null").select("span"), F.col("norm").contains(F.col("span")))
+    return long.select(*keys, "span").unionAll(short.select(*keys, "span")).distinct()
+
+
+def section_coverage(sections: DataFrame, spans: DataFrame) -> DataFrame:
+    """``file, section, covered`` from ``file, section, norm`` (the normalised body)
+    and ``span`` (normalised): does the body contain some span?"""
+    hit = span_hits(sections, ["file", "section"], spans).select("file", "section").distinct().withColumn("covered", F.lit(True))
     return sections.select("file", "section").join(hit, ["file", "section"], "left").withColumn("covered", F.coalesce("covered", F.lit(False)))
 
 
@@ -150,11 +156,6 @@ def file_coverage(sections: DataFrame) -> DataFrame:
     return sections.groupBy("file").agg(F.count("*").alias("sections"), F.count_if("covered").alias("covered_sections"))
 
 
-def stale_verdicts(verified: DataFrame) -> DataFrame:
-    """Verdicts on spans that the source no longer has."""
-    return verified.where(F.col("epistemic_state").isin("grounded", "failed") & (F.col("provenance") == "span-present") & ~F.col("verified"))
-
-
 def re_examinable(items: DataFrame, changed_terms: DataFrame, term_col: Column) -> DataFrame:
     """Failed or rejected items that share a term with changed source text."""
     t = items.where(F.col("epistemic_state").isin("failed", "rejected")).select("id", F.explode(F.array_distinct(term_col)).alias("term"))

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import FAILURE, is_live
+from .measure import span_hits
 
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 MAX_ROWS, MAX_TERMS, MAX_BUDGET, MAX_AGENDA = 10_000, 12, 100_000, 50
 
 
@@ -50,9 +52,11 @@ def query_terms(query: str) -> list[str]:
 
 
 def matches(query: str, columns: list[str]) -> Column:
-    """Any term in any of the columns."""
-    wanted = query_terms(query) or [query.lower()]
-    return reduce(lambda a, b: a | b, [F.lower(F.coalesce(F.col(c), F.lit(""))).contains(t) for t in wanted for c in columns])
+    """Any term in any of the columns, whatever the case of A to Z."""
+    fold = lambda c: F.translate(c, UPPER, UPPER.lower())
+    wanted = query_terms(query) or [query]
+    ascii_lower = [t.translate({ord(u): u.lower() for u in UPPER}) for t in wanted]
+    return reduce(lambda a, b: a | b, [fold(F.coalesce(F.col(c), F.lit(""))).contains(t) for t in ascii_lower for c in columns])
 
 
 def tokens(columns: list[str]) -> Column:
@@ -160,14 +164,15 @@ def span_verified(edges: DataFrame, sources: DataFrame, span_col: str = "span",
     source if that is known, else in any. Blank spans fail.
 
     ``sources`` has ``name, norm`` (normalised text); spans have ``norm_span``.
-    Named spans meet their source by an equi-join. The others are matched, as a
-    small set of distinct spans, against every text in one pass.
+    Named spans meet their source by an equi-join, the others all texts by the
+    words inside them.
     """
     known = sources.select(F.col("name").alias(file_col), F.col("norm").alias("_norm"))
     named = edges.join(known, file_col, "left")
     blank = F.trim(F.coalesce("norm_span", F.lit(""))) == ""
     sure = named.withColumn("_named", F.col("_norm").isNotNull()).withColumn("_hit", F.when(~blank & F.col("_named"), F.col("_norm").contains(F.col("norm_span"))))
     loose = sure.where(~F.col("_named") & ~blank).select("norm_span").distinct()
-    found = sources.join(F.broadcast(loose), F.col("norm").contains(F.col("norm_span"))).select("norm_span").distinct().withColumn("_any", F.lit(True))
+    found = span_hits(sources.select("name", "norm"), ["name"], loose.toDF("span"))
+    found = found.select(F.col("span").alias("norm_span")).distinct().withColumn("_any", F.lit(True))
     out = sure.join(found, "norm_span", "left")
     return out.withColumn("verified", ~blank & F.coalesce(F.when(F.col("_named"), F.col("_hit")).otherwise(F.coalesce("_any", F.lit(False))), F.lit(False))).drop("_norm", "_named", "_hit", "_any")
