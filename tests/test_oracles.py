@@ -8,7 +8,11 @@ import pytest
 from graphloom import plans
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = ["kg_metrics", "canonical_edges", "live_degree", "bridge_communities", "grounded_view", "context_items_budget", "context_hypotheses_budget", "agenda_detectors", "incident_labels", "gen_bridge", "gen_seed", "gen_regroup", "gen_periphery", "gen_ensemble", "edge_dispositions", "merge_nodes", "three_way_merge", "reconcile_forged", "krippendorff_alpha", "ideation_scores", "precision_scoring", "idf_terms", "span_verification", "scrub_redact", "variety_erosion", "knn_novelty", "niche_elites", "ask_pairs", "preference_recall", "audit_tail_stream"]
+SOME = """kg_metrics canonical_edges live_degree bridge_communities grounded_view context_items_budget context_hypotheses_budget agenda_detectors incident_labels
+gen_bridge gen_seed gen_regroup gen_periphery gen_ensemble edge_dispositions merge_nodes merge_into_existing three_way_merge reconcile_forged krippendorff_alpha
+ideation_scores precision_scoring idf_terms span_verification scrub_redact variety_erosion similarity_limits knn_novelty niche_elites ask_pairs preference_recall
+audit_tail_stream context_whole json_tokens section_coverage sections_of_talks grounded_mix rekeyed_archive preference_summary materialized_pins pin_fates
+payload_shapes kg_write propose_refusals receipts_replayed index_tables audit_ledger legacy_import topology_digest""".split()
 
 
 def rows(df):

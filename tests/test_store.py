@@ -1,0 +1,165 @@
+"""Packs, options, stores, redaction, the boundary and the archive on small cases."""
+
+import json
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from graphloom.functions import scrub as sc
+from graphloom.operators import advise, archive, boundary, measure
+from graphloom.sources import config, store
+
+PACK = {"domain": "d", "node_types": ["claim", " metric "], "edge_types": ["grounds"], "specificity_seeds": {"idea": 0.4}}
+
+
+def test_packs_are_checked(spark):
+    p = config.load_pack(json.dumps(PACK | {"glossary": {"idea": "a thought"}}))
+    assert p.node_types == ("claim", "metric") and p.seeds(spark).first().asDict() == {"term": "idea", "seed": 0.4} and p.terms(spark).count() == 1
+    for bad in ({"node_types": []}, {"node_types": ["a", "a"]}, {"edge_types": ["claim"]}, {"domain": " "}, {"extra": 1}, {"specificity_seeds": {"x": float("inf")}}, {"divergence": {"axes": []}}, {"divergence": {"dpp": 1}}):
+        with pytest.raises(ValueError):
+            config.load_pack(json.dumps(PACK | bad))
+    assert [a.cells for a in config.axes({"axes": [{"name": "tone", "values": ["x", "y"]}, {"name": "size", "kind": "continuous"}, {"name": "idea", "kind": "open"}]})] == [2, 5, 0]
+    with pytest.raises(ValueError):
+        config.axes({"axes": [{"name": "a"}, {"name": "a"}]})
+
+
+def test_options():
+    assert [config.wave_size(*x) for x in [(None, None), ("8", "3"), ("", "3"), ("99", None), ("0", None), (" 4 ", "3"), ("+5", None)]] == [6, 8, 3, 10, 6, 6, 6]
+    assert [config.cleaned(x) for x in [None, ' "C:\\x" ', "''\"y\"''", "${unset}", "/.venv", "'open"]] == ["", "C:\\x", "y", "", "", "'open"]
+    assert config.path_name("proj-A") == "proj-A" and config.path_name("proj A") != config.path_name("proj/A") and config.path_name("日本").startswith("default-")
+
+
+def test_versions_are_published_whole(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    one, two = spark.range(3), spark.range(5)
+    first = store.publish({"a": one, "b": two}, path)
+    store.publish({"a": two}, path)
+    assert {n: t.count() for n, t in store.current(spark, path).items()} == {"a": 5}
+    store.roll_back(spark, path, first)
+    assert {n: t.count() for n, t in store.current(spark, path).items()} == {"a": 3, "b": 5} and store.versions(spark, path).count() == 3
+
+
+def test_refreshed_classes(spark):
+    old = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "id long, v string")
+    new = spark.createDataFrame([(1, "x"), (2, "Y"), (4, None)], "id long, v string")
+    assert {r["id"]: r["change"] for r in store.refreshed(old, new, "id").collect()} == {1: "kept", 2: "updated", 3: "deleted", 4: "inserted"}
+
+
+SECRETS = ["AKIA" + "Q" * 16, "ghp_" + "a1" * 18, "AIza" + "b" * 35, "sk_live_" + "c" * 20, "xoxb-" + "1" * 12, "eyJ" + "a" * 10 + "." + "b" * 10 + "." + "c" * 10, "password: hunter22", 'api_key = "abcdef"', "https://bob:pw123@host/x", "0" * 40]
+CONTACTS = ["jo@mail.org", "123-45-6789", "4111 1111 1111 1111", "378282246310005", "10.0.0.255", "2001:db8::1", "aa:bb:cc:dd:ee:ff", "+1 (499) 555-6503", "415-555-2671", "DE89 3704 0044 0532 0130 00"]
+PEOPLE = ["Dr. Ada Lovelace", "12 Baker Street", "P.O. Box 7", "48.85837, 2.29448"]
+
+
+def test_forms_by_level(spark):
+    text = spark.createDataFrame([(x,) for x in SECRETS + CONTACTS + PEOPLE + ["the 12 months of 2024", "v1.2.3", "Main idea"]], "t string")
+    for level, taken in (("low", SECRETS), ("medium", SECRETS + CONTACTS), ("high", SECRETS + CONTACTS + PEOPLE)):
+        out = {r["t"]: r["x"] for r in text.select("t", sc.redact("t", level).alias("x")).collect()}
+        assert {t for t, x in out.items() if x != t} == set(taken), level
+        for t, x in out.items():
+            assert re.sub("⟦([A-Z]+):[0-9]+⟧", r"[\1]", sc.scrub_py(t, level)[0]) == x
+
+
+def test_scrub_is_consistent_and_restores(spark):
+    texts = ["a@b.org to c@d.org and a@b.org", None, "plain", "⟦MAIL:7⟧ then x@y.org", "Project Moon and Moon, by Ann Lee Smith"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    out = {r["id"]: r for r in sc.scrub(df, "id", "t", "high", ("Moon", "Project Moon"), ("Ann",)).collect()}
+    assert out[0]["text"] == "⟦MAIL:1⟧ to ⟦MAIL:2⟧ and ⟦MAIL:1⟧" and out[1]["text"] == "" and out[2]["placeholders"] == {}
+    assert out[3]["text"] == "⟦MAIL:7⟧ then ⟦MAIL:8⟧" and out[4]["text"] == "⟦TERM:1⟧ and ⟦TERM:2⟧, by ⟦PERSON:1⟧"
+    assert all(sc.restore_py(r["text"], r["placeholders"]) == (texts[i] or "") for i, r in out.items())
+    assert sc.leaks(sc.scrub(df, "id", "t"), "id").count() == 0
+    leaky = spark.createDataFrame([(1, "a@b.org ⟦MAIL:1⟧", {"⟦MAIL:1⟧": "a@b.org"})], "id int, text string, placeholders map<string,string>")
+    assert sc.leaks(leaky, "id").collect()[0]["placeholder"] == "⟦MAIL:1⟧"
+
+
+def test_scrub_of_a_long_run_is_quick():
+    import time
+
+    start = time.perf_counter()
+    for run in ("a" * 100_000, "a.b" * 30_000, "1 " * 50_000, "A" * 100_000, "a:" * 50_000):
+        sc.scrub_py(run, "high")
+    assert time.perf_counter() - start < 20
+
+
+def test_egress_takes_named_columns_only(spark):
+    df = spark.createDataFrame([("a@b.org", ["x@y.org", "z"], {"k": "p@q.org"}, "s@t.org")], "a string, b array<string>, c map<string,string>, d string")
+    r = sc.egress(df, ["a", "b", "c"]).first()
+    assert (r["a"], r["b"], r["c"], r["d"]) == ("[MAIL]", ["[MAIL]", "z"], {"k": "[MAIL]"}, "s@t.org")
+    assert df.select(sc.without_paths(F.lit("no file /root/a/b.txt here")).alias("x")).first()["x"] == "no file <path> here"
+
+
+def test_payload_shapes(spark):
+    rows = [(1, "{}"), (2, '{"nodes":[{"label":"a"}],"edges":[]}'), (3, '{"nodes":[{"id":"x"}]}'), (4, '{"edges":[{"source":"a","target":"b","relation":"r","x":1,"y":2}]}'), (5, '{"complete":false}'), (6, "[]"), (7, "{"), (8, None), (9, '{"nodes":3}')]
+    out = {r["payload"]: r["reason"] for r in boundary.parsed(spark.createDataFrame(rows, "payload int, json string")).collect()}
+    one = "schema-invalid: 1 errors"
+    assert out == {1: None, 2: None, 3: one, 4: "schema-invalid: 2 errors", 5: "truncated-payload", 6: one, 7: one, 8: one, 9: one}
+
+
+SOURCE = "Degree approximates importance. Heat flows from hot to cold."
+
+
+def test_written_payload(spark):
+    edge = lambda **x: {"source": "a", "relation": "grounds", "target": "b", "provenance": "span-present", "span": "degree approximates importance"} | x
+    payload = {"nodes": [{"label": "A", "node_type": "claim"}, {"label": "B", "node_type": "odd"}, {"label": "--"}], "edges": [edge(), edge(), edge(target="c", span="nowhere at all"), edge(target="d", span="Heat  flows"), edge(target="e", source_file="s.md", span="paraphrase of heat"), edge(target="f", provenance="hypothesized", span=""), edge(target="g", relation="odd"), edge(target="h", authored_by="human"), edge(target="i", span="to")]}
+    p = spark.createDataFrame([(1, json.dumps(payload)), (2, '{"complete": false}')], "payload int, json string")
+    src = spark.createDataFrame([("s.md", SOURCE.lower())], "name string, norm string")
+    old = spark.createDataFrame([("e_a__grounds__f", "failed"), ("e_x__grounds__y", "grounded")], "id string, epistemic_state string")
+    pack = {"node_types": ["claim"], "edge_types": ["grounds"]}
+    out = boundary.write(p, pack, src, old.where("false").select("id"), old).collect()
+    got = sorted((r["kind"], r["id"] or "", r["disposition"], r["reason"]) for r in out)
+    assert got == sorted([
+        ("payload", "", "REJECTED", "truncated-payload"), ("node", "a", "ACCEPTED", ""), ("node", "b", "QUARANTINED", "undeclared-node-type"), ("node", "node", "REJECTED", "empty-label"),
+        ("edge", "e_a__grounds__b", "ACCEPTED", ""), ("edge", "e_a__grounds__b", "ACCEPTED", "deduped"), ("edge", "e_a__grounds__c", "REJECTED", "span-not-in-source"), ("edge", "e_a__grounds__d", "ACCEPTED", ""),
+        ("edge", "e_a__grounds__e", "REJECTED", "span-not-in-named-source"), ("edge", "e_a__grounds__f", "QUARANTINED", "collapses-into-known-failure"), ("edge", "e_a__odd__g", "QUARANTINED", "undeclared-edge-type"),
+        ("edge", "e_a__grounds__h", "DEMOTED", "human-claim-stripped"), ("edge", "e_a__grounds__i", "REJECTED", "span-too-short"),
+    ])
+    n, e, refused = boundary.items(p, propose=True)
+    assert e.count() == 1 and e.first()["provenance"] == "hypothesized" and refused.where("reason = 'propose-lane-text-claim'").count() == 8 and n.count() == 3
+
+
+def test_receipts_see_contents_and_not_order(spark):
+    a, b = {"source": "a", "relation": "r", "target": "b", "span": "x"}, {"source": "c", "relation": "r", "target": "d"}
+    rows = [{"edges": [a, b]}, {"edges": [b, a]}, {"edges": [a | {"span": "y"}, b]}, {"edges": [a]}, {}]
+    r = [x["receipt"] for x in boundary.receipts(spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(rows)], "payload int, json string")).orderBy("payload").collect()]
+    assert r[0] == r[1] and len(set(r)) == 4 and all(re.fullmatch("rcpt_[0-9a-f]{16}", x) for x in r)
+
+
+def test_parents_equal_greedy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    v = rng.normal(size=(40, 5))
+    vectors = spark.createDataFrame([(i, v[i].tolist()) for i in range(40)], "id long, v array<double>")
+    elites = vectors.select(F.col("id").alias("elite"))
+    pins = spark.createDataFrame([(7, 2), (3, 1), (99, 3)], "id long, seq int")
+    got = [r["id"] for r in archive.parents(elites, vectors, pins, vectors.where("id < 3").select("id"), 8).orderBy("position").collect()]
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want, seen = [3, 7, 99], [3, 7]
+    while len(want) < 8:
+        left = [i for i in range(3, 40) if i not in want]
+        want.append(max(left, key=lambda i: (round(1 - max(unit[i] @ unit[j] for j in seen), 12), -i)))
+        seen.append(want[-1])
+    assert got == want
+    assert [r["id"] for r in archive.parents(elites, vectors, pins.where("false"), pins.select("id"), 2).orderBy("position").collect()][0] == 0
+
+
+def test_ideation_leaves_out_what_it_cannot_judge(spark):
+    out = spark.createDataFrame([("a1", "a", "Short one here now. Because entropy increases always, bridges connect."), ("a2", "a", ""), ("b1", "b", "the cat sat on mats and it ran")], "output string, arm string, text string")
+    src = spark.createDataFrame([("the thermodynamic entropy increases",)], "text string")
+    got = {r["arm"]: r for r in measure.ideation(out, src).collect()}
+    assert got["a"]["unsupported_rate"] == 0.0 and got["a"]["utility"] == round((3 / 5 + 0) / 2, 3) and got["a"]["novelty"] == 0.5
+    assert got["b"]["unsupported_rate"] == 0.0 and got["b"]["diversity"] == 1.0
+
+
+def test_erosion_needs_decay_that_quickens(spark):
+    rows = [(s, i, x, n, 10) for s, xs, n in (("fast", [0.9, 0.89, 0.88, 0.8, 0.7, 0.55, 0.35], 10), ("steady", [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3], 10), ("few", [0.9, 0.89, 0.88, 0.8, 0.7, 0.55, 0.35], 5)) for i, x in enumerate(xs)]
+    h = spark.createDataFrame(rows, "session string, cycle long, novelty double, submitted long, target long")
+    last = {r["session"]: (r["eroding"], r["under_generation"]) for r in measure.erosion(h).where("cycle = 6").collect()}
+    assert last == {"fast": (True, False), "steady": (False, False), "few": (False, True)}
+
+
+def test_json_tokens_are_those_of_python(spark):
+    row = dict(id="é\"\\", source="😀 x", target="\n\t", relation="r", provenance="p", authored_by="", epistemic_state="s", span="日本", confidence="C", confidence_score=0.1)
+    df = spark.createDataFrame([tuple(row.values()), (*list(row.values())[:-1], None)], "id string, source string, target string, relation string, provenance string, authored_by string, epistemic_state string, span string, confidence string, confidence_score double")
+    got = [r["n"] for r in df.select(advise.json_length(advise.COLUMNS).alias("n")).collect()]
+    assert got == [len(json.dumps(row)), len(json.dumps(row | {"confidence_score": None}))]
