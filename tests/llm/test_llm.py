@@ -437,6 +437,252 @@ def test_pii_surrogates_are_distinct(spark):
     assert pii.choose_round(df.select(F.concat_ws(" ", "e", "i").alias("text")), "k") == 0
 
 
+COLUMNS = {
+    "op1_mixing": "doc_id size source_size target taken copies rate",
+    "op2_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
+    "op3_language_id": "doc_id held_out lang_pred score",
+    "op4_exact_dedup": "doc_id keep_id group_size kept text_sha256",
+    "op5_ngram_jaccard": "doc_id n_shingles component_id",
+    "op6_quality": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed content_share kept",
+    "op8_substring_dedup": "doc_id n_words n_removed kept_sha256",
+    "op9_warc": "page_id payload_bytes payload_digest record_type refers_to",
+    "op10_toxicity": "doc_id held_out score predicted",
+}
+
+
+@pytest.fixture(scope="module")
+def sources(spark):
+    from conftest import SF
+
+    return {n: spark.read.parquet(f"{SF}/{n}.parquet").collect() for n in ("documents", "pages", "labels")}
+
+
+@pytest.mark.parametrize("name", COLUMNS)
+def test_query_returns_a_row_for_each_document(spark, sf, sources, name):
+    out = queries.QUERIES[name](spark, sf)
+    assert out.columns == COLUMNS[name].split()
+    rows = out.collect()
+    key = out.columns[0]
+    table = sources["pages" if key == "page_id" else "documents"]
+    if name == "op2_packing":
+        import zlib
+
+        assert {r[key] for r in rows} == {d[key] for d in table}
+        tok = packing.load_tokenizer(queries.tokenizer_path())
+        ids = {d["doc_id"]: np.array(tok.encode(d["text"] or "", add_special_tokens=False).ids + [2], "<u4") for d in table}
+        used, cover = Counter(), Counter()
+        for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+            assert r["offset"] == used[r["sequence_id"]] and r["doc_tokens"] == len(ids[r["doc_id"]])
+            used[r["sequence_id"]] += r["length"]
+            cover[r["doc_id"]] += r["length"]
+            assert zlib.crc32(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]].tobytes()) == r["ids_crc32"]
+        assert cover == Counter({i: len(x) for i, x in ids.items()}) and max(used.values()) <= 4096
+        padded = sum(n if n & (n - 1) == 0 else 4096 for n in used.values())
+        assert padded <= 1.05 * sum(used.values()) + 4096
+        return
+    assert sorted(r[key] for r in rows) == sorted(d[key] for d in table)
+    if name == "op9_warc":
+        payload = {d["page_id"]: (d["html"] or "").encode() for d in table}
+        first = {}
+        for i in sorted(payload):
+            first.setdefault(payload[i], i)
+        for r in rows:
+            p = payload[r["page_id"]]
+            other = first[p] if first[p] != r["page_id"] else None
+            assert (r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) == (len(p), warc.sha1_base32(p), "revisit" if other is not None else "response", other)
+    if name == "op6_quality":
+        text = {d["doc_id"]: d["text"] or "" for d in table}
+        for r in rows:
+            w = re.findall(r"[^\x20\x09-\x0D]+", text[r["doc_id"]])
+            grams = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+            again = [False] * len(w)
+            for i in range(len(w) - 4):
+                if grams[tuple(w[i : i + 5])] > 1:
+                    again[i : i + 5] = [True] * 5
+            lines = [x for x in text[r["doc_id"]].split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+            symbols = len(re.findall(r"[#*$%&|<>]", text[r["doc_id"]]))
+            assert tuple(r)[1:7] == (len(w), sum(map(len, w)), symbols, len(lines) - len(set(lines)), sum(again), len(w) < 10 or 100 * sum(again) > 20 * len(w))
+            assert not (r["base_failed"] and r["kept"])
+    if name == "op10_toxicity":
+        toxic = {r["doc_id"]: r["toxic"] for r in sources["labels"] if r["toxic"] is not None}
+        held = [(r["score"], toxic[r["doc_id"]]) for r in rows if r["held_out"] and r["doc_id"] in toxic]
+        bad, good = [s for s, y in held if y == 1], [s for s, y in held if y == 0]
+        assert sum(b > g for b in bad for g in good) >= 0.85 * len(bad) * len(good)
+
+
+def test_toxicity_training_step_by_step():
+    """FTRL-proximal, a coordinate at a time, in plain Python."""
+    rng = np.random.default_rng(8)
+    bias = np.array([1 << toxicity.BITS], np.int64)
+    rows = [(np.concatenate([np.unique(rng.integers(0, 60, 12)), bias]), int(rng.random() < 0.4)) for _ in range(80)]
+    on, weights, b = toxicity.train(rows, epochs=2)
+    z, n = Counter(), Counter()
+    l1 = min(max(len(rows) / toxicity.ROWS_PER_L1, toxicity.L1_LEAST), toxicity.L1_MOST)
+    positive = sum(y for _, y in rows)
+    up = min(20.0, (len(rows) - positive) / positive)
+
+    def w(i):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - np.sign(z[i]) * l1) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for epoch in range(2):
+        for k in np.random.default_rng(epoch).permutation(len(rows)):
+            x, y = rows[k]
+            now = {int(i): w(int(i)) for i in x}
+            p = 1 / (1 + np.exp(-min(35, max(-35, sum(now.values())))))
+            g = (p - y) * (up if y else 1.0)
+            for i, wi in now.items():
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / toxicity.ALPHA * wi
+                n[i] += g * g
+    want = {i: w(i) for i in range(60) if w(i)}
+    assert want.keys() == set(on.tolist()) and np.allclose([want[i] for i in on], weights, atol=1e-4) and abs(w(1 << toxicity.BITS) - b) < 1e-6
+
+
+def test_near_duplicates_of_a_large_family(spark):
+    """A family of near copies in several components, beside texts that share its passages only."""
+    rng = np.random.default_rng(6)
+    base = [f"b{i}" for i in range(150)]
+    passage = [f"p{i}" for i in range(40)]
+    texts = []
+    for k in range(220):
+        own = list(base) if k % 3 else [f"c{i}" if i % 2 else base[i] for i in range(150)]
+        for at in rng.choice(150, rng.integers(0, 9), replace=False):
+            own[at] = f"n{k}x{at}"
+        texts.append(" ".join(own))
+    texts += [" ".join(passage + [f"q{k}w{i}" for i in range(rng.integers(20, 60))]) for k in range(150)] + texts[:20]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["component_id"] for r in partenum.near_duplicates(docs).collect()}
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    comp = list(range(len(texts)))
+
+    def root(i):
+        while comp[i] != i:
+            i = comp[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                comp[b] = a
+    assert got == {i: root(i) for i in range(len(texts))}
+
+
+def test_near_duplicates_of_two_texts_under_one_id(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    rows = [(1, a), (1, b), (1, a), (2, a), (3, b), (None, a), (4, None)]
+    out = partenum.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in out}
+    assert len(out) == 7 and (None, 26, None) in got and (4, 0, 4) in got
+    # One of the two texts speaks for the id: its like is with it, the other's alone.
+    assert {(2, 26, 1), (3, 26, 3)} <= got or {(2, 26, 2), (3, 26, 1)} <= got
+
+
+def test_rates_are_the_convex_optimum(spark):
+    """The dual's optimum against a direct descent on the same function."""
+    rng = np.random.default_rng(9)
+    tokens = np.zeros((6, mixing.BANDS))
+    tokens[:, 3:9] = rng.integers(50, 900, (6, 6))
+    target = tokens.sum(1) * rng.uniform(0.4, 2.0, 6)
+    cells = spark.createDataFrame([(s, b, float(tokens[s, b]), float(target[s])) for s in range(6) for b in range(3, 9)], "sid long, band int, tokens double, target double")
+    dual, mu = mixing.solve(cells)
+    lam = np.array([r["lam"] for r in dual.orderBy("sid").collect()])
+    rate = np.minimum(mixing.CAP, np.exp(lam[:, None] + mu))
+    assert np.allclose((tokens * rate).sum(1), target, rtol=1e-6)
+    total, spent = tokens.sum(0), target.sum()
+    ridge = max(spent, 1.0) / mixing.SOFT / mixing.BANDS
+    wanted = total / total.sum() * spent
+
+    def gradient(m):
+        r = np.minimum(mixing.CAP, np.exp(mixing.tilts(tokens, target, m)[:, None] + m))
+        return (tokens * r).sum(0) - wanted + ridge * m
+
+    m = np.zeros(mixing.BANDS)
+    for _ in range(4000):
+        m -= gradient(m) / (4 * total.max() + ridge)
+    assert np.abs(m - mu).max() < 1e-3 and np.abs(gradient(mu)).max() < 1e-3 * spent
+
+
+@pytest.fixture(scope="module")
+def corpus(spark, tmp_path_factory):
+    """A small corpus with what each stage of the pipeline is for."""
+    from conftest import SF
+
+    some = [(r["text"], r["lang"], r["source"]) for r in spark.read.parquet(f"{SF}/documents.parquet").where("n_chars between 200 and 3000 and lang is not null").orderBy("doc_id").limit(90).collect()]
+    texts = some + [(some[3][0], "en", "x"), (some[3][0].replace(" ", "  "), "en", "x"), (some[5][0] + " and more", "en", None), (None, "en", "x"), ("", None, "x"), ("12 34", "en", "x"), ("...", None, None)]
+    at = f"{tmp_path_factory.mktemp('corpus')}"
+    rows = [(i, t, lang, s, len(t or "")) for i, (t, lang, s) in enumerate(texts)] + [(0, *texts[0], len(texts[0][0]))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{at}/documents.parquet")
+    return at, rows
+
+
+def test_pipeline_against_brute_force(spark, corpus):
+    import corpus_pipeline
+    from graphloom.llm.common import fold
+
+    at, rows = corpus
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    model = language.fit(docs, fold("doc_id", 4) != 2)
+    coders = language.compressors(model)
+    kept = []
+    for r in rows:
+        lang, _, margin = language.classify((r[1] or "").encode(), coders)
+        if lang != "und" and margin >= language.MARGIN:
+            kept.append(r)
+    first = {}
+    for r in sorted(kept, key=lambda r: r[0]):
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", r[1]), r)
+    kept = list(first.values())
+    sets = {}
+    for r in kept:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), r[1]))
+        sets[r[0]] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+    comp = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                low, high = sorted((comp[a], comp[b]))
+                comp = {i: low if c == high else c for i, c in comp.items()}
+    kept = [r for r in kept if comp[r[0]] == r[0]]
+    pieces = corpus_pipeline.run(spark, at).collect()
+    tok = packing.load_tokenizer(queries.tokenizer_path())
+    ids = {r[0]: tok.encode(r[1], add_special_tokens=False).ids + [2] for r in kept}
+    assert {p["doc_id"] for p in pieces} <= ids.keys()
+    got = Counter()
+    for p in pieces:
+        got[p["doc_id"]] += p["length"]
+    copies = {i: n / len(ids[i]) for i, n in got.items()}
+    assert all(c in (1, 2, 3) for c in copies.values())
+    for p in pieces:
+        import zlib
+
+        part = np.array(ids[p["doc_id"]][p["start"] : p["start"] + p["length"]], "<u4")
+        assert len(part) == p["length"] and zlib.crc32(part.tobytes()) == p["ids_crc32"]
+    # Mixing: each source's words come near its target.
+    size = {r[0]: len(re.findall(r"[^\x20\x09-\x0D]+", r[1])) for r in kept}
+    by = {}
+    for r in kept:
+        by.setdefault(r[3], []).append(r[0])
+    order = sorted((s for s in by if s is not None)) + ([None] if None in by else [])
+    total, target = sum(size.values()), {}
+    open_, left = {s: (1, 2, 3)[k % 3] for k, s in enumerate(order)}, float(total)
+    while open_:
+        share = {s: left * w / sum(open_.values()) for s, w in open_.items()}
+        full = [s for s in open_ if share[s] > 3 * sum(size[i] for i in by[s])]
+        for s in full or list(open_):
+            target[s] = 3.0 * sum(size[i] for i in by[s]) if full else share[s]
+        left -= sum(3 * sum(size[i] for i in by[s]) for s in full)
+        open_ = {s: w for s, w in open_.items() if full and s not in full}
+    for s, members in by.items():
+        assert abs(sum(size[i] * copies.get(i, 0) for i in members) - target[s]) <= max(size[i] for i in members) / 2 + 1
+
+
+def test_pipeline_of_nothing(spark, corpus, tmp_path):
+    import corpus_pipeline
+
+    spark.read.parquet(f"{corpus[0]}/documents.parquet").where("false").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline_keeps_columns_and_order(spark, sf):
     import corpus_pipeline
 
