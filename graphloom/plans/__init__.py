@@ -1,4 +1,4 @@
 """Registered queries and their SQL."""
 
-from . import graph_queries, store_queries, vector_queries, write_queries  # noqa: F401
+from . import graph_queries, store_queries, stream_queries, vector_queries, write_queries  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401

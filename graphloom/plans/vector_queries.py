@@ -145,8 +145,7 @@ def audit_tail_stream(spark, d):
     src = lift.table(spark, d, "events")
     stream = spark.readStream.schema(src.schema).format("parquet").option("pathGlobFilter", "*.parquet").load(f"{d}/events.parquet*")
     ledger = stream.select(F.col("user_id").alias("key"), F.col("event_type").alias("to"))
-    name = f"audit_{uuid.uuid4().hex}"
-    return audit.run_to_end(audit.records(ledger), name, f"{shared_dir(spark)}/graphloom/{name}")
+    return audit.run_to_end(audit.records(ledger), f"{shared_dir(spark)}/graphloom/audit-{uuid.uuid4().hex}")
 
 
 @query()

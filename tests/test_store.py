@@ -163,3 +163,51 @@ def test_json_tokens_are_those_of_python(spark):
     df = spark.createDataFrame([tuple(row.values()), (*list(row.values())[:-1], None)], "id string, source string, target string, relation string, provenance string, authored_by string, epistemic_state string, span string, confidence string, confidence_score double")
     got = [r["n"] for r in df.select(advise.json_length(advise.COLUMNS).alias("n")).collect()]
     assert got == [len(json.dumps(row)), len(json.dumps(row | {"confidence_score": None}))]
+
+
+def test_page_and_report(spark, sf, tmp_path):
+    from graphloom.sources import io, lift
+
+    n, e = lift.nodes(spark, sf), lift.edges(spark, sf)
+    page = io.viewer_page(n, e.where("relation <> 'approximates'"))
+    data = json.loads(page[page.index("const g = ") + 10 : page.index(";\nconst at")])
+    assert len(data["nodes"]) == n.count() and {x["source"] for x in data["links"]} <= {x["id"] for x in data["nodes"]}
+    text = io.report_markdown(n, e)
+    failed = e.where("epistemic_state in ('failed', 'rejected')").count()
+    assert f"## Failures ({failed})" in text and "* approximates: " in text and "node_type=nation" in text
+
+
+def test_sources_by_name_and_signature(spark, tmp_path):
+    from graphloom.sources import io
+
+    for name, text in (("a.md", "one"), ("b.txt", "two"), (".hidden.md", "no")):
+        (tmp_path / name).write_text(text)
+    src = io.read_sources(spark, f"file://{tmp_path}")
+    assert {r["name"]: r["text"] for r in src.collect()} == {"a.md": "one", "b.txt": "two"}
+    assert io.concatenated(src.withColumn("ord", F.col("name"))).first()["text"] == "one\ntwo"
+    names = spark.createDataFrame([("x/a.md",), ("zzz",)], "name string")
+    assert {r["name"]: r["text"] for r in io.by_name(src, names).collect()} == {"x/a.md": "one", "zzz": None}
+    before = io.folder_signature(spark, f"file://{tmp_path}", "*.md").first()
+    (tmp_path / "c.md").write_text("three")
+    assert io.folder_signature(spark, f"file://{tmp_path}", "*.md").first()["signature"] != before["signature"]
+
+
+def test_notes_are_written_and_read(spark, tmp_path):
+    from graphloom.sources import io
+
+    nodes = spark.createDataFrame([("n-1", "It's one", "claim", "span-present", "agent", "grounded", "Body")], "id string, label string, node_type string, provenance string, authored_by string, epistemic_state string, body string")
+    (tmp_path / "deep").mkdir()
+    for r in io.note_text(nodes).collect():
+        (tmp_path / "deep" / r["file"]).write_text(r["text"])
+    (tmp_path / "bad.md").write_text("no front matter")
+    got = io.read_notes(spark, f"file://{tmp_path}").collect()
+    assert [(r["id"], r["label"], r["epistemic_state"], r["body"].strip()) for r in got] == [("n-1", "It's one", "grounded", "Body")]
+
+
+def test_session_wipe(spark, tmp_path):
+    from graphloom.streaming import audit
+
+    path = f"file://{tmp_path}/state"
+    spark.createDataFrame([("a", 1), ("b", 2)], "session string, x int").write.partitionBy("session").parquet(path)
+    audit.wipe(spark, path, "a")
+    assert [r["session"] for r in spark.read.parquet(path).collect()] == ["b"]
