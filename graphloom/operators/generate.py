@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import FAILURE, NO_COMMUNITY
+from .checkpoint import stored
 from .graph import community_stats
 
 ORDER = ("bridge", "seed", "compression", "regroup", "transplant", "ensemble", "periphery")
@@ -94,14 +95,25 @@ def compression(nodes: DataFrame, adj: DataFrame) -> DataFrame:
 def regroup(nodes: DataFrame, adj: DataFrame, other: DataFrame, k: int = 10) -> DataFrame:
     """Pairs together now, apart in another partition ``other(id, community)``.
 
-    Within a (community, other community) cell only the ``k`` strongest can be
-    in the k best pairs unless adjacent, so cells are cut by rank first.
+    Of a (community, other community) cell only the strongest pair up, four times
+    ``k`` at first. As long as a pair with one that was left out could be among
+    the k best, as adjacent pairs don't count, the cells grow.
     """
     both = nodes.where(F.col("community") != NO_COMMUNITY).select("id", "community", "strength").join(other.select("id", F.col("community").alias("moved")), "id")
-    a = both.toDF("source", "community", "sa", "ma")
-    b = both.toDF("target", "community", "sb", "mb")
-    pairs = a.join(b, "community").where("source < target and ma <> mb").join(adj.toDF("source", "target"), ["source", "target"], "left_anti")
-    return top(_shape(pairs.withColumn("score", F.col("sa") + F.col("sb") + 1e-3), "regroup"), k)
+    cell = Window.partitionBy("community", "moved").orderBy(F.desc("strength"), "id")
+    ranked = stored(both.withColumn("_r", F.row_number().over(cell)), "regroup-cells")
+    most = ranked.groupBy("community").agg(F.max("strength").alias("most"))
+    size = 4 * k
+    while True:
+        lead = ranked.where(F.col("_r") <= size).drop("_r")
+        a, b = lead.toDF("source", "community", "sa", "ma"), lead.toDF("target", "community", "sb", "mb")
+        pairs = a.join(b, "community").where("source < target and ma <> mb").join(adj.toDF("source", "target"), ["source", "target"], "left_anti")
+        best = stored(top(_shape(pairs.withColumn("score", F.col("sa") + F.col("sb") + 1e-3), "regroup"), k), "regroup")
+        found = best.agg(F.count("*").alias("n"), F.min("score").alias("least")).first()
+        out = ranked.where(F.col("_r") == size + 1).join(most, "community").agg(F.max(F.round(F.col("strength") + F.col("most") + 1e-3, 6)).alias("bound")).first()["bound"]
+        if out is None or (found["n"] >= k and out < found["least"]):
+            return best
+        size *= 4
 
 
 def transplant(nodes: DataFrame, adj: DataFrame, edges: DataFrame) -> DataFrame:

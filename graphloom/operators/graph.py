@@ -21,8 +21,10 @@ def canonical_edges(edges: DataFrame) -> DataFrame:
 
 def adjacency(edges: DataFrame) -> DataFrame:
     """``u, v``: distinct neighbours over live edges, both ways, no loops."""
-    live = edges.where(is_live() & (F.col("source") != F.col("target"))).select(F.col("source").alias("u"), F.col("target").alias("v"))
-    return live.unionAll(live.select("v", "u")).distinct()
+    live = edges.where(is_live() & (F.col("source") != F.col("target")))
+    # One pass over the edges, however dear they are to make.
+    ways = F.array(F.struct(F.col("source").alias("u"), F.col("target").alias("v")), F.struct(F.col("target").alias("u"), F.col("source").alias("v")))
+    return live.select(F.inline(ways)).distinct()
 
 
 def vertices(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -75,7 +75,7 @@ def novelty(queries: DataFrame, rows: DataFrame, k: int = 5) -> DataFrame:
 
 
 def similar_pairs(rows: DataFrame, tau: float) -> DataFrame:
-    """``a, b``, a < b, of cosine above ``tau``; block by block."""
+    """``a, b``, a < b, of cosine above ``tau``; block by block, each two blocks once."""
 
     def over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -83,10 +83,11 @@ def similar_pairs(rows: DataFrame, tau: float) -> DataFrame:
                 sim = np.frombuffer(qm).reshape(len(qi), -1) @ np.frombuffer(rm).reshape(len(ri), -1).T
                 x, y = np.nonzero(sim > tau)
                 p, q = np.asarray(qi)[x], np.asarray(ri)[y]
-                yield pd.DataFrame({"a": p[p < q], "b": q[p < q]})
+                on = p < q if np.array_equal(qi, ri) else p != q
+                yield pd.DataFrame({"a": np.minimum(p, q)[on], "b": np.maximum(p, q)[on]})
 
     bl = stored(blocks(rows), "blocks")
-    return _block_pairs(bl, bl).mapInPandas(over, "a long, b long")
+    return _block_pairs(bl, bl).where(F.col("qi")[0] <= F.col("ri")[0]).mapInPandas(over, "a long, b long")
 
 
 def near_dedupe(rows: DataFrame, tau: float, existing: DataFrame | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from ..operators import generate as gen
 from ..operators import graph as g
 from ..operators import retrieve as r
 from ..sources import lift
-from ..sources.lift import LIFT_SQL, edges, nodes
+from ..sources.lift import LIFT_SQL, edges, nodes, stored_edges
 from .registry import query
 
 L = f"WITH {LIFT_SQL} "
@@ -20,8 +20,8 @@ L = f"WITH {LIFT_SQL} "
 def _ranked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes with degree, strength (as without the gate) and specificity (a
     function of the label's length); edges; adjacency."""
-    n, e = nodes(spark, d), edges(spark, d)
-    adj = g.adjacency(e)
+    n, e = nodes(spark, d), stored_edges(spark, d)
+    adj = g.stored(g.adjacency(e), "adjacency")
     b = g.bridge_communities(n, adj)
     out = g.degree(n, adj).join(b, "id").withColumn("strength", g.bridge_strength(F.lit(0)))
     return out.withColumn("specificity", (F.length("label") % 7 + 1).cast("double")), e, adj
@@ -104,7 +104,7 @@ def bridge_communities(spark, d):
 
 @query(L + "SELECT c.community, c.members, coalesce(i.internal, 0) AS internal FROM (SELECT community, count(*) AS members FROM kg_nodes GROUP BY 1) c LEFT JOIN (SELECT a.community, count(*) AS internal FROM kg_adj x JOIN kg_nodes a ON a.id = x.u JOIN kg_nodes b ON b.id = x.v WHERE x.u < x.v AND a.community = b.community GROUP BY 1) i USING (community)")
 def community_stats(spark, d):
-    return g.community_stats(nodes(spark, d), g.adjacency(edges(spark, d)))
+    return g.community_stats(nodes(spark, d), g.stored(g.adjacency(edges(spark, d)), "adjacency"))
 
 
 @query(L + "SELECT least(source, target) AS u, greatest(source, target) AS v, min(id) AS id, min_by(relation, id) AS relation FROM kg_edges WHERE epistemic_state = 'grounded' AND source <> target GROUP BY ALL")
@@ -154,13 +154,13 @@ AGENDA = """, live AS (
 
 @query(L + AGENDA + " SELECT * FROM ag")
 def agenda_detectors(spark, d):
-    n, e = nodes(spark, d), edges(spark, d)
+    n, e = nodes(spark, d), stored_edges(spark, d)
     return r.agenda(g.degree(n, g.adjacency(e)), e)
 
 
 @query(L + AGENDA + " SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lane ORDER BY degree DESC, id) AS position FROM ag) WHERE position <= 5")
 def agenda_lanes(spark, d):
-    n, e = nodes(spark, d), edges(spark, d)
+    n, e = nodes(spark, d), stored_edges(spark, d)
     return r.agenda_lanes(r.agenda(g.degree(n, g.adjacency(e)), e), 5)
 
 
@@ -257,9 +257,10 @@ def run_generators(spark, d):
     return gen.run(makers, "all", 10, e)
 
 
-@query(L + ", big AS (SELECT community FROM kg_nodes WHERE community <> -1 GROUP BY 1 ORDER BY count(*) DESC, community LIMIT 1) SELECT id AS source, 'collapses_into' AS relation FROM kg_nodes JOIN big USING (community)")
+@query(L + ", big AS (SELECT community FROM kg_nodes WHERE community <> -1 GROUP BY 1 ORDER BY count(*) DESC, community LIMIT 1), mb AS (SELECT id FROM kg_nodes JOIN big USING (community)) SELECT id AS source, 'collapses_into' AS relation, (SELECT 'compression-' || min(id) FROM mb) AS target_start FROM mb")
 def op_collapse(spark, d):
-    return gen.collapse(nodes(spark, d)).select("source", "relation")
+    """The target ends in a digest of the members, which SQL here has no function for."""
+    return gen.collapse(nodes(spark, d)).select("source", "relation", F.regexp_replace("target", "-[0-9a-f]{8}$", "").alias("target_start"))
 
 
 @query(L + ", hub AS (SELECT id FROM kg_degree ORDER BY degree DESC, id DESC LIMIT 1) SELECT source, source || '-facet-' || relation AS target FROM kg_edges WHERE source = (SELECT id FROM hub) GROUP BY source, relation ORDER BY relation LIMIT 5")
