@@ -297,10 +297,11 @@ def ranks_bundle(spark, d):
 
 
 
-@query(L.replace("WITH ", "WITH RECURSIVE ", 1) + ", walk AS (SELECT 'supplier-1' AS id, 0 AS hops UNION SELECT a.v, w.hops + 1 FROM walk w JOIN kg_adj a ON a.u = w.id WHERE w.hops < 3) SELECT id, min(hops)::INTEGER AS hops FROM walk GROUP BY id")
+@query(L.replace("WITH ", "WITH RECURSIVE ", 1) + """, walk(id, hops) USING KEY (id) AS (SELECT 'supplier-1', 0 UNION SELECT a.v, min(w.hops) + 1 FROM walk w JOIN kg_adj a ON a.u = w.id LEFT JOIN recurring.walk r ON r.id = a.v WHERE r.id IS NULL GROUP BY a.v)
+SELECT id, hops::INTEGER AS hops FROM walk""")
 def shortest_path_len(spark, d):
     adj = g.stored(g.adjacency(edges(spark, d)), "adjacency")
-    return g.shortest_lengths(adj, "supplier-1", 3).select("id", "hops")
+    return g.shortest_lengths(adj, "supplier-1").select("id", "hops")
 
 
 @query()

@@ -28,7 +28,10 @@ def knn_novelty(spark, d):
     return v.novelty(e.where("id % 50 = 0"), e, 5)
 
 
-@query()
+@query(E.replace("WITH e", "WITH RECURSIVE e", 1) + """, p AS (SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.id < b.id WHERE list_inner_product(a.v, b.v) > 0.35), o AS (SELECT id, row_number() OVER (ORDER BY id) AS i FROM e),
+nb AS (SELECT o.i, o.id, coalesce(list(p.a) FILTER (p.a IS NOT NULL), []) AS near FROM o LEFT JOIN p ON p.b = o.id GROUP BY ALL),
+f AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept UNION ALL SELECT nb.i, CASE WHEN list_has_any(f.kept, nb.near) THEN f.kept ELSE list_append(f.kept, nb.id) END FROM f JOIN nb ON nb.i = f.i + 1)
+SELECT id, id IN (SELECT unnest(kept) FROM f WHERE i = (SELECT max(i) FROM f)) AS kept FROM e""")
 def near_dedupe(spark, d):
     return v.near_dedupe(_vectors(spark, d), 0.35)
 
@@ -58,7 +61,8 @@ def niche_entropy(spark, d):
     return v.entropy(v.elites(_placed(spark, d)))
 
 
-@query()
+@query(E + PLACED + """, pc AS (SELECT avg(list_inner_product(a.v, b.v)) AS c FROM e a JOIN e b ON a.id < b.id), t AS (SELECT count(*) AS occupied, sum(n) AS t, sum(n * ln(n)) AS x FROM el), m AS (SELECT round(c, 6) AS mean_cosine, c, occupied, round((ln(t) - x / t) / ln(occupied), 6) AS normalised FROM pc, t)
+SELECT mean_cosine, occupied, normalised, c > 0.55 AS too_similar, occupied >= 3 AND normalised < 0.5 AS too_concentrated, c > 0.55 OR (occupied >= 3 AND normalised < 0.5) AS collapsing FROM m""")
 def collapse_monitor(spark, d):
     return v.monitor(_vectors(spark, d), _placed(spark, d))
 
@@ -148,7 +152,7 @@ def audit_tail_stream(spark, d):
     return audit.run_to_end(audit.records(ledger), f"{shared_dir(spark)}/graphloom/audit-{uuid.uuid4().hex}")
 
 
-@query()
+@query("SELECT item_id, CASE WHEN regexp_matches(coalesce(text, ''), '\\S') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm FROM benchmark")
 def hash_embedder(spark, d):
     b = v.hash_embedding(lift.table(spark, d, "benchmark"), "item_id", "text")
     return b.select("item_id", F.round(v.dot(F.col("v"), F.col("v")), 6).alias("norm"))
