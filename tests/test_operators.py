@@ -191,9 +191,9 @@ def test_sections_ignore_headings_in_fences(spark):
 def test_scrub_restores_and_numbers_consistently():
     text = "mail a@b.example and c@d.example, again a@b.example; token = \"abcdef123\""
     out, back = sc.scrub_py(text)
-    assert out.count("⟦EMAIL:1⟧") == 2 and "⟦EMAIL:2⟧" in out and "abcdef123" not in out
+    assert out.count("⟦MAIL:1⟧") == 2 and "⟦MAIL:2⟧" in out and "abcdef123" not in out
     assert sc.restore_py(out, back) == text
-    assert sc.scrub_py("⟦EMAIL:7⟧ x@y.example")[0] == "⟦EMAIL:7⟧ ⟦EMAIL:8⟧"
+    assert sc.scrub_py("⟦MAIL:7⟧ x@y.example")[0] == "⟦MAIL:7⟧ ⟦MAIL:8⟧"
 
 
 def test_parallel_dedupe_equals_the_greedy_pass(spark):
