@@ -97,12 +97,17 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     marked = _marked(base, hashes, m) if shards == 1 else _by_shard(base, m, shards)
     single = marked.where(~F.col("_maybe")).select("_row.*", F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("_sha").alias("text_sha256"))
     some = marked.where("_maybe").drop("_maybe")
-    groups = stored(some.groupBy("_sha").agg(F.count("*").alias("group_size"), F.min("_id").alias("keep_id")), "dedup-groups")
+    if whole:
+        some = stored(some, "dedup-some")  # else their texts are read and hashed for every use
+    each = some.groupBy("_sha", "_id").agg(F.count("*").alias("n")).groupBy("_sha")
+    groups = each.agg(F.sum("n").alias("group_size"), F.min("_id").alias("keep_id"), F.min_by("n", "_id").alias("_ties"))
+    groups = stored(groups.withColumn("_ties", F.coalesce("_ties", "group_size")), "dedup-groups")
     hot = F.broadcast(groups.where(F.col("group_size") * HOT >= rows))  # at most HOT rows
     cold = groups.where(F.col("group_size") * HOT < rows)
     joined = some.join(hot, "_sha").unionByName(some.join(hot, "_sha", "left_anti").join(cold, "_sha"))
-    # Rows that tie for first are ranked; the others are only dealt out evenly.
     first = F.col("_id").eqNullSafe(F.col("keep_id"))
-    tied = joined.where(first).withColumn("kept", F.row_number().over(Window.partitionBy("_sha").orderBy(F.lit(1))) == 1)
-    grouped = tied.unionByName(joined.where(~first).withColumn("kept", F.lit(False)))
+    grouped = joined.withColumn("kept", first)
+    if (groups.agg(F.max("_ties")).first()[0] or 1) > 1:  # rows equal in text and id are ranked
+        tied = joined.where(first).withColumn("kept", F.row_number().over(Window.partitionBy("_sha").orderBy(F.lit(1))) == 1)
+        grouped = tied.unionByName(joined.where(~first).withColumn("kept", F.lit(False)))
     return single.unionByName(grouped.select("_row.*", "keep_id", "group_size", "kept", F.col("_sha").alias("text_sha256")))
