@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..operators import generate as gen
 from ..operators import graph as g
 from ..operators import retrieve as r
@@ -27,6 +28,12 @@ def _ranked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFram
     return out.withColumn("specificity", (F.length("label") % 7 + 1).cast("double")), e, adj
 
 
+def _specificity(spark: SparkSession, d: str, n: DataFrame) -> DataFrame:
+    """``id, specificity`` of labels, by the IDF of their terms in the benchmark texts."""
+    seeds = tx.idf(lift.table(spark, d, "benchmark"), "item_id", "text").select("term", F.col("idf").alias("seed"))
+    return tx.specificity(n, "id", "label", seeds)
+
+
 RANKED = LIFT_SQL + """, kg_bridge AS (
   SELECT n.id, count(DISTINCT c.community) AS bridge_communities FROM kg_nodes n LEFT JOIN kg_adj a ON a.u = n.id LEFT JOIN kg_nodes c ON c.id = a.v GROUP BY n.id
 ), kg_ranked AS (
@@ -244,7 +251,8 @@ def gen_periphery(spark, d):
 
 @query()
 def run_generators(spark, d):
-    n, e, adj = map(g.stored, _ranked(spark, d), ("ranked", "edges", "adjacency"))
+    n, e, adj = _ranked(spark, d)
+    n = g.stored(n.drop("specificity").join(_specificity(spark, d, nodes(spark, d)), "id", "left").withColumn("specificity", F.coalesce("specificity", F.lit(1.0))), "ranked")
     makers = {
         "bridge": lambda: gen.bridge(n, adj),
         "seed": lambda: gen.seed(adj),
@@ -291,10 +299,7 @@ def communities(spark, d):
 @query()
 def ranks_bundle(spark, d):
     n, e = nodes(spark, d), edges(spark, d)
-    spec = n.select("id", (F.length("label") % 7 + 1).cast("double").alias("specificity"))
-    return g.ranks(n, e, spec)
-
-
+    return g.ranks(n, e, _specificity(spark, d, n))
 
 
 @query(L.replace("WITH ", "WITH RECURSIVE ", 1) + """, walk(id, hops) USING KEY (id) AS (SELECT 'supplier-1', 0 UNION SELECT a.v, min(w.hops) + 1 FROM walk w JOIN kg_adj a ON a.u = w.id LEFT JOIN recurring.walk r ON r.id = a.v WHERE r.id IS NULL GROUP BY a.v)
