@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import slug
 from .advise import cut
 from .checkpoint import stored
-from .vector import dot
+from .vector import dot, near_dedupe, novelty
 
 # Vectors that quadratic measures look at, characters of a label.
 NOVEL_CAP, LABEL = 500, 80
@@ -37,6 +37,26 @@ def rekeyed(niches: DataFrame, cells: DataFrame, axis: str) -> DataFrame:
     return j.withColumn("new_id", new).groupBy("new_id").agg(F.max_by("elite", key).alias("elite"), F.max("fitness").alias("fitness"), F.max_by("novelty", key).alias("novelty"), F.sum("n").alias("n"), F.count(best).alias("merged"))
 
 
+def ingest(candidates: DataFrame, niches: DataFrame, vectors: DataFrame, tau: float = 0.95, k: int = 5) -> tuple[DataFrame, DataFrame]:
+    """A generation's cycle: the survivors with their novelty, and the archive after it.
+
+    ``candidates`` has ``id, v, niche_id, fitness, seq``, ``niches`` ``niche_id,
+    elite, fitness, novelty, n, seq`` and ``vectors`` ``id, v`` of what is there.
+    Candidates too like what is there, or an earlier one, go; novelty is measured
+    against the others and what is there; a niche keeps the best by fitness,
+    novelty and age, and counts every placement. Ids are numbers.
+    """
+    kept = near_dedupe(candidates.select("id", "v"), tau, vectors.select("id", "v")).where("kept").select("id")
+    rest = stored(candidates.join(kept, "id"), "ingest")
+    new = novelty(rest.select("id", "v"), rest.select("id", "v").unionByName(vectors.select("id", "v")), k)
+    placed = stored(rest.join(new, "id").select("id", "niche_id", "fitness", "novelty", "seq"), "placed")
+    rows = placed.select("niche_id", F.col("id").alias("elite"), "fitness", "novelty", F.lit(1).cast("long").alias("n"), "seq")
+    key = F.struct("fitness", "novelty", (-F.col("seq")).alias("age"))
+    both = niches.select(*rows.columns).unionByName(rows).groupBy("niche_id")
+    after = both.agg(F.max_by("elite", key).alias("elite"), F.max("fitness").alias("fitness"), F.max_by("novelty", key).alias("novelty"), F.sum("n").alias("n"), F.max_by("seq", key).alias("seq"))
+    return placed, after
+
+
 def preferences(events: DataFrame, records: DataFrame, k: int = 10) -> DataFrame:
     """``domain, part, position, key, n``: the summary of a domain's memory.
 

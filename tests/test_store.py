@@ -143,6 +143,17 @@ def test_parents_equal_greedy(spark):
     assert [r["id"] for r in archive.parents(elites, vectors, pins.where("false"), pins.select("id"), 2).orderBy("position").collect()][0] == 0
 
 
+def test_ingest_cycle(spark):
+    rows = [(10, [1.0, 0.0], "a", 0.5, 10), (11, [1.0, 0.001], "a", 0.9, 11), (12, [0.0, 1.0], "a", 0.5, 12), (13, [0.0, -1.0], "b", 0.1, 13), (14, [0.6, 0.8], "a", 0.5, 14)]
+    cand = spark.createDataFrame(rows, "id long, v array<double>, niche_id string, fitness double, seq long")
+    there = spark.createDataFrame([(1, [0.0, -1.0])], "id long, v array<double>")
+    niches = spark.createDataFrame([("b", 1, 0.05, 0.3, 4, 1), ("c", 2, 0.7, 0.7, 2, 2)], "niche_id string, elite long, fitness double, novelty double, n long, seq long")
+    placed, after = archive.ingest(cand, niches, there, k=1)
+    # 11 is too like 10, 13 is already there; of three with one fitness the most novel stays.
+    assert {r["id"]: r["novelty"] for r in placed.collect()} == {10: 0.4, 12: 0.2, 14: 0.2}
+    assert {r["niche_id"]: (r["elite"], r["n"]) for r in after.collect()} == {"a": (10, 3), "b": (1, 4), "c": (2, 2)}
+
+
 def test_ideation_leaves_out_what_it_cannot_judge(spark):
     out = spark.createDataFrame([("a1", "a", "Short one here now. Because entropy increases always, bridges connect."), ("a2", "a", ""), ("b1", "b", "the cat sat on mats and it ran")], "output string, arm string, text string")
     src = spark.createDataFrame([("the thermodynamic entropy increases",)], "text string")
