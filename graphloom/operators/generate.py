@@ -180,6 +180,36 @@ def run(makers: dict[str, Callable[[], DataFrame]], mechanism: str | None, k: in
     return first_of_each(top(agreement(not_failed(out.drop("rank"), edges)), k))
 
 
+#: Candidates that are put into an order of diversity.
+ORDERED = 200
+
+
+def advisory_order(cand: DataFrame) -> DataFrame:
+    """``cand`` (as ``run`` gives it) with ``position``: the best ``ORDERED`` by score in
+    the order in which a determinantal process over their embedded texts picks
+    them, all others after them by score. Nothing is dropped and no score changes.
+    """
+    import numpy as np
+
+    from .advise import candidate_text
+    from .vector import greedy_dpp, hash_embedding
+
+    spark = cand.sparkSession
+    shown = cand if "label" in cand.columns else cand.withColumn("label", F.lit(None).cast("string"))
+    order = [F.desc("score"), F.asc("mechanism"), F.asc("source"), F.asc("target")]
+    ranked = stored(shown.withColumn("_r", F.row_number().over(Window.orderBy(*order))), "advisory")
+    best = ranked.where(F.col("_r") <= ORDERED).select(F.col("_r").cast("long").alias("id"), candidate_text().alias("said"))
+    rows = hash_embedding(best, "id", "said").orderBy("id").collect()  # at most ORDERED rows
+    if not rows:
+        return ranked.withColumn("position", F.col("_r")).drop("_r", *set(shown.columns) - set(cand.columns))
+    x = np.array([r["v"] for r in rows])
+    picks = [int(i) for i in greedy_dpp(x, np.ones(len(x)), len(x))]
+    picks += [i for i in range(len(rows)) if i not in set(picks)]
+    place = spark.createDataFrame([(rows[i]["id"], k + 1) for k, i in enumerate(picks)], "_r long, position long")
+    out = ranked.withColumn("_r", F.col("_r").cast("long")).join(F.broadcast(place), "_r", "left")
+    return out.withColumn("position", F.coalesce("position", "_r")).drop("_r", *set(shown.columns) - set(cand.columns))
+
+
 def collapse(nodes: DataFrame, members: list[str] | None = None, of: str | None = None) -> DataFrame:
     """Edges that collapse the named members, the community of a node, or the
     largest community into one node named by its first member and their hash."""

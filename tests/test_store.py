@@ -222,3 +222,14 @@ def test_session_wipe(spark, tmp_path):
     spark.createDataFrame([("a", 1), ("b", 2)], "session string, x int").write.partitionBy("session").parquet(path)
     audit.wipe(spark, path, "a")
     assert [r["session"] for r in spark.read.parquet(path).collect()] == ["b"]
+
+
+def test_advisory_order_keeps_all_and_spreads(spark):
+    from graphloom.operators import generate
+
+    rows = [("edge", "bridge", f"alpha {i}", "beta", "bridges", 1.0 - i / 1000) for i in range(210)] + [("edge", "seed", "quite", "different", "bridges", 0.95)]
+    cand = spark.createDataFrame(rows, "kind string, mechanism string, source string, target string, relation string, score double")
+    out = generate.advisory_order(cand).orderBy("position").collect()
+    assert [r["position"] for r in out] == list(range(1, 212)) and {(r["source"], r["score"]) for r in out} == {(r[2], r[5]) for r in rows}
+    assert "quite" in [r["source"] for r in out[:3]] and [r["source"] for r in out[200:]] == [f"alpha {i}" for i in range(199, 210)]
+    assert generate.advisory_order(cand.where("false")).count() == 0
