@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup as dedup
-from . import alignment, language, mixing, packing, partenum, pii, quality, substring_dedup, toxicity, warc
-from .common import fold
+from . import alignment, language, mixing, packing, partenum, pii, quality, quantiles, substring_dedup, toxicity, warc
+from .common import fold, stored
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +90,43 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
 
 
+def shop_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``stream, grp, batch, x, times``: what op13 summarises, equal rows of one
+    item and batch as one. Of the rows of one click_id the one that arrived
+    first counts (then by client and value, nulls first); a NaN is no money, a
+    null id counts as an empty one, money is bound to a hundred trillion."""
+
+    def x(money: Column, batch: Column) -> Column:
+        cents = F.floor(100 * F.greatest(F.lit(-1e14), F.least(F.lit(1e14), money)) + 0.5)
+        return cents.cast("long") + 1000 * batch
+
+    clicks = spark.read.parquet(f"{sf_dir}/clicks.parquet").select("click_id", F.struct("arrived_at", "client_id", "value").alias("r"))
+    one = clicks.groupBy("click_id").agg(F.min("r").alias("r")).select("click_id", "r.client_id", "r.value")
+    batch = F.coalesce(fold("click_id", 8), F.lit(0)).cast("int")
+    value = one.where("client_id is not null and value is not null and not isnan(value)")
+    value = value.select(F.lit("value").alias("stream"), F.col("client_id").cast("string").alias("grp"), batch.alias("batch"), x(F.col("value"), batch).alias("x"), F.lit(1).cast("long").alias("times"))
+    lines = spark.read.parquet(f"{sf_dir}/sale_lines.parquet").where("item_id is not null")
+    of = F.coalesce(fold("vendor_id", 8), F.lit(0))
+    # A row an item with a count for each batch: one shuffle serves the sum and the join.
+    sold = lines.groupBy("item_id").agg(*[F.sum((of == k).cast("long")).alias(f"n{k}") for k in range(8)])
+    items = spark.read.parquet(f"{sf_dir}/items.parquet").where("brand is not null and price is not null and not isnan(price)").select("item_id", "brand", "price")
+    each = sold.join(items, "item_id").select("brand", "price", F.posexplode(F.array(*[f"n{k}" for k in range(8)])).alias("batch", "times")).where("times > 0")
+    price = each.select(F.lit("price").alias("stream"), F.col("brand").alias("grp"), "batch", x(F.col("price"), F.col("batch")).alias("x"), "times")
+    return value.unionByName(price)
+
+
+def op13_quantiles(spark: SparkSession, sf_dir: str, error_permille: int = 50, quantile_count: int = 10, least_rows: int = 20) -> DataFrame:
+    by = ["stream", "grp"]
+    rows = stored(shop_values(spark, sf_dir), "values")
+    hot = quantiles.hot_groups(rows, by, "times")
+    summary = stored(quantiles.summaries(rows, hot, by, "batch", "x", "times", whole=-1), "summaries")
+    asked = stored(quantiles.answers(summary.where(F.col("n") >= least_rows), [*by, "batch"], quantile_count), "answers")
+    out = quantiles.exact(rows, asked, hot, by, "batch", "x", "times", whole=-1)
+    error = F.greatest(F.lit(0), F.col("n_below") + 1 - F.col("target"), F.col("target") - F.col("n_upto")).cast("long")
+    out = out.withColumn("rank_error", error).withColumn("within", 1000 * F.col("rank_error") <= error_permille * F.col("n"))
+    return out.select(*by, "batch", "i", "n", "target", "exact_x", "points", "answer", "n_below", "n_upto", "rank_error", "within")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_packing": op2_packing,
@@ -102,6 +139,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_toxicity": op10_toxicity,
     "op11_alignment": op11_alignment,
+    "op13_quantiles": op13_quantiles,
 }
 
 OP4_SQL = """
