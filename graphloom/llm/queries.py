@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup as dedup
-from . import alignment, language, mixing, packing, partenum, pii, quality, quantiles, substring_dedup, toxicity, warc
+from . import alignment, language, mixing, packing, partenum, pii, quality, quantiles, rules, substring_dedup, toxicity, warc
 from .common import fold, stored
 
 
@@ -90,6 +90,13 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
 
 
+def op12_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    model = rules.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), fold("doc_id", 4) != 2)
+    out = rules.score(docs, model, keep=["doc_id"])
+    return out.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def shop_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``stream, grp, batch, x, times``: what op13 summarises, equal rows of one
     item and batch as one. Of the rows of one click_id the one that arrived
@@ -139,6 +146,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_toxicity": op10_toxicity,
     "op11_alignment": op11_alignment,
+    "op12_rule_ensemble": op12_rule_ensemble,
     "op13_quantiles": op13_quantiles,
 }
 
