@@ -30,7 +30,8 @@ def tokenizer_path() -> str:
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir).select("doc_id", "text")
-    return packing.pack(docs, tokenizer_path(), with_ids=False)
+    out = packing.pack(docs, tokenizer_path(), with_ids=False)
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -518,10 +518,12 @@ def test_toxicity_training_step_by_step():
     """FTRL-proximal, a coordinate at a time, in plain Python."""
     rng = np.random.default_rng(8)
     bias = np.array([1 << toxicity.BITS], np.int64)
-    rows = [(np.concatenate([np.unique(rng.integers(0, 60, 12)), bias]), int(rng.random() < 0.4)) for _ in range(80)]
+    start = toxicity.SINGLE - 30  # single words and n-grams
+    rows = [(np.concatenate([np.unique(start + rng.integers(0, 60, 12)), bias]), int(rng.random() < 0.4)) for _ in range(80)]
+    worth = lambda i: toxicity.GRAM if toxicity.SINGLE <= i < 1 << toxicity.BITS else 1.0
     on, weights, b = toxicity.train(rows, epochs=2)
     z, n = Counter(), Counter()
-    l1 = min(max(len(rows) / toxicity.ROWS_PER_L1, toxicity.L1_LEAST), toxicity.L1_MOST)
+    l1 = len(rows) * toxicity.L1_SHARES[2]
     positive = sum(y for _, y in rows)
     up = min(20.0, (len(rows) - positive) / positive)
 
@@ -532,12 +534,12 @@ def test_toxicity_training_step_by_step():
         for k in np.random.default_rng(epoch).permutation(len(rows)):
             x, y = rows[k]
             now = {int(i): w(int(i)) for i in x}
-            p = 1 / (1 + np.exp(-min(35, max(-35, sum(now.values())))))
-            g = (p - y) * (up if y else 1.0)
+            p = 1 / (1 + np.exp(-min(35, max(-35, sum(wi * worth(i) for i, wi in now.items())))))
             for i, wi in now.items():
+                g = (p - y) * (up if y else 1.0) * worth(i)
                 z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / toxicity.ALPHA * wi
                 n[i] += g * g
-    want = {i: w(i) for i in range(60) if w(i)}
+    want = {i: w(i) * worth(i) for i in range(start, start + 60) if w(i)}
     assert want.keys() == set(on.tolist()) and np.allclose([want[i] for i in on], weights, atol=1e-4) and abs(w(1 << toxicity.BITS) - b) < 1e-6
 
 
