@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ngrams, words
+from .checkpoint import stored
+from .spans import span_hits
 
 
 def krippendorff_alpha(labels: DataFrame) -> DataFrame:
@@ -58,22 +60,21 @@ def ideation(outputs: DataFrame, source: DataFrame) -> DataFrame:
     (of sentences with key terms, those none of whose key terms the source has).
 
     ``outputs`` has ``output`` (a key), ``arm, text``; ``source`` has ``text``.
-    Texts are split once. A term occurs in the source where it is part of one of
-    its runs of word characters, so terms meet the parts of distinct runs.
+    Texts are split once; 3-grams are compared by 64-bit hashes. The distinct key
+    terms, a vocabulary, are looked for in the source by ``span_hits``.
     """
     found = lambda c: F.regexp_extract_all(c, F.lit(WORDS), F.lit(0))
-    o = outputs.where("text is not null").select("output", "arm", "text", F.array_distinct(ngrams(F.transform(found(F.col("text")), F.lower))).alias("grams"))
-    src = source.where("text is not null").select(F.lower("text").alias("t"), F.transform(found(F.col("text")), F.lower).alias("w"))
-    known = src.select(F.explode(F.array_distinct(ngrams(F.col("w")))).alias("g")).distinct().withColumn("known", F.lit(1))
-    per = o.select("arm", "output", F.explode("grams").alias("g")).join(known, "g", "left")
+    hashed = lambda w: F.array_distinct(F.transform(ngrams(w), lambda g: F.xxhash64(g)))
+    o = stored(outputs.where("text is not null").select("output", "arm", "text", hashed(F.transform(found(F.col("text")), F.lower)).alias("grams")), "outputs")
+    src = source.where("text is not null").select(F.monotonically_increasing_id().alias("doc"), F.lower("text").alias("norm"))
+    known = src.select(F.explode(hashed(F.transform(found(F.col("norm")), F.lower))).alias("g")).distinct().withColumn("known", F.lit(1))
+    per = stored(o.select("arm", "output", F.explode("grams").alias("g")).join(known, "g", "left"), "grams")
     pooled = per.groupBy("arm").agg((F.count_distinct("g") / F.count("*")).alias("diversity"))
     new = per.groupBy("output").agg((1 - F.sum(F.coalesce("known", F.lit(0))) / F.count("*")).alias("novelty"))
-    runs = src.select(F.explode(F.regexp_extract_all("t", F.lit("[a-z0-9_-]{6,}"), F.lit(0))).alias("r")).distinct()
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.length("r") - KEY_LENGTH), lambda i: F.transform(F.sequence(F.lit(KEY_LENGTH + 1), F.length("r") - i + 1), lambda n: F.substring(F.col("r"), i, n))))
-    parts = runs.select(F.explode(spans).alias("term")).distinct().withColumn("k", F.lit(1))
     sentences = o.select("output", F.posexplode(F.split("text", r"[.!?]+\s+")).alias("i", "s")).where(F.size(F.filter(F.split("s", r"\s+"), lambda w: w != "")) >= SENTENCE_WORDS)
     terms = F.slice(F.filter(found(F.col("s")), lambda w: F.length(w) > KEY_LENGTH), 1, KEY_TERMS)
-    each = sentences.select("output", "i", F.explode(F.transform(terms, F.lower)).alias("term"))
+    each = stored(sentences.select("output", "i", F.explode(F.transform(terms, F.lower)).alias("term")), "terms")
+    parts = span_hits(src, ["doc"], each.select(F.col("term").alias("span"))).select(F.col("span").alias("term")).distinct().withColumn("k", F.lit(1))
     backed = each.join(parts, "term", "left").groupBy("output", "i").agg(F.max("k").alias("k"))
     bare = backed.groupBy("output").agg(F.avg(F.col("k").isNull().cast("double")).alias("bare"))
     use = F.least(F.lit(1.0), F.regexp_count(F.lower("text"), F.lit(MARKERS)) / ENOUGH)
@@ -125,25 +126,6 @@ def pack_coverage(text: DataFrame, glossary: DataFrame, text_col: str = "text")
     return t.join(g, "term", "full_outer").select("term", F.coalesce("t", F.lit(False)).alias("in_text"), F.coalesce("g", F.lit(False)).alias("in_glossary"))
 
 
-def span_hits(texts: DataFrame, keys: list[str], spans: DataFrame, shingle: int = 3) -> DataFrame:
-    """``keys, span``: which texts (``keys, norm``) contain which spans (``span``), both normalised.
-
-    Spans of ``shingle`` whole inner words or more meet texts by the first of
-    those words, an equi-join, and are compared only there; the first and last
-    word of a span may be cut, so they are no part of the key. Shorter spans, a
-    vocabulary of a few words each, are compared with all texts.
-    """
-    s = spans.where("trim(span) <> ''").select("span").distinct()
-    parts = F.split("span", " ")
-    keyed = s.withColumn("_k", F.when(F.size(parts) >= shingle + 2, F.xxhash64(F.slice(parts, 2, shingle))))
-    grams = F.transform("_w", lambda _, i: F.when(i + shingle <= F.size("_w"), F.xxhash64(F.slice("_w", i + 1, shingle))))
-    split = texts.select(*keys, "norm", F.split("norm", " ").alias("_w"))
-    long = split.select(*keys, "norm", F.explode(F.array_distinct(F.filter(grams, lambda k: k.isNotNull()))).alias("_k"))
-    long = long.join(keyed.where("_k is not null"), "_k").where(F.col("norm").contains(F.col("span")))
-    short = texts.select(*keys, "norm").join(keyed.where("_k is null").select("span"), F.col("norm").contains(F.col("span")))
-    return long.select(*keys, "span").unionAll(short.select(*keys, "span")).distinct()
-
-
 def section_coverage(sections: DataFrame, spans: DataFrame) -> DataFrame:
     """``file, section, covered`` from ``file, section, norm`` (the normalised body)
     and ``span`` (normalised): does the body contain some span?"""

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import FAILURE, is_live
-from .measure import span_hits
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 MAX_ROWS, MAX_TERMS, MAX_BUDGET, MAX_AGENDA = 10_000, 12, 100_000, 50
@@ -157,22 +156,3 @@ def edgeless_communities(nodes: DataFrame, adj: DataFrame, least: int = 2) -> Da
     c = nodes.select("id", "community")
     crossing = adj.join(c.toDF("u", "cu"), "u").join(c.toDF("v", "cv"), "v").where("cu <> cv").select(F.col("cu").alias("community")).distinct()
     return nodes.groupBy("community").agg(F.count("*").alias("members")).where(F.col("members") >= least).join(crossing, "community", "left_anti")
-
-
-def span_verified(edges: DataFrame, sources: DataFrame, span_col: str = "span", file_col: str = "source_file") -> DataFrame:
-    """``edges`` with ``verified``: the normalised span occurs in the named
-    source if that is known, else in any. Blank spans fail.
-
-    ``sources`` has ``name, norm`` (normalised text); spans have ``norm_span``.
-    Named spans meet their source by an equi-join, the others all texts by the
-    words inside them.
-    """
-    known = sources.select(F.col("name").alias(file_col), F.col("norm").alias("_norm"))
-    named = edges.join(known, file_col, "left")
-    blank = F.trim(F.coalesce("norm_span", F.lit(""))) == ""
-    sure = named.withColumn("_named", F.col("_norm").isNotNull()).withColumn("_hit", F.when(~blank & F.col("_named"), F.col("_norm").contains(F.col("norm_span"))))
-    loose = sure.where(~F.col("_named") & ~blank).select("norm_span").distinct()
-    found = span_hits(sources.select("name", "norm"), ["name"], loose.toDF("span"))
-    found = found.select(F.col("span").alias("norm_span")).distinct().withColumn("_any", F.lit(True))
-    out = sure.join(found, "norm_span", "left")
-    return out.withColumn("verified", ~blank & F.coalesce(F.when(F.col("_named"), F.col("_hit")).otherwise(F.coalesce("_any", F.lit(False))), F.lit(False))).drop("_norm", "_named", "_hit", "_any")

@@ -10,6 +10,7 @@ from ..operators import graph as g
 from ..operators import measure as m
 from ..operators import retrieve as r
 from ..operators import write as w
+from ..operators.spans import span_verified
 from ..sources import lift
 from ..sources.lift import LIFT_SQL, edges, nodes, stored_edges
 from .registry import query
@@ -274,7 +275,7 @@ def span_verification(spark, d):
     norm = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
     sources = lift.table(spark, d, "documents").select(F.concat(F.lit("doc-"), "doc_id").alias("name"), norm("text").alias("norm"))
     spans = lift.table(spark, d, "benchmark").select("item_id", F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("doc-"), "item_id")).otherwise("unnamed").alias("source_file"), norm("text").alias("norm_span"))
-    return r.span_verified(spans, sources).select("item_id", "verified")
+    return span_verified(spans, sources).select("item_id", "verified")
 
 
 @query("WITH n AS (SELECT doc_id, text AS t FROM documents) SELECT doc_id, md5(t) AS digest FROM (SELECT doc_id, " + "".join("regexp_replace(" for _ in sc.rules()) + "coalesce(t, '')" + "".join(f", '{p.replace(chr(39), chr(39) * 2)}', '[{c}]', 'g')" for c, p in sc.rules()) + " AS t FROM n)")
