@@ -13,8 +13,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .checkpoint import stored
+from .index import VectorIndex
 
 BLOCK = 2048
+#: Tables of so many blocks need no index; both ways give the same rows.
+FEW_BLOCKS = 4
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -48,8 +51,10 @@ def _block_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def knn(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """``id, other, cosine``: the k nearest rows of each query, itself excluded;
-    ties go to the smaller id. Blocks keep their own k best, so what shuffles is
-    k rows per query and block."""
+    ties go to the smaller id. Through a ``VectorIndex``; tables of a few blocks
+    are compared whole, and blocks keep their own k best."""
+    if rows.count() > FEW_BLOCKS * BLOCK:
+        return VectorIndex(rows).knn(queries, k)
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -75,7 +80,10 @@ def novelty(queries: DataFrame, rows: DataFrame, k: int = 5) -> DataFrame:
 
 
 def similar_pairs(rows: DataFrame, tau: float) -> DataFrame:
-    """``a, b``, a < b, of cosine above ``tau``; block by block, each two blocks once."""
+    """``a, b``, a < b, of cosine above ``tau``. Through a ``VectorIndex``; of a
+    table of a few blocks each two are compared once."""
+    if rows.count() > FEW_BLOCKS * BLOCK:
+        return VectorIndex(rows).pairs_over(rows, tau)
 
     def over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

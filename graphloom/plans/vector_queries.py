@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import vector as v
 from ..operators.checkpoint import shared_dir
+from ..operators.index import VectorIndex
 from ..sources import lift
 from ..streaming import audit
 from .registry import query
@@ -28,6 +29,31 @@ def knn_novelty(spark, d):
     return v.novelty(e.where("id % 50 = 0"), e, 5)
 
 
+@query(E + """, s AS (SELECT q.id, r.id AS other, round(list_inner_product(q.v, r.v), 12) AS c FROM e q JOIN e r ON q.id % 50 = 0 AND q.id <> r.id)
+SELECT id, other, k, round(c, 9) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY c DESC, other) AS k FROM s) WHERE k <= 5""")
+def knn_join(spark, d):
+    """Ids divisible by 50 against all rows; exact."""
+    e = _vectors(spark, d)
+    near = VectorIndex(e).knn(e.where("id % 50 = 0"), 5)
+    return near.select("id", "other", F.col("k").cast("long").alias("k"), F.round("cosine", 9).alias("cosine"))
+
+
+@query()
+def knn_recall(spark, d):
+    """``id, found``: how many of the five nearest the cells alone give that hold
+    0.95 of a sample's neighbours; ids divisible by 50 against all rows."""
+    e = _vectors(spark, d)
+    index, q = VectorIndex(e), e.where("id % 50 = 0")
+    fast = index.knn(q, 5, exact=False, probes=index.probes_for(e, 5)).select("id", "other", F.lit(1).alias("hit"))
+    return index.knn(q, 5).join(fast, ["id", "other"], "left").groupBy("id").agg(F.count("*").alias("asked"), F.count("hit").alias("found"))
+
+
+@query(E + " SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.id < b.id WHERE round(list_inner_product(a.v, b.v), 12) > 0.35")
+def similarity_join(spark, d):
+    e = _vectors(spark, d)
+    return VectorIndex(e).pairs_over(e, 0.35)
+
+
 @query(E.replace("WITH e", "WITH RECURSIVE e", 1) + """, p AS (SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.id < b.id WHERE list_inner_product(a.v, b.v) > 0.35), o AS (SELECT id, row_number() OVER (ORDER BY id) AS i FROM e),
 nb AS (SELECT o.i, o.id, coalesce(list(p.a) FILTER (p.a IS NOT NULL), []) AS near FROM o LEFT JOIN p ON p.b = o.id GROUP BY ALL),
 f AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept UNION ALL SELECT nb.i, CASE WHEN list_has_any(f.kept, nb.near) THEN f.kept ELSE list_append(f.kept, nb.id) END FROM f JOIN nb ON nb.i = f.i + 1)
