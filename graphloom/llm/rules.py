@@ -1,9 +1,10 @@
 """Quality by a sparse ensemble of rules.
 
-A random forest of shallow trees is grown on statistics of labelled texts. Each
-path from a root is a rule: a conjunction of bounds on statistics. Lasso
-logistic regression over all rules leaves few with a weight, and those become
-one Spark column expression over the statistics, by which every text is scored.
+A random forest of shallow trees is grown on statistics of labelled texts, a
+task a tree. Each path from a root is a rule: a conjunction of bounds on
+statistics. Lasso logistic regression over all rules, its penalty chosen on
+rows held back, leaves few with a weight, and those become one Spark column
+expression over the statistics, by which every text is scored.
 
 Null, empty and wordless texts have statistics of zero and are scored like any
 other; texts are read whole. Equal texts get equal scores. Repeated ids count
@@ -15,7 +16,7 @@ one kind alone, or none, give every text the share of ones, (ones + 1) / (rows
 
 from __future__ import annotations
 
-import re
+import pickle
 from collections.abc import Iterator
 from functools import reduce
 
@@ -24,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, text_bytes, windows, word_hashes
+from .common import small_batches, text_bytes, windows, word_hashes
 
 #: Most labelled documents read for training: those with the least hashes of their ids.
 TRAIN_ROWS = 15_000
-TREES, DEPTH = 40, 3
+TREES, DEPTH, SHARE, BINS, LEAST_LEAF = 40, 3, 0.7, 32, 2
 #: Penalties tried on held-back learning rows, the sparsest first, times sqrt(log rules / rows).
 PENALTIES = (0.2, 0.05, 0.0125, 0.003)
-HELD_BACK = 0.3
+FOLDS, STEPS = 3, 400
 BLOCK = 50
 STATISTICS = [
     "words", "word_chars", "long_words", "short_words", "symbols", "upper", "digits", "marks", "cries", "lines_words", "single_lines",
@@ -95,25 +96,82 @@ def with_statistics(df: DataFrame, text_col: str = "text", keep: list[str] | Non
 Rule = tuple[tuple[int, float, float], ...]
 
 
-def paths(forest: str) -> list[Rule]:
-    """The rules of a forest, from its written form; each once, sorted."""
-    found: set[Rule] = set()
-    bounds: list[tuple[int, bool, float]] = []
-    for line in forest.splitlines():
-        m = re.match(r"( *)(?:If|Else) \(feature (\d+) (<=|>) (\S+)\)", line)
-        if not m:
-            continue
-        depth = len(m[1])
-        bounds = [x for x in bounds if x[0] < depth] + [(depth, (int(m[2]), m[3] == ">", float(m[4])))]
-        low: dict[int, float] = {}
-        high: dict[int, float] = {}
-        for _, (feature, more, at) in bounds:
-            if more:
-                low[feature] = max(at, low.get(feature, -np.inf))
-            else:
-                high[feature] = min(at, high.get(feature, np.inf))
-        found.add(tuple((f, low.get(f, -np.inf), high.get(f, np.inf)) for f in sorted(low.keys() | high.keys())))
-    return sorted(found)
+def grown(x: np.ndarray, y: np.ndarray, seed: int) -> list[Rule]:
+    """The paths of a tree grown on a share of the rows, each split the best by
+    Gini impurity of a third of the statistics."""
+    rng = np.random.default_rng(seed)
+    on = rng.permutation(len(x))[: max(2, int(SHARE * len(x)))]
+    x, y = x[on], y[on]
+    cuts = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1], method="midpoint")) for c in x.T]
+    bins = np.column_stack([np.searchsorted(c, v) for c, v in zip(cuts, x.T, strict=True)])
+    found: list[Rule] = []
+
+    def grow(rows: np.ndarray, bounds: dict[int, tuple[float, float]], depth: int) -> None:
+        ones = y[rows].sum()
+        if depth == DEPTH or ones in (0, len(rows)):
+            return
+        best = (1e-12, -1, 0)
+        for f in rng.permutation(x.shape[1])[: -(-x.shape[1] // 3)]:
+            if not len(cuts[f]):
+                continue
+            n = np.cumsum(np.bincount(bins[rows, f], minlength=len(cuts[f]) + 1))[:-1]
+            p = np.cumsum(np.bincount(bins[rows, f], y[rows], minlength=len(cuts[f]) + 1))[:-1]
+            m, q = len(rows) - n, ones - p
+            with np.errstate(divide="ignore", invalid="ignore"):
+                gain = p * p / n + q * q / m - ones * ones / len(rows)
+            gain[(n < LEAST_LEAF) | (m < LEAST_LEAF)] = 0
+            k = int(np.argmax(gain))
+            best = max(best, (float(gain[k]), int(f), k), key=lambda b: b[0])
+        gain, f, k = best
+        if f < 0:
+            return
+        low, high = bounds.get(f, (-np.inf, np.inf))
+        at = float(cuts[f][k])
+        for side, now in ((bins[rows, f] <= k, (low, min(at, high))), (bins[rows, f] > k, (max(at, low), high))):
+            after = bounds | {f: now}
+            found.append(tuple((g, *after[g]) for g in sorted(after)))
+            grow(rows[side], after, depth + 1)
+
+    grow(np.arange(len(x)), {}, 0)
+    return found
+
+
+def fires(rules: list[Rule], x: np.ndarray) -> np.ndarray:
+    """Which rules hold for which rows, as 0 and 1."""
+    out = np.ones((len(x), len(rules)), np.float32)
+    for k, rule in enumerate(rules):
+        for f, low, high in rule:
+            out[:, k] *= (x[:, f] > low) & (x[:, f] <= high)
+    return out
+
+
+def lasso(r: np.ndarray, y: np.ndarray, penalty: float) -> tuple[np.ndarray, float]:
+    """Weights and bias of least mean log loss plus ``penalty`` times the sum of
+    absolute weights of scaled rules, by accelerated proximal steps."""
+    spread = r.std(axis=0)
+    spread[spread < 1e-6] = np.inf
+    z = ((r - r.mean(axis=0)) / spread).astype(np.float32)
+    v = np.ones(z.shape[1], np.float32)
+    for _ in range(20):
+        v = z.T @ (z @ v)
+        v /= np.linalg.norm(v) or 1
+    step = 1 / (0.25 * (float(np.linalg.norm(z @ v)) ** 2 / len(z) + 1) + 1e-9)
+    w = np.zeros(z.shape[1] + 1)
+    w[-1] = np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
+    at, t = w.copy(), 1.0
+    for _ in range(STEPS):
+        p = 1 / (1 + np.exp(-np.clip(z @ at[:-1].astype(np.float32) + at[-1], -35, 35)))
+        new = at - step * np.append(z.T @ (p - y).astype(np.float32), (p - y).sum()) / len(y)
+        new[:-1] = np.sign(new[:-1]) * np.maximum(np.abs(new[:-1]) - step * penalty, 0)
+        later = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        at, w, t = new + (t - 1) / later * (new - w), new, later
+    weights = w[:-1] / spread
+    return weights, float(w[-1] - (weights * r.mean(axis=0)).sum())
+
+
+def loss(r: np.ndarray, y: np.ndarray, weights: np.ndarray, bias: float) -> float:
+    z = np.clip(r @ weights + bias, -35, 35)
+    return float(np.mean(np.log1p(np.exp(z)) - y * z))
 
 
 def holds(rule: Rule) -> Column:
@@ -142,37 +200,52 @@ class Ensemble:
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Ensemble:
     """The ensemble learned from at most ``TRAIN_ROWS`` labelled rows."""
-    from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
-
     marked = labels.where(learn & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).cast("double").alias("label"))
     picked = marked.orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col).limit(TRAIN_ROWS)
     sample = with_statistics(docs.select(id_col, text_col).join(F.broadcast(picked), id_col), text_col, [id_col, "label"])
     names = [f"stat_{s}" for s in STATISTICS]
     least = sample.groupBy(id_col, "label").agg(F.min(F.struct(*names)).alias("s")).select(id_col, "label", "s.*")
-    # The same rows in the same order whatever the cluster: one task of TRAIN_ROWS rows at most.
-    rows = stored(least.coalesce(1).sortWithinPartitions(id_col), "training").coalesce(1)
-    n, ones = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
+    rows = least.toPandas().sort_values(id_col)  # at most TRAIN_ROWS
+    x, y = rows[names].to_numpy(float), rows["label"].to_numpy(float)
+    n, ones = len(y), y.sum()
+    share = (ones + 1) / (n + 2)
+    plain = Ensemble([], float(np.log(share / (1 - share))))
     if ones in (0, n):
-        share = (ones + 1) / (n + 2)
-        return Ensemble([], float(np.log(share / (1 - share))))
-    vectors = VectorAssembler(inputCols=names, outputCol="features").transform(rows)
-    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, subsamplingRate=0.7, featureSubsetStrategy="onethird", minInstancesPerNode=2, seed=7).fit(vectors)
-    rules = paths(forest.toDebugString)
+        return plain
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast((x, y))
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = {r for seed in b.column(0).to_pylist() for r in grown(*sent.value, seed)}
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(r) for r in found], pa.binary())], names=["rule"])
+
+    rules = sorted(pickle.loads(r[0]) for r in spark.range(0, TREES, 1, TREES // 4).mapInArrow(grow, "rule binary").distinct().collect())  # 14 a tree
+    # Of rules that hold for the same rows the shortest stays.
+    rules.sort(key=lambda r: (-len(r), r))
+    rules = sorted({f.tobytes(): r for r, f in zip(rules, fires(rules, x).T.astype(bool), strict=True)}.values())
     if not rules:
-        share = (ones + 1) / (n + 2)
-        return Ensemble([], float(np.log(share / (1 - share))))
-    fires = stored(rows.select(id_col, "label", F.array(*[holds(r).cast("double") for r in rules]).alias("a")), "rules").coalesce(1).select("label", array_to_vector("a").alias("features"))
-    lasso = LogisticRegression(elasticNetParam=1.0, maxIter=100, tol=1e-5)
+        return plain
     unit = float(np.sqrt(np.log(len(rules) + 1) / n))
-    grid = ParamGridBuilder().addGrid(lasso.regParam, [p * unit for p in PENALTIES]).build()
-    judge = MulticlassClassificationEvaluator(metricName="logLoss")
-    best = TrainValidationSplit(estimator=lasso, estimatorParamMaps=grid, evaluator=judge, trainRatio=1 - HELD_BACK, seed=7, parallelism=len(grid)).fit(fires).bestModel
-    weights = best.coefficients.toArray()
-    return Ensemble([(rules[k], float(weights[k])) for k in np.flatnonzero(weights)], float(best.intercept))
+    fold = np.empty(n, int)
+    for label in (0, 1):  # each fold its share of both
+        at = np.random.default_rng(7).permutation(np.flatnonzero(y == label))
+        fold[at] = np.arange(len(at)) % FOLDS
+
+    def tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, y = sent.value
+        for b in batches:
+            got, r = [], fires(rules, x)
+            for k, f in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                got.append(loss(r[fold == f], y[fold == f], *lasso(r[fold != f], y[fold != f], PENALTIES[k] * unit)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.float64())], names=["k", "loss"])
+
+    work = spark.createDataFrame([(k, f) for k in range(len(PENALTIES)) for f in range(FOLDS)], "k int, f int").repartition(len(PENALTIES) * FOLDS)
+    found = work.mapInArrow(tried, "k int, loss double").groupBy("k").agg(F.avg("loss").alias("loss"), (F.stddev_pop("loss") / F.sqrt(F.count("*"))).alias("error")).collect()  # a row a penalty
+    least = min(found, key=lambda r: r["loss"])
+    best = min(r["k"] for r in found if r["loss"] <= least["loss"] + least["error"])  # the sparsest that is as good
+    weights, bias = lasso(fires(rules, x), y, PENALTIES[best] * unit)
+    return Ensemble([(rules[k], float(weights[k])) for k in np.flatnonzero(weights)], bias)
 
 
 def score(df: DataFrame, model: Ensemble, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

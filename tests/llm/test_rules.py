@@ -6,33 +6,30 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import queries, rules
 
-WRITTEN = """RandomForestClassificationModel: uid=x, numTrees=2
-  Tree 0 (weight 1.0):
-    If (feature 4 <= 0.5)
-     If (feature 1 <= 2.0)
-      Predict: 1.0
-     Else (feature 1 > 2.0)
-      Predict: 0.0
-    Else (feature 4 > 0.5)
-     Predict: 0.0
-  Tree 1 (weight 1.0):
-    If (feature 4 <= 0.9)
-     If (feature 4 <= 0.5)
-      Predict: 1.0
-     Else (feature 4 > 0.5)
-      Predict: 0.0
-    Else (feature 4 > 0.9)
-     Predict: 0.0
-"""
 INF = float("inf")
 
 
-def test_paths_are_conjunctions_with_one_bound_a_side():
-    assert set(rules.paths(WRITTEN)) == {((4, -INF, 0.5),), ((1, -INF, 2.0), (4, -INF, 0.5)), ((1, 2.0, INF), (4, -INF, 0.5)), ((4, 0.5, INF),), ((4, -INF, 0.9),), ((4, 0.5, 0.9),), ((4, 0.9, INF),)}
+def test_a_tree_finds_a_conjunction_and_lasso_keeps_it():
+    rng = np.random.default_rng(2)
+    x = rng.uniform(size=(600, len(rules.STATISTICS)))
+    y = ((x[:, 3] > 0.5) & (x[:, 7] <= 0.6)).astype(float)
+    found = sorted({r for seed in range(rules.TREES) for r in rules.grown(x, y, seed)})
+    assert all(low < high for r in found for _, low, high in r) and all(1 <= len(r) <= rules.DEPTH for r in found)
+    r = rules.fires(found, x)
+    for k in range(0, len(found), 7):
+        assert r[:, k].tolist() == [float(all(low < row[f] <= high for f, low, high in found[k])) for row in x]
+    weights, bias = rules.lasso(r, y, 0.01)
+    assert 0 < np.count_nonzero(weights) < len(found) / 2
+    assert ((1 / (1 + np.exp(-(r @ weights + bias))) > 0.5) == (y == 1)).mean() > 0.97
+    many, _ = rules.lasso(r, y, 0.0001)
+    assert np.count_nonzero(many) > np.count_nonzero(weights)
+    none, level = rules.lasso(r, y, 10.0)
+    assert not none.any() and level == pytest.approx(np.log(y.mean() / (1 - y.mean())), abs=0.05)
 
 
 def test_compiled_column_equals_the_rules_by_hand(spark):
-    model = rules.Ensemble([(r, 0.3 * k - 1) for k, r in enumerate(rules.paths(WRITTEN))], 0.25)
+    some = [((4, -INF, 0.5),), ((1, -INF, 2.0), (4, -INF, 0.5)), ((1, 2.0, INF),), ((4, 0.2, 0.9),), ((0, 4.5, INF), (4, -INF, 0.4))]
+    model = rules.Ensemble([(r, 0.3 * k - 1) for k, r in enumerate(some)], 0.25)
     texts = [None, "", "a b c", "# # # $ %", "longerwordshere andmore", "a # b # c # d"]
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, text string")
     for r in rules.score(df, model).collect():
