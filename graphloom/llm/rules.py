@@ -190,8 +190,10 @@ class Ensemble:
 
     def column(self) -> Column:
         """The score, over the columns of ``with_statistics``."""
-        z = reduce(Column.__add__, [F.when(holds(r), F.lit(w)).otherwise(0.0) for r, w in self.rules], F.lit(self.bias))
-        return 1 / (1 + F.exp(-z))
+        terms = [F.lit(self.bias), *[F.when(holds(r), F.lit(w)).otherwise(0.0) for r, w in self.rules]]
+        while len(terms) > 1:  # a balanced sum: the expression's depth is a logarithm of the rules
+            terms = [reduce(Column.__add__, terms[i : i + 2]) for i in range(0, len(terms), 2)]
+        return 1 / (1 + F.exp(-terms[0]))
 
     def __str__(self) -> str:
         said = [" and ".join(f"{low:.3g} < " * (low > -np.inf) + STATISTICS[f] + f" <= {high:.3g}" * (high < np.inf) for f, low, high in r) + f": {w:+.2f}" for r, w in self.rules]
