@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import NO_COMMUNITY, is_live
+from .centrality import betweenness, numbered, renumbered
 from .checkpoint import stored
+from .leiden import leiden
 
 
 def canonical_edges(edges: DataFrame) -> DataFrame:
@@ -59,108 +57,13 @@ def community_stats(nodes: DataFrame, adj: DataFrame) -> DataFrame:
     return nodes.groupBy("community").agg(F.count("*").alias("members")).join(inner, "community", "left").select("community", "members", F.coalesce("internal", F.lit(0)).alias("internal"))
 
 
-def _local_moves(graph: DataFrame, rounds: int, resolution: float) -> tuple[DataFrame, bool]:
-    """``id, label`` after rounds of moves on weighted ends ``u, v, w``, and
-    whether any node moved. Each round another half of the nodes may move, so
-    neighbours do not swap labels for ever."""
-    deg = stored(graph.groupBy(F.col("u").alias("id")).agg(F.sum("w").alias("d")), "degrees")
-    total = deg.agg(F.sum("d")).first()[0] or 1
-    state, any_moved, still = stored(deg.select("id", F.col("id").alias("label")), "labels"), False, 0
-    for i in range(rounds):
-        weight = state.join(deg, "id").groupBy("label").agg(F.sum("d").alias("lw"))
-        near = graph.where("u <> v").join(state.toDF("v", "label"), "v").groupBy("u", "label").agg(F.sum("w").alias("n"))
-        own = state.select(F.col("id").alias("u"), "label", F.lit(0.0).alias("n"))
-        votes = near.unionByName(own).groupBy("u", "label").agg(F.sum("n").alias("n")).join(weight, "label").join(deg.toDF("u", "d"), "u").join(state.toDF("u", "old"), "u")
-        rest = F.col("lw") - F.when(F.col("label") == F.col("old"), F.col("d")).otherwise(0.0)
-        gain = F.round(F.col("n") - resolution * F.col("d") * rest / total, 9)
-        best = votes.groupBy("u").agg(F.min(F.struct((-gain).alias("g"), (F.col("label") != F.col("old")).alias("moved"), "label")).alias("b"), F.first("old").alias("old"))
-        turn = F.pmod(F.xxhash64("u", F.lit(i)), F.lit(2)) == 0
-        after = stored(best.select(F.col("u").alias("id"), F.when(turn, F.col("b.label")).otherwise(F.col("old")).alias("label"), "old"), "labels")
-        moved = after.where("label <> old").count() > 0
-        state, any_moved, still = after.select("id", "label"), any_moved or moved, 0 if moved else still + 1
-        if still == 3:
-            break
-    return state, any_moved
-
-
-def communities(nodes: DataFrame, adj: DataFrame, rounds: int = 16, resolution: float = 1.0, levels: int = 6) -> DataFrame:
-    """``id, community``: modularity by local moves and contraction.
-
-    A node takes the label with the most edges to it beyond what its degree
-    lets expect, ties to staying and then to the smaller label. Labels then
-    become nodes, and it starts again, until nothing moves. All of it is joins
-    and aggregations, each round written before the next. A community is named
-    by its smallest member; isolated nodes are their own.
-    """
-    graph = stored(adj.select("u", "v", F.lit(1.0).alias("w")), "graph")
-    state = stored(nodes.select("id", F.col("id").alias("label")), "labels")
-    for _ in range(levels):
-        moves, moved = _local_moves(graph, rounds, resolution)
-        if not moved:
-            break
-        state = stored(state.join(moves.toDF("label", "new"), "label", "left").select("id", F.coalesce("new", "label").alias("label")), "labels")
-        ends = graph.join(moves.toDF("u", "lu"), "u").join(moves.toDF("v", "lv"), "v")
-        graph = stored(ends.groupBy(F.col("lu").alias("u"), F.col("lv").alias("v")).agg(F.sum("w").alias("w")), "graph")
-    names = state.groupBy("label").agg(F.min("id").alias("community"))
-    return state.join(names, "label").select("id", "community")
-
-
-def betweenness(ids: DataFrame, adj: DataFrame, edge_limit: int = 20_000_000) -> DataFrame:
-    """``id, betweenness``: exact, unweighted, undirected and normalised.
-
-    Sources are dealt to tasks, which each run level-synchronous breadth-first
-    passes over a shared adjacency in CSR form. That array is the one thing
-    broadcast; its size is checked, and graphs above ``edge_limit`` ends are
-    refused, as exact centrality in V * E steps is out of reach there anyway.
-    """
-    spark = ids.sparkSession
-    ends = adj.count()
-    if ends > edge_limit:
-        raise ValueError(f"{ends} edge ends exceed the {edge_limit} that exact betweenness broadcasts")
-    names = sorted(r[0] for r in ids.collect())
-    index = {x: i for i, x in enumerate(names)}
-    pairs = adj.toPandas()
-    u, v = pairs["u"].map(index).to_numpy(np.int64), pairs["v"].map(index).to_numpy(np.int64)
-    order = np.lexsort((v, u))
-    n = len(names)
-    sent = spark.sparkContext.broadcast((np.searchsorted(u[order], np.arange(n + 1)), v[order].astype(np.int32)))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ptr, to = sent.value
-        total = np.zeros(n)
-        for b in batches:
-            for s in b["id"].tolist():
-                total += _dependencies(s, ptr, to, n)
-        hit = np.flatnonzero(total)
-        yield pd.DataFrame({"i": hit, "x": total[hit]})
-
-    sums = spark.range(0, n, 1, max(1, min(64, n))).mapInPandas(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x"))
-    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0
-    table = spark.createDataFrame(pd.DataFrame({"i": range(n), "id": names}), "i long, id string")
-    return table.join(sums, "i", "left").select("id", (F.coalesce("x", F.lit(0.0)) * scale).alias("betweenness"))
-
-
-def _dependencies(s: int, ptr: np.ndarray, to: np.ndarray, n: int) -> np.ndarray:
-    """How much each node lies on shortest paths from ``s``."""
-    dist, paths = np.full(n, -1), np.zeros(n)
-    dist[s], paths[s] = 0, 1.0
-    frontier, levels = np.array([s]), []
-    while len(frontier):
-        size = ptr[frontier + 1] - ptr[frontier]
-        tail = np.repeat(frontier, size)
-        head = to[np.repeat(ptr[frontier] - np.cumsum(size) + size, size) + np.arange(size.sum())]
-        new = dist[head] < 0
-        dist[head[new]] = dist[frontier[0]] + 1
-        down = dist[head] == dist[frontier[0]] + 1
-        tail, head = tail[down], head[down]
-        np.add.at(paths, head, paths[tail])
-        levels.append((tail, head))
-        frontier = np.unique(head)
-    delta = np.zeros(n)
-    for tail, head in reversed(levels):
-        np.add.at(delta, tail, paths[tail] / paths[head] * (1 + delta[head]))
-    delta[s] = 0.0
-    return delta
+def communities(nodes: DataFrame, adj: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """``id, community``: connected communities of high modularity, named by
+    their smallest member; isolated nodes are their own."""
+    numbers = numbered(nodes.select("id").distinct())
+    found = leiden(renumbered(adj, numbers).withColumn("w", F.lit(1.0)), resolution)
+    of = stored(numbers.join(found.toDF("n", "label"), "n", "left").select("id", F.coalesce("label", "n").alias("label")), "communities")
+    return of.join(of.groupBy("label").agg(F.min("id").alias("community")), "label").select("id", "community")
 
 
 def shortest_lengths(adj: DataFrame, source: str, depth: int | None = None) -> DataFrame:
