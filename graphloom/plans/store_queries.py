@@ -11,9 +11,10 @@ from ..functions import text as tx
 from ..operators import advise as a
 from ..operators import archive as ar
 from ..operators import boundary as b
+from ..operators import commit
 from ..operators import graph as g
 from ..operators import measure as m
-from ..operators.checkpoint import shared_dir
+from ..operators.checkpoint import shared_dir, stored
 from ..sources import lift, store
 from ..sources.lift import LIFT_SQL, edges, nodes, stored_edges
 from .registry import query
@@ -303,12 +304,30 @@ WRITE = f"WITH {LIFT_SQL}, {SHAPES}" + """, pl AS (SELECT l_orderkey AS payload,
   UNION ALL SELECT payload, 'payload', NULL, 'REJECTED', bad, true FROM sh WHERE bad IS NOT NULL)"""
 
 
-def _written(spark, d) -> DataFrame:
+def _write_inputs(spark, d) -> tuple:
     flat = F.trim(F.regexp_replace(F.lower("text"), r"\s+", " "))
     src = lift.table(spark, d, "benchmark").select(F.concat(F.lit("source-"), "item_id").alias("name"), tx.normalize("text").alias("norm")).where(flat.alias("x").isNotNull())
-    ex = stored_edges(spark, d).where("relation = 'approximates'").select(F.regexp_replace("id", "__approximates__", "__bridges__").alias("id"), "epistemic_state")
+    ex = stored_edges(spark, d).where("relation = 'approximates'").select(F.regexp_replace("id", "__approximates__", "__bridges__").alias("id"), "source", "target", F.lit("bridges").alias("relation"), "provenance", "epistemic_state", "confidence_score", "owner")
     pack = {"node_types": ["claim"], "edge_types": ["grounds", "bridges"]}
-    return b.write(_json_payloads(spark, d), pack, src, nodes(spark, d), ex)
+    return pack, src, ex
+
+
+def _written(spark, d) -> DataFrame:
+    pack, src, ex = _write_inputs(spark, d)
+    return b.write(_json_payloads(spark, d), pack, src, nodes(spark, d), ex.select("id", "epistemic_state"))
+
+
+@query(WRITE + """, inc AS (SELECT id, max_by(CASE WHEN hyp THEN 'hypothesized' ELSE 'span-present' END, payload * 1000 + ord) AS provenance FROM fi WHERE reason IS NULL GROUP BY id), old AS (SELECT replace(id, '__approximates__', '__bridges__') AS id, epistemic_state, provenance FROM kg_edges WHERE relation = 'approximates')
+SELECT coalesce(old.id, inc.id) AS id, CASE WHEN inc.id IS NULL OR old.epistemic_state <> 'unverified' THEN old.epistemic_state ELSE 'unverified' END AS epistemic_state, CASE WHEN inc.id IS NULL OR old.epistemic_state <> 'unverified' THEN old.provenance ELSE inc.provenance END AS provenance FROM old FULL JOIN inc ON inc.id = old.id""")
+def kg_write_committed(spark, d):
+    """The edges of a store that payloads were written to twice; the second time
+    the ledger of receipts has them all."""
+    pack, src, ex = _write_inputs(spark, d)
+    path, payloads = _folder(spark, "store"), stored(_json_payloads(spark, d), "payloads")
+    commit.create(spark, path, nodes(spark, d), ex)
+    commit.commit(spark, path, payloads, pack, src)
+    commit.commit(spark, path, payloads, pack, src)
+    return store.current(spark, path)["edges"].select("id", "epistemic_state", "provenance")
 
 
 @query(WRITE + " SELECT * FROM dd")
