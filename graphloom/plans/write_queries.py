@@ -278,7 +278,19 @@ def span_verification(spark, d):
     return span_verified(spans, sources).select("item_id", "verified")
 
 
-@query("WITH n AS (SELECT doc_id, text AS t FROM documents) SELECT doc_id, md5(t) AS digest FROM (SELECT doc_id, " + "".join("regexp_replace(" for _ in sc.rules()) + "coalesce(t, '')" + "".join(f", '{p.replace(chr(39), chr(39) * 2)}', '[{c}]', 'g')" for c, p in sc.rules()) + " AS t FROM n)")
+def _replaced(text: str, forms: list[tuple[str, str]]) -> str:
+    for kind, form in forms:
+        text = "regexp_replace(" + text + ", '" + form.replace("'", "''") + f"', '[{kind}]', 'g')"
+    return text
+
+
+_LOW = len(sc.rules("low"))
+
+
+@query(f"""WITH low AS MATERIALIZED (SELECT doc_id, {_replaced("coalesce(text, '')", sc.rules("low"))} AS t FROM documents
+), runs AS (SELECT doc_id, t, list_transform(list_reverse_sort(list_transform(list_filter(list_distinct(regexp_extract_all(t, '{sc.RUN}')), lambda x: regexp_matches(x, '[0-9]') AND regexp_matches(x, '[A-Za-z]')), lambda x: lpad(length(x)::VARCHAR, 9, '0') || x)), lambda x: x[10:]) AS r FROM low
+), free AS MATERIALIZED (SELECT doc_id, list_reduce(list_prepend(t, r), lambda a, x: replace(a, x, '[{sc.RANDOM}]')) AS t FROM runs)
+SELECT doc_id, md5({_replaced("t", sc.rules()[_LOW:])}) AS digest FROM free""")
 def scrub_redact(spark, d):
     docs = lift.table(spark, d, "documents")
     return docs.select("doc_id", F.md5(sc.redact(F.coalesce("text", F.lit(""))).cast("binary")).alias("digest"))
