@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.checkpoint import shared_dir
 from ..sources import lift
-from ..streaming import audit
+from ..streaming import audit, ledger
 from .registry import query
 from .write_queries import CYCLES, _cycles
 
@@ -75,3 +75,15 @@ def erosion_stream(spark, d):
         spark.read.parquet(f"{path}-all").where(F.col("_p") == part).drop("_p").coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema(c.schema).option("maxFilesPerTrigger", 1).parquet(path)
     return audit.run_to_end(audit.erosion_loop(stream), _folder(spark, "erosion"), "append")
+
+
+@query("""SELECT 'user-' || user_id AS key, event_type AS "to", count(*) AS have FROM events GROUP BY ALL""")
+def ledger_folded(spark, d):
+    """The events as a ledger of JSON lines that grows between two folds."""
+    said = F.to_json(F.struct(F.concat(F.lit("user-"), "user_id").alias("key"), F.col("event_type").alias("to"), F.col("ts").cast("string").alias("at")))
+    e = lift.table(spark, d, "events").select("event_id", said.alias("value"))
+    path, folder = _folder(spark, "ledger"), _folder(spark, "ledger-folds")
+    for part in range(2):
+        e.where(F.col("event_id") % 2 == part).select("value").write.mode("append").text(path)
+        out = ledger.fold(spark, path, folder)
+    return out
