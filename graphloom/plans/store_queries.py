@@ -11,7 +11,7 @@ from ..functions import text as tx
 from ..operators import advise as a
 from ..operators import archive as ar
 from ..operators import boundary as b
-from ..operators import commit
+from ..operators import commit, flags, projection
 from ..operators import graph as g
 from ..operators import measure as m
 from ..operators.checkpoint import shared_dir, stored
@@ -436,3 +436,42 @@ def topology_digest(spark, d):
     adj = g.adjacency(edges(spark, d)).where("u < v")
     word = F.conv(F.substring(F.md5(F.concat_ws("\t", "u", "v").cast("binary")), 1, 15), 16, 10).cast("long")
     return adj.agg(F.count("*").alias("pairs"), F.lpad(F.lower(F.hex(F.bit_xor(word))), 15, "0").alias("signature"))
+
+
+EDIT = """, kg_own AS (SELECT * FROM kg_edges UNION ALL SELECT id, source, target, relation, provenance, 'unverified', confidence_score, target FROM kg_edges),
+own2 AS (SELECT id, source, target, relation, provenance, CASE WHEN owner LIKE 'supplier-%' AND TRY_CAST(regexp_extract(owner, '[0-9]+$') AS BIGINT) % 5 = 1 AND relation = 'approximates' THEN 'failed' ELSE epistemic_state END AS epistemic_state, owner FROM kg_own WHERE NOT (owner LIKE 'supplier-%' AND TRY_CAST(regexp_extract(owner, '[0-9]+$') AS BIGINT) % 5 = 0)),
+nodes2 AS (SELECT id, CASE WHEN node_type = 'part' AND TRY_CAST(regexp_extract(id, '[0-9]+$') AS BIGINT) % 50 = 0 THEN -1 ELSE community END AS community FROM kg_nodes WHERE NOT (node_type = 'customer' AND TRY_CAST(regexp_extract(id, '[0-9]+$') AS BIGINT) % 9 = 0)),
+can AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY owner <> source, owner) AS rn FROM own2) WHERE rn = 1 AND epistemic_state NOT IN ('failed', 'rejected', 'obsolete') AND source <> target),
+adj2 AS (SELECT source AS u, target AS v FROM can UNION SELECT target, source FROM can)"""
+
+
+@query(L + EDIT + " SELECT n.id, count(a.v) AS degree, count(DISTINCT m.community) AS bridge_communities FROM nodes2 n LEFT JOIN adj2 a ON a.u = n.id LEFT JOIN nodes2 m ON m.id = a.v GROUP BY n.id")
+def projection_after_edit(spark, d):
+    """Notes of a fifth of the suppliers deleted and of a fifth changed, some
+    customers gone and parts in another community: tables brought up to date."""
+    n, e = g.stored(nodes(spark, d).select("id", "node_type", "community"), "nodes"), stored_edges(spark, d)
+    own = stored(e.unionByName(e.withColumn("owner", F.col("target")).withColumn("epistemic_state", F.lit("unverified"))), "owned")
+    number = lambda c: F.expr(f"try_cast(regexp_extract({c}, '[0-9]+$', 0) as long)")
+    mine = F.col("owner").startswith("supplier-")
+    gone, other = mine & (number("owner") % 5 == 0), mine & (number("owner") % 5 == 1) & (F.col("relation") == "approximates")
+    new = stored(own.where(~gone).withColumn("epistemic_state", F.when(other, "failed").otherwise(F.col("epistemic_state"))), "owned")
+    after = n.where(~((F.col("node_type") == "customer") & (number("id") % 9 == 0))).withColumn("community", F.when((F.col("node_type") == "part") & (number("id") % 50 == 0), -1).otherwise(F.col("community")))
+    now = projection.projected(projection.project(n, own), after, own, new, own.where(gone | other).select("owner"))
+    return now["degree"].join(now["bridges"], "id")
+
+
+@query(L + """, it AS (SELECT e.id, epistemic_state AS s, confidence_score AS c, split(p_name, ' ') AS w FROM kg_edges e JOIN part ON target = 'part-' || p_partkey WHERE relation = 'approximates'),
+st AS (SELECT id, w, s IN ('failed', 'rejected') AS f1, CASE WHEN c >= 0.8 THEN false ELSE s IN ('failed', 'rejected') END AS f2, CASE WHEN c < 0.1 THEN false ELSE s IN ('failed', 'rejected') END AS f3 FROM it),
+ch AS (SELECT list_distinct(flatten(list(split(p_name, ' ')) FILTER (p_partkey % 211 = 1))) AS t1, list_distinct(flatten(list(split(p_name, ' ')) FILTER (p_partkey % 223 = 2))) AS t2, list_distinct(flatten(list(split(p_name, ' ')) FILTER (p_partkey % 227 = 3))) AS t3 FROM part)
+SELECT 'edge' AS kind, id, CASE WHEN f1 AND f2 AND list_has_any(w, t1) THEN 1 WHEN f2 AND list_has_any(w, t2) THEN 2 ELSE 3 END::BIGINT AS since FROM st, ch WHERE f3 AND ((f1 AND f2 AND list_has_any(w, t1)) OR (f2 AND list_has_any(w, t2)) OR list_has_any(w, t3))""")
+def persistent_flags(spark, d):
+    """Three projections: what was flagged stays while it has failed."""
+    p = lift.table(spark, d, "part")
+    e = stored_edges(spark, d).where("relation = 'approximates'").join(p.select(F.concat(F.lit("part-"), "p_partkey").alias("target"), F.split("p_name", " ").alias("terms")), "target")
+    e = stored(e.select(F.lit("edge").alias("kind"), "id", "epistemic_state", "confidence_score", "terms"), "items")
+    c, held = F.col("confidence_score"), flags.none(e)
+    for now, (cured, every, rest) in enumerate(((F.lit(False), 211, 1), (c >= 0.8, 223, 2), (c < 0.1, 227, 3)), 1):
+        items = e.withColumn("epistemic_state", F.when(cured, "grounded").otherwise(F.col("epistemic_state")))
+        terms = p.where(F.col("p_partkey") % every == rest).select(F.explode(F.split("p_name", " ")).alias("term"))
+        held = stored(flags.re_examinable(held, items, terms, now), "flags")
+    return held
