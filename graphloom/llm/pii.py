@@ -54,22 +54,36 @@ NAME = rf"{_PARTICLES}{_WORD}(?: {_PARTICLES}{_WORD}){{0,7}}"
 _KEYWORD = r"(?i:password|passwd|secret|api_key|apikey|token|pwd)[\"']?\s*[=:]\s*"
 _EMAIL = r"[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){0,126}\.[A-Za-z]{2,63}(?![A-Za-z0-9])"
 _SCHEME = r"[a-z][a-z0-9+.\-]{0,30}://"
+#: A keyword and a verb; the secret after them has a digit.
+_TOLD = r"(?i:password|passwd|passphrase|secret|api_key|apikey|token|pwd)\s+(?:is|was)\s+"
+# Keys of services by their prefixes, signed tokens in three parts, bearer tokens, a
+# private key with its boundary lines, account numbers (two letters, two digits, groups
+# of four), device addresses, and runs of 40 characters of base64 with a digit.
+_KEYS = "|".join([
+    r"gh[oprsu]_[0-9A-Za-z]{20,}+", r"github_pat_[0-9A-Za-z_]{22,}+", r"glpat-[0-9A-Za-z_\-]{20,}+", r"xox[a-z]-[0-9A-Za-z\-]{10,}+", r"[rs]k_(?:live|test)_[0-9A-Za-z]{16,}+", r"sk-[0-9A-Za-z_\-]{20,}+",
+    r"AIza[0-9A-Za-z_\-]{35}", r"ASIA[0-9A-Z]{16}", r"npm_[0-9A-Za-z]{36}", r"hf_[0-9A-Za-z]{30,}+", r"eyJ[0-9A-Za-z_\-]{8,}+\.[0-9A-Za-z_\-]{8,}+\.[0-9A-Za-z_\-]{8,}+",
+    r"[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?", r"(?:[0-9A-Fa-f]{2}[:\-]){5}[0-9A-Fa-f]{2}", r"(?=[0-9A-Za-z+/]{0,39}[0-9])[0-9A-Za-z+/]{40,}+={0,2}",
+])
+_BEARER, _BEGIN = r"[Bb]earer ", r"-----BEGIN (?:[0-9A-Z]+ ){0,4}PRIVATE KEY-----"
+_OTHER_SECRETS = rf"(?<![0-9A-Za-z]){_TOLD}(?=\S{{0,60}}[0-9])[^\s\"']{{6,}}+|(?<![0-9A-Za-z]){_BEARER}[0-9A-Za-z._~+/\-]{{16,}}+=*|{_BEGIN}[^\-]++(?:-[^\-]++)*+(?=-----END)|(?<![0-9A-Za-z+/=_\-])(?:{_KEYS})(?![0-9A-Za-z])"
+#: What a text without digit, at-sign, colon, equals sign and title can have of them.
+_KEY_STARTS = "gh[oprsu]_|github_pat_|glpat-|xox|[rs]k[_-]|AIza|ASIA|npm_|hf_|eyJ|[Bb]earer |-----BEGIN"
 
 # What is detected, in order of precedence; at one place the first that fits wins.
 PATTERNS: dict[str, str] = {
     "email": rf"(?<![A-Za-z0-9._%+\-]){_EMAIL}",
-    "secret": rf"(?<![A-Za-z0-9]){_KEYWORD}(?:\"[^\"]{{4,}}(?=\")|'[^']{{4,}}(?=')|(?!{_EMAIL})[^\s\"']{{6,}}+)|(?<![A-Za-z0-9]){_SCHEME}[^\s/@:]+:[^\s/@]+@\S+|(?<![A-Za-z0-9])AKIA[0-9A-Z]{{16}}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:[0-9a-f]{{32,64}}+|[0-9A-F]{{32,64}}+)(?![A-Za-z0-9])",
-    "phone": r"(?<![0-9+])\+[0-9]{1,3}[\s.\-]?\(?[0-9]{2,4}\)?[\s.\-]?[0-9]{3,4}[\s.\-]?[0-9]{3,4}(?![0-9])|(?<![0-9.\-])\(?[0-9]{3}\)?[ .\-][0-9]{3}[.\-][0-9]{4}(?![0-9])",
+    "secret": rf"(?<![A-Za-z0-9]){_KEYWORD}(?:\"[^\"]{{4,}}(?=\")|'[^']{{4,}}(?=')|(?!{_EMAIL})[^\s\"']{{6,}}+)|(?<![A-Za-z0-9]){_SCHEME}[^\s/@:]+:[^\s/@]+@\S+|(?<![A-Za-z0-9])AKIA[0-9A-Z]{{16}}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:[0-9a-f]{{32,64}}+|[0-9A-F]{{32,64}}+)(?![A-Za-z0-9])|{_OTHER_SECRETS}",
+    "phone": r"(?<![0-9+])\+[0-9]{1,3}[\s.\-]?\(?[0-9]{2,4}\)?[\s.\-]?[0-9]{3,4}[\s.\-]?[0-9]{3,4}(?![0-9])|(?<![0-9.\-])\(?[0-9]{3}\)?[ .\-][0-9]{3}[.\-][0-9]{4}(?![0-9])|(?<![0-9.\-])[2-9][0-9]{2} [2-9][0-9]{2} [0-9]{4}(?![0-9])",
     "card": r"(?<![0-9])[0-9]{4}(?:[ \-][0-9]{4}){3}(?![0-9])|(?<![0-9A-Za-z])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])",
-    "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])|(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]*[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])",
+    "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])|(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]*[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])|(?<![0-9A-Za-z:.])::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}(?![0-9A-Za-z:])",
     "name": rf"(?<=[rsfuaeна.] )(?<=\b(?:{TITLE})\.? ){NAME}",
 }
 FEMALE = r"(?:Mrs|Ms|Frau|Señora|Madame|Госпожа)\.? (?:(?:Dr|Prof)\.? )*$"
 MALE = r"(?:Mr|Herr|Señor|Monsieur|Господин)\.? (?:(?:Dr|Prof)\.? )*$"
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What of a match stays before the entity.
-HEAD = rf"^(?:{_KEYWORD}[\"']?|{_SCHEME})"
+HEAD = rf"^(?:{_KEYWORD}[\"']?|{_SCHEME}|{_TOLD}|{_BEARER}|{_BEGIN})"
 #: First digits of cards by issuer.
 ISSUER = "^(?:4|5[1-5]|2[2-7]|3[47]|3[0689]|35|6[0-9])"
 #: Characters that stand for one another. All of one string are of one kind.
@@ -233,7 +247,7 @@ def _shape(found: Column) -> Column:
         F.when(found.rlike(r"^[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,63}$"), "email")
         .when(found.rlike(r"^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$|^[0-9A-Fa-f:]*:[0-9A-Fa-f:]*$"), "ip")
         .when(found.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
-        .when(found.rlike(r"^\+[0-9 \s().\-]+$|^\(?[0-9]{3}\)?[ .\-][0-9]{3}[.\-][0-9]{4}$"), "phone")
+        .when(found.rlike(r"^\+[0-9 \s().\-]+$|^\(?[0-9]{3}\)?[ .\-][0-9]{3}[ .\-][0-9]{4}$"), "phone")
         .when(found.rlike(r"^[0-9](?:[ \-]?[0-9]){12,18}$"), F.when(digits.rlike(ISSUER) & (_luhn(digits) % 10 == 0), "card").otherwise("none"))
         .otherwise("secret")
     )
@@ -267,10 +281,10 @@ TITLES = ("Mr", "Ms", "Dr", "Prof", "Herr", "Frau", "Señor", "Monsieur", "Madam
 def _split(text: Column) -> Column:
     """``e``, the entities in order as ``surrogate`` takes them, and ``p``, the text
     around them; null where there is none. Texts without a digit, an at-sign, a
-    colon, an equals sign, a title, AKIA or a long run of hexadecimal letters
-    cannot have any and are not searched."""
+    colon, an equals sign, a title, a key's prefix or a long run of hexadecimal
+    letters cannot have any and are not searched."""
     titled = reduce(lambda a, b: a | b, [text.contains(t) for t in TITLES])
-    maybe = titled | text.rlike("[0-9@=:]|[a-f]{32}|[A-F]{32}|AKIA")
+    maybe = titled | text.rlike(f"[0-9@=:]|[a-f]{{32}}|[A-F]{{32}}|AKIA|{_KEY_STARTS}")
     single = lambda w: w.rlike(r"^\p{Lu}[\p{L}\p{M}'’\-]+$")
     found = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(PATTERNS["name"]), F.lit(0)), lambda n: F.split(n, " ")))
     # In descending order a word comes before its own beginnings.
