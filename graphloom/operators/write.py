@@ -165,6 +165,44 @@ def renamed(edges: DataFrame, mapping: DataFrame) -> DataFrame:
     return e.groupBy("id").agg(F.max_by(F.struct("source", "target", "relation", "provenance", "epistemic_state"), key).alias("x"), F.count("*").alias("merged_from")).select("id", "x.*", "merged_from")
 
 
+# Fixed value: the type of a node that nobody declared yet.
+UNDECLARED = "undeclared-type"
+
+
+def merge_requests(requests: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``old, new, error`` of requests ``from, into``: ids as slugs, and why a merge
+    is refused, null if it is not. A node does not become itself; both have to be
+    there; two declared types are never made one; and of the requests of one call
+    a node is the source of one at most and not the target of another's."""
+    r = requests.select(slug("from").alias("old"), slug("into").alias("new"))
+    kind = lambda key, name: nodes.select(F.col("id").alias(key), F.coalesce("node_type", F.lit(UNDECLARED)).alias(name))
+    sources = r.groupBy("old").agg(F.count("*").alias("_n"))
+    j = r.join(kind("old", "_a"), "old", "left").join(kind("new", "_b"), "new", "left").join(sources, "old")
+    j = j.join(sources.select(F.col("old").alias("new"), F.lit(True).alias("_goes")), "new", "left")
+    differ = (F.col("_a") != F.col("_b")) & (F.col("_a") != UNDECLARED) & (F.col("_b") != UNDECLARED)
+    error = F.when(F.col("old") == F.col("new"), "merge-into-itself").when(F.col("_a").isNull(), "source-not-found").when(F.col("_b").isNull(), "target-not-found").when(differ, "node-type-conflict").when(F.col("_n") > 1, "source-merged-twice").when(F.col("_goes"), "target-is-merged-too")
+    return j.select("old", "new", error.alias("error"))
+
+
+def merge_report(edges: DataFrame, mapping: DataFrame) -> DataFrame:
+    """One row for a merge or rename by ``old, new``: ``edges_rewritten``, the
+    ``self_loops_dropped`` and the ``edges_deduped``, ids that several edges became."""
+    moved = lambda c: F.col(f"_{c}").isNotNull()
+    m = mapping.select("old", "new")
+    e = edges.join(m.toDF("source", "_s"), "source", "left").join(m.toDF("target", "_t"), "target", "left").where(moved("s") | moved("t"))
+    loop = (F.coalesce("_s", "source") == F.coalesce("_t", "target")) & ~F.col("epistemic_state").isin(*FAILURE)
+    counts = e.agg(F.count_if(~loop).alias("edges_rewritten"), F.count_if(loop).alias("self_loops_dropped"))
+    return counts.crossJoin(renamed(edges, mapping).agg(F.count_if(F.col("merged_from") > 1).alias("edges_deduped")))
+
+
+def migrations(edges: DataFrame, after: DataFrame) -> DataFrame:
+    """``key, from, to, by``: the audit records that a rename or merge needs. A
+    verdict that now is at an id, or in a state, where no edge had it before has no
+    record to stand on; all others keep theirs."""
+    new = after.where(F.col("epistemic_state").isin(*GROUNDABLE)).join(edges.select("id", "epistemic_state"), ["id", "epistemic_state"], "left_anti")
+    return new.select(F.col("id").alias("key"), F.lit("unverified").alias("from"), F.col("epistemic_state").alias("to"), F.lit("agent").alias("by"))
+
+
 def three_way(base: DataFrame, ours: DataFrame, theirs: DataFrame) -> DataFrame:
     """States by edge id: a change on one side is taken, two different changes
     give unverified and ``conflict``; edges of either side stay."""

@@ -97,10 +97,34 @@ rk AS (SELECT *, 'e_' || source || '__' || relation || '__' || target AS id, lis
 
 @query(L + RENAME + " SELECT id, epistemic_state, provenance, n AS merged_from FROM (SELECT *, count(*) OVER (PARTITION BY id) AS n, row_number() OVER (PARTITION BY id ORDER BY s DESC, p DESC, was DESC) AS k FROM rk) WHERE k = 1")
 def merge_nodes(spark, d):
+    return w.renamed(edges(spark, d), _merges(spark, d)).select("id", "epistemic_state", "provenance", "merged_from")
+
+
+def _merges(spark, d):
     s = lift.table(spark, d, "supplier")
     low = s.groupBy("s_nationkey").agg(F.min("s_suppkey").alias("low"))
-    mapping = s.join(low, "s_nationkey").select(F.concat(F.lit("supplier-"), "s_suppkey").alias("old"), F.concat(F.lit("supplier-"), "low").alias("new"))
-    return w.renamed(edges(spark, d), mapping).select("id", "epistemic_state", "provenance", "merged_from")
+    return s.join(low, "s_nationkey").select(F.concat(F.lit("supplier-"), "s_suppkey").alias("old"), F.concat(F.lit("supplier-"), "low").alias("new"))
+
+
+MERGED = " SELECT id, epistemic_state FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, p DESC, was DESC) AS k FROM rk) WHERE k = 1"
+
+
+@query(L + RENAME + f", m AS ({MERGED}) SELECT id AS key, 'unverified' AS \"from\", epistemic_state AS \"to\", 'agent' AS \"by\" FROM m WHERE epistemic_state <> 'unverified' AND (id, epistemic_state) NOT IN (SELECT (id, epistemic_state) FROM kg_edges)")
+def merge_migrations(spark, d):
+    e = stored_edges(spark, d)
+    return w.migrations(e, w.renamed(e, _merges(spark, d)))
+
+
+@query(L + """, rq AS (SELECT 'Supplier-' || s_suppkey AS a, CASE WHEN s_suppkey % 5 = 0 THEN 'nation-' || s_nationkey WHEN s_suppkey % 7 = 0 THEN 'nowhere' ELSE 'supplier-' || (s_suppkey // 10 * 10 + 1) END AS b FROM supplier UNION ALL SELECT 'customer-' || c_custkey, 'customer-' || (c_custkey - c_custkey % 3) FROM customer),
+r AS (SELECT lower(a) AS old, b AS new FROM rq), n AS (SELECT old, count(*) AS n FROM r GROUP BY 1)
+SELECT r.old, r.new, CASE WHEN r.old = r.new THEN 'merge-into-itself' WHEN x.id IS NULL THEN 'source-not-found' WHEN y.id IS NULL THEN 'target-not-found' WHEN x.node_type <> y.node_type THEN 'node-type-conflict' WHEN n.n > 1 THEN 'source-merged-twice' WHEN r.new IN (SELECT old FROM n) THEN 'target-is-merged-too' END AS error
+FROM r JOIN n ON n.old = r.old LEFT JOIN kg_nodes x ON x.id = r.old LEFT JOIN kg_nodes y ON y.id = r.new""")
+def merge_refusals(spark, d):
+    k = F.col("s_suppkey")
+    into = F.when(k % 5 == 0, F.concat(F.lit("nation-"), "s_nationkey")).when(k % 7 == 0, "nowhere").otherwise(F.concat(F.lit("supplier-"), F.floor(k / 10) * 10 + 1))
+    s = lift.table(spark, d, "supplier").select(F.concat(F.lit("Supplier-"), k).alias("from"), into.alias("into"))
+    c = lift.table(spark, d, "customer").select(F.concat(F.lit("customer-"), "c_custkey").alias("from"), F.concat(F.lit("customer-"), F.col("c_custkey") - F.col("c_custkey") % 3).alias("into"))
+    return w.merge_requests(s.unionByName(c), nodes(spark, d))
 
 
 @query(L + """, b AS (SELECT id, epistemic_state FROM kg_edges WHERE relation <> 'bridges'), o AS (SELECT id, CASE WHEN confidence_score > 0.7 THEN 'failed' ELSE epistemic_state END AS epistemic_state FROM kg_edges), t AS (SELECT id, CASE WHEN confidence_score > 0.5 THEN 'grounded' ELSE epistemic_state END AS epistemic_state FROM kg_edges),

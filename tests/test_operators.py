@@ -242,3 +242,19 @@ def test_notes_and_files_round_trip(spark, tmp_path):
     (tmp_path / "ledger.jsonl").write_text('{"key": "k", "to": "failed"}\nnot json\n\n')
     good, bad = io.read_ledger(spark, str(tmp_path / "ledger.jsonl"))
     assert good.count() == 1 and bad.count() == 1
+
+
+def test_merges_are_refused_for_a_reason(spark):
+    nodes = spark.createDataFrame([("a", "claim"), ("b", "claim"), ("c", "source"), ("d", "undeclared-type"), ("e", None), ("f", "claim")], "id string, node_type string")
+    asked = [("A", "b"), ("b", "B "), ("c", "f"), ("c", "d"), ("d", "f"), ("zz", "a"), ("f", "zz"), ("e", "c")]
+    got = {(r["old"], r["new"]): r["error"] for r in w.merge_requests(spark.createDataFrame(asked, "from string, into string"), nodes).collect()}
+    assert got == {("a", "b"): "target-is-merged-too", ("b", "b"): "merge-into-itself", ("c", "f"): "node-type-conflict", ("c", "d"): "source-merged-twice", ("d", "f"): "target-is-merged-too", ("zz", "a"): "source-not-found", ("f", "zz"): "target-not-found", ("e", "c"): "target-is-merged-too"}
+
+
+def test_a_merge_reports_and_migrates_what_it_moved(spark):
+    edge = lambda s, t, state: (f"e_{s}__bridges__{t}", s, t, "bridges", "inferred", state)
+    e = spark.createDataFrame([edge("a", "x", "grounded"), edge("b", "x", "unverified"), edge("a", "b", "unverified"), edge("b", "a", "failed"), edge("y", "a", "grounded"), edge("y", "z", "grounded")], "id string, source string, target string, relation string, provenance string, epistemic_state string")
+    mapping = spark.createDataFrame([("a", "b")], "old string, new string")
+    assert tuple(w.merge_report(e, mapping).first()) == (3, 1, 1)
+    got = {(r["key"], r["to"]) for r in w.migrations(e, w.renamed(e, mapping)).collect()}
+    assert got == {("e_b__bridges__x", "grounded"), ("e_b__bridges__b", "failed"), ("e_y__bridges__b", "grounded")}
