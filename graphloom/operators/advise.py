@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import FAILURE, is_live
+from .checkpoint import stored
+from .graph import rank_order
 from .retrieve import MAX_BUDGET, clamp, matches, priority
 
 # Rows of the bridge advisories, rows of the verdict advisories, characters of a token.
@@ -87,6 +89,40 @@ def capped(rows: DataFrame, order: list[Column], most: int = CAPPED) -> DataFram
     return rows.orderBy(*order).limit(most).crossJoin(F.broadcast(total))
 
 
+def answer(edges: DataFrame, ranked: DataFrame, stale: DataFrame, re_examinable: DataFrame, query: str = "", budget: int = 2000) -> DataFrame:
+    """The whole answer of a read as ``block, position, id, label, value, total``:
+    ``items`` and ``hypotheses`` with their tokens, ``approx_tokens`` of both,
+    ``failures`` (all edges that failed or were rejected, whatever was asked),
+    ``structural_bridge`` nodes by degree, the ``gate``, the ``bridge_metric`` nodes
+    it ranks, and ``stale`` and ``re_examinable`` ids, each with the true total, which is 0 in other blocks.
+
+    ``edges`` is as for ``context``; ``ranked`` as ``graph.ranks`` gives it; ``stale`` and
+    ``re_examinable`` have ``id``, once each. The advisories don't count as tokens,
+    so their lengths are fixed; none of them depends on the query.
+    """
+    lanes = stored(context(edges, query, budget), "context")
+    none = F.lit(None)
+
+    def rows(df: DataFrame, block: Column, position: Column, id_: Column = none, label: Column = none, value: Column = none, total: Column = F.lit(0)) -> DataFrame:
+        return df.select(block.alias("block"), position.cast("int").alias("position"), id_.cast("string").alias("id"), label.cast("string").alias("label"), value.cast("double").alias("value"), total.cast("long").alias("total"))
+
+    one, col = F.lit(1), F.col
+    out = rows(lanes, col("lane"), col("position"), col("id"), value=col("tokens"))
+    spent = lanes.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"))
+    failures = edges.agg(F.count_if(col("epistemic_state").isin(*FAILURE)).alias("n"))
+    gate = ranked.agg(F.max("gate_on").alias("n"))
+    for name, df in (("approx_tokens", spent), ("failures", failures), ("gate", gate)):
+        out = out.unionByName(rows(df, F.lit(name), one, value=col("n")))
+    out = out.unionByName(rows(structural_bridges(ranked), F.lit("structural_bridge"), col("position"), col("id"), col("label"), col("degree")))
+    best = ranked.orderBy(*rank_order()).limit(BRIDGES).withColumn("position", F.row_number().over(Window.orderBy(*rank_order())))
+    metric = F.when(col("gate_on") == 1, col("spec_betweenness")).otherwise(col("betweenness"))
+    out = out.unionByName(rows(best, F.lit("bridge_metric"), col("position"), col("id"), col("label"), metric))
+    for name, df in (("stale", stale), ("re_examinable", re_examinable)):
+        few = capped(df.select("id"), [F.asc("id")]).withColumn("position", F.row_number().over(Window.orderBy("id")))
+        out = out.unionByName(rows(few, F.lit(name), col("position"), col("id"), total=col("total")))
+    return out
+
+
 def stale_verdicts(edges: DataFrame) -> DataFrame:
     """``edge_id, reason``: grounded or failed edges of a span that no longer
     verifies. ``edges`` has ``verified``. A second look at prior flags is the

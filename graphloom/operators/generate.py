@@ -12,9 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import FAILURE, NO_COMMUNITY
+from ..functions.text import slug
+from ..schema import FAILURE
 from .checkpoint import stored
-from .graph import community_stats
+from .graph import community_stats, real_community
 
 ORDER = ("bridge", "seed", "compression", "regroup", "transplant", "ensemble", "periphery")
 DEFAULT = ("bridge", "seed", "compression")
@@ -88,7 +89,7 @@ def compression(nodes: DataFrame, adj: DataFrame) -> DataFrame:
     stats = community_stats(nodes, adj).join(nodes.groupBy("community").agg(F.avg("specificity").alias("spec"), F.min("id").alias("first")), "community")
     bits = F.log2(F.lit(float(max(n, 2))))
     saved = 2 * F.col("internal") * bits - (F.col("members") + 1) * bits
-    out = stats.where((F.col("community") != NO_COMMUNITY) & (F.col("members") >= 3) & (saved > 0) & (F.col("spec") >= (mean or 0.0) - 1e-12))
+    out = stats.where(real_community() & (F.col("members") >= 3) & (saved > 0) & (F.col("spec") >= (mean or 0.0) - 1e-12))
     return _shape(out.select(F.col("first").alias("source"), F.concat(F.lit("community-"), "community").alias("target"), saved.alias("score")), "compression", "node", "collapses_into")
 
 
@@ -99,7 +100,7 @@ def regroup(nodes: DataFrame, adj: DataFrame, other: DataFrame, k: int = 10) ->
     ``k`` at first. As long as a pair with one that was left out could be among
     the k best, as adjacent pairs don't count, the cells grow.
     """
-    both = nodes.where(F.col("community") != NO_COMMUNITY).select("id", "community", "strength").join(other.select("id", F.col("community").alias("moved")), "id")
+    both = nodes.where(real_community()).select("id", "community", "strength").join(other.select("id", F.col("community").alias("moved")), "id")
     cell = Window.partitionBy("community", "moved").orderBy(F.desc("strength"), "id")
     ranked = stored(both.withColumn("_r", F.row_number().over(cell)), "regroup-cells")
     most = ranked.groupBy("community").agg(F.max("strength").alias("most"))
@@ -119,7 +120,7 @@ def regroup(nodes: DataFrame, adj: DataFrame, other: DataFrame, k: int = 10) ->
 def transplant(nodes: DataFrame, adj: DataFrame, edges: DataFrame) -> DataFrame:
     """The dominant relation of the largest hub, to the members of the community
     that is most specific for its density."""
-    real = nodes.where(F.col("community") != NO_COMMUNITY)
+    real = nodes.where(real_community())
     hub = real.orderBy(F.desc("degree"), F.desc("id")).limit(1).select(F.col("id").alias("source"), F.col("degree").alias("hd"), F.col("community").alias("hc"))
     rel = edges.where("relation <> ''").join(F.broadcast(hub), "source").groupBy("relation").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "relation").limit(1).select("relation")
     stats = community_stats(real, adj).join(real.groupBy("community").agg(F.avg("specificity").alias("spec")), "community")
@@ -214,13 +215,15 @@ def collapse(nodes: DataFrame, members: list[str] | None = None, of: str | None
     """Edges that collapse the named members, the community of a node, or the
     largest community into one node named by its first member and their hash."""
     if members:
-        chosen = nodes.where(F.col("id").isin(members)).select("id")
+        chosen = nodes.where(F.col("id").isin(members)).select("id").distinct()
     else:
-        real = nodes.where(F.col("community") != NO_COMMUNITY)
+        real = nodes.where(real_community())
         pick = real.where(F.col("id") == of).select("community") if of else real.groupBy("community").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "community").limit(1).select("community")
         chosen = real.join(F.broadcast(pick), "community").select("id")
     # The members' list makes the name; only their hashes are folded, whatever their number.
-    name = chosen.agg(F.concat(F.lit("compression-"), F.min("id"), F.lit("-"), F.substring(F.sha1(F.concat_ws("|", F.bit_xor(F.xxhash64("id")), F.count("*")).cast("binary")), 1, 8)).alias("target"))
+    word = F.conv(F.substring(F.md5(F.col("id").cast("binary")), 1, 15), 16, 10).cast("long")
+    said = F.concat_ws("|", F.bit_xor(word), F.count("*")).cast("binary")
+    name = chosen.agg(F.concat(F.lit("compression-"), slug(F.min("id")), F.lit("-"), F.substring(F.md5(said), 1, 8)).alias("target"))
     return chosen.crossJoin(F.broadcast(name)).select(F.col("id").alias("source"), F.lit("collapses_into").alias("relation"), "target")
 
 

@@ -172,4 +172,5 @@ def rank_order() -> list[Column]:
 
 
 def real_community(c: str = "community") -> Column:
-    return F.col(c) != NO_COMMUNITY
+    """Is it a community, whether they are numbers or names? Null is none."""
+    return F.coalesce(F.col(c).cast("string") != str(NO_COMMUNITY), F.lit(False))

@@ -96,14 +96,17 @@ def _disposed(e: DataFrame) -> DataFrame:
 
 def node_dispositions(payload: DataFrame, pack: list[str], existing: DataFrame, baseline: int) -> DataFrame:
     """Payload nodes (``payload, ord, label, node_type, provenance,
-    authored_by, epistemic_state``) with ``id, disposition, reason`` and
-    ``collision``: another label of this payload has the same id."""
+    authored_by, epistemic_state`` and, if they have one, ``id``) with ``id,
+    disposition, reason`` and ``collision``: another label of this payload has the
+    same id. The id is the slug of the one given, else of the label."""
     n = guard(payload.withColumn("provenance", coerced(F.col("provenance"), PROVENANCE, "span-present")))
-    n = n.withColumn("id", slug("label")).withColumn("sig", slug_signature("label"))
+    label = F.coalesce("label", F.lit(""))
+    said = F.coalesce(F.when(F.trim("id") != "", F.col("id")), label) if "id" in n.columns else label
+    n = n.withColumn("_said", said).withColumn("id", slug("_said")).withColumn("sig", slug_signature("label"))
     first = F.first("sig").over(Window.partitionBy("payload", "id").orderBy("ord"))
     n = n.withColumn("collision", F.col("sig") != first).join(existing.select("id").distinct().withColumn("known", F.lit(True)), "id", "left")
-    reason = F.when(~F.coalesce(F.col("label"), F.lit("")).rlike(WORD_CHAR), "empty-label").when(~F.col("node_type").isin(pack), "undeclared-node-type")
-    n = flood(n.withColumn("reason", reason).withColumn("known", F.coalesce("known", F.lit(False))), F.lit(baseline), NODE_FLOOR)
+    reason = F.when(~F.col("_said").rlike(WORD_CHAR), "empty-label").when(~F.col("node_type").isin(pack), "undeclared-node-type")
+    n = flood(n.withColumn("reason", reason).withColumn("known", F.coalesce("known", F.lit(False))).drop("_said"), F.lit(baseline), NODE_FLOOR)
     return _disposed(n)
 
 
@@ -213,6 +216,57 @@ def three_way(base: DataFrame, ours: DataFrame, theirs: DataFrame) -> DataFrame:
     return j.select("id", state.alias("epistemic_state"), conflict.alias("conflict")).where("epistemic_state is not null")
 
 
+def _three(base: DataFrame, ours: DataFrame, theirs: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """Three versions of rows ``id, epistemic_state, ...`` beside each other as structs
+    ``b, o, t``; whether theirs alone changed the state, and whether both did, differently."""
+    cols = [c for c in ours.columns if c != "id"]
+    side = lambda df, name: df.select("id", F.struct(*cols).alias(name))
+    j = side(ours, "o").join(side(theirs, "t"), "id", "full_outer").join(side(base, "b"), "id", "left")
+    o, t, b = (F.col(f"{x}.epistemic_state") for x in "otb")
+    both = F.col("o").isNotNull() & F.col("t").isNotNull() & ~o.eqNullSafe(t)
+    adopted = both & F.coalesce(o == b, F.lit(False))
+    return j, adopted, both & ~adopted & ~F.coalesce(t == b, F.lit(False))
+
+
+def three_way_edges(base: DataFrame, ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """Edges of two versions with all their columns and ``conflict``. An edge of one
+    side alone stays. In the same state theirs is taken whole, a correction of
+    other fields with it; where one side changed the state that side's is. Where
+    both did, differently, or without a base, ours becomes unverified and loses
+    ``verdict_by`` and ``verdict_at``, if there are such columns."""
+    j, adopted, conflict = _three(base, ours, theirs)
+    same = F.col("o.epistemic_state").eqNullSafe(F.col("t.epistemic_state"))
+    pick = F.when(F.col("o").isNull() | (F.col("t").isNotNull() & (same | adopted)), F.col("t")).otherwise(F.col("o"))
+    out = j.select("id", pick.alias("x"), conflict.alias("conflict")).select("id", "x.*", "conflict")
+    lost = {c: F.when(~F.col("conflict"), F.col(c)) for c in ("verdict_by", "verdict_at") if c in out.columns}
+    return out.withColumns(lost | {"epistemic_state": F.when(F.col("conflict"), "unverified").otherwise(F.col("epistemic_state"))})
+
+
+def three_way_nodes(base: DataFrame, ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """Nodes of two versions with ``conflict`` of their states, as those of edges, and
+    ``body_conflict``. Of every other column the one side's change from the base is
+    taken, else ours. A ``body`` that both changed, differently, has both texts
+    between marks; without a base it was empty."""
+    j, adopted, conflict = _three(base, ours, theirs)
+    one = F.when(F.col("o").isNull(), F.col("t")).when(F.col("t").isNull(), F.col("o"))
+    at = lambda side, c: F.col(f"{side}.{c}")
+
+    def merged_column(c: str) -> Column:
+        o, t, b = (at(side, c) for side in "otb")
+        if c == "epistemic_state":
+            two = F.when(conflict, "unverified").when(adopted, t).otherwise(o)
+        elif c == "body":
+            two = F.when(clash, F.concat(F.lit("<<<<<<< ours\n"), o, F.lit("\n=======\n"), t, F.lit("\n>>>>>>> theirs\n"))).when(text("o") == text("b"), t).otherwise(o)
+        else:
+            two = F.when(F.coalesce(o == b, F.lit(False)), t).otherwise(o)
+        return F.when(one.isNotNull(), one[c]).otherwise(two).alias(c)
+
+    cols = [c for c in ours.columns if c != "id"]
+    text = lambda side: F.coalesce(at(side, "body"), F.lit(""))
+    clash = one.isNull() & (text("o") != text("t")) & (text("o") != text("b")) & (text("t") != text("b")) if "body" in cols else F.lit(False)
+    return j.select("id", *[merged_column(c) for c in cols], conflict.alias("conflict"), clash.alias("body_conflict"))
+
+
 def sweep(items: DataFrame, baseline: DataFrame, audit: DataFrame, consumed: DataFrame) -> DataFrame:
     """Verdicts without an unspent audit record are taken back.
 

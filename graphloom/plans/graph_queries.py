@@ -265,10 +265,13 @@ def run_generators(spark, d):
     return gen.run(makers, "all", 10, e)
 
 
-@query(L + ", big AS (SELECT community FROM kg_nodes WHERE community <> -1 GROUP BY 1 ORDER BY count(*) DESC, community LIMIT 1), mb AS (SELECT id FROM kg_nodes JOIN big USING (community)) SELECT id AS source, 'collapses_into' AS relation, (SELECT 'compression-' || min(id) FROM mb) AS target_start FROM mb")
+COLLAPSE = """, big AS (SELECT community FROM kg_nodes WHERE community <> -1 GROUP BY 1 ORDER BY count(*) DESC, community LIMIT 1), mb AS (SELECT id FROM kg_nodes JOIN big USING (community)),
+nm AS (SELECT 'compression-' || min(id) || '-' || substr(md5(bit_xor(('0x' || substr(md5(id), 1, 15))::BIGINT) || '|' || count(*)), 1, 8) AS target FROM mb)"""
+
+
+@query(L + COLLAPSE + " SELECT id AS source, 'collapses_into' AS relation, target FROM mb, nm")
 def op_collapse(spark, d):
-    """The target ends in a digest of the members, which SQL here has no function for."""
-    return gen.collapse(nodes(spark, d)).select("source", "relation", F.regexp_replace("target", "-[0-9a-f]{8}$", "").alias("target_start"))
+    return gen.collapse(nodes(spark, d))
 
 
 @query(L + ", hub AS (SELECT id FROM kg_degree ORDER BY degree DESC, id DESC LIMIT 1) SELECT source, source || '-facet-' || relation AS target FROM kg_edges WHERE source = (SELECT id FROM hub) GROUP BY source, relation ORDER BY relation LIMIT 5")

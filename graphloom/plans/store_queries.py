@@ -11,12 +11,13 @@ from ..functions import text as tx
 from ..operators import advise as a
 from ..operators import archive as ar
 from ..operators import boundary as b
-from ..operators import commit, flags, projection
+from ..operators import commit, flags, operate, projection
 from ..operators import graph as g
 from ..operators import measure as m
 from ..operators.checkpoint import shared_dir, stored
 from ..sources import lift, store
 from ..sources.lift import LIFT_SQL, edges, nodes, stored_edges
+from .graph_queries import COLLAPSE, OTHER, R
 from .registry import query
 
 L = f"WITH {LIFT_SQL}"
@@ -475,3 +476,57 @@ def persistent_flags(spark, d):
         terms = p.where(F.col("p_partkey") % every == rest).select(F.explode(F.split("p_name", " ")).alias("term"))
         held = stored(flags.re_examinable(held, items, terms, now), "flags")
     return held
+
+
+@query(R + COLLAPSE + f""", o AS (SELECT *, {OTHER} AS moved FROM kg_ranked WHERE community <> -1), hub AS (SELECT id FROM kg_degree ORDER BY degree DESC, id DESC LIMIT 1), pt AS (SELECT id FROM kg_degree ORDER BY degree DESC, id LIMIT 3),
+rel AS (SELECT relation, row_number() OVER (ORDER BY relation) AS i FROM (SELECT DISTINCT relation FROM kg_edges WHERE source = (FROM hub)) UNION ALL SELECT 'aspect-' || i, i FROM range(1, 3) t(i) WHERE NOT EXISTS (SELECT 1 FROM kg_edges WHERE source = (FROM hub))),
+rg AS (SELECT a.id AS source, b.id AS target FROM o a JOIN o b ON a.community = b.community AND a.id < b.id AND a.moved <> b.moved ANTI JOIN kg_adj x ON x.u = a.id AND x.v = b.id WHERE NOT EXISTS (SELECT 1 FROM kg_edges f WHERE f.epistemic_state IN ('failed', 'rejected') AND f.relation = 'bridges' AND ((f.source = a.id AND f.target = b.id) OR (f.source = b.id AND f.target = a.id))) ORDER BY round(a.strength + b.strength + 1e-3, 6) DESC, a.id, b.id LIMIT 10)
+SELECT 'collapse' AS op, id AS source, 'collapses_into' AS relation, target FROM mb, nm UNION ALL SELECT 'explode', (FROM hub) || '-facet-' || i, 'collapses_into', (FROM hub) FROM rel
+UNION ALL SELECT 'open', 'opening-' || (SELECT id FROM kg_degree ORDER BY degree DESC, id LIMIT 1), 'bridges', id FROM pt UNION ALL SELECT 'regroup', source, 'bridges', target FROM rg""")
+def operations(spark, d):
+    """The edges that the four operations would write."""
+    n, e = nodes(spark, d), stored_edges(spark, d)
+    other = n.select("id", F.expr(OTHER).cast("int").alias("community"))
+    out = None
+    for op, k in (("collapse", None), ("explode", None), ("open", 3), ("regroup", None)):
+        made = operate.structure(op, n, e, n, other, k=k)[1].select(F.lit(op).alias("op"), "source", "relation", "target")
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
+@query(L + COLLAPSE + """, wr AS (SELECT 'e_' || id || '__collapses-into__' || target AS id, id AS source, target FROM mb, nm), al AS (SELECT source, target FROM kg_edges WHERE epistemic_state NOT IN ('failed', 'rejected', 'obsolete') UNION ALL SELECT source, target FROM wr),
+ad AS (SELECT source AS u, target AS v FROM al WHERE source <> target UNION SELECT target, source FROM al WHERE source <> target), dg AS (SELECT u, count(*) AS n FROM ad GROUP BY u ORDER BY n DESC, u LIMIT 2), op AS (SELECT 'opening-' || u AS source FROM dg ORDER BY n DESC, u LIMIT 1)
+SELECT id, 'collapses_into' AS relation, 'deterministic' AS authored_by FROM wr UNION ALL SELECT 'e_' || source || '__bridges__' || u, 'bridges', 'deterministic' FROM op, dg""")
+def kg_operate(spark, d):
+    """Hypotheses that a store has after a collapse, the same again, and an opening
+    of what the collapse has made of the graph."""
+    pack, n = {"node_types": ["compression", "primitive"], "edge_types": ["collapses_into", "bridges"]}, nodes(spark, d)
+    path = _folder(spark, "operate")
+    commit.create(spark, path, n, edges(spark, d))
+    for op in ("collapse", "collapse", "open"):
+        operate.operate(spark, path, op, pack, n)
+    return store.current(spark, path)["edges"].where("authored_by is not null").select("id", "relation", "authored_by")
+
+
+@query(L + CONTEXT + BRIDGE + """, rs AS (SELECT *, betweenness * specificity AS sb FROM rk), ld AS (SELECT id, specificity FROM rs ORDER BY betweenness DESC, id LIMIT 5), wt AS (SELECT id FROM rs ORDER BY sb DESC, id LIMIT 5),
+gt AS (SELECT ((SELECT count(*) FROM rs) >= 3 AND (SELECT avg(specificity) FROM ld) < (SELECT avg(specificity) FROM rs) AND (SELECT count(*) FROM ld FULL JOIN wt USING (id) WHERE ld.id IS NULL OR wt.id IS NULL) / (2.0 * (SELECT count(*) FROM ld)) > 0.2 AND (SELECT max(specificity) - min(specificity) FROM rs) > 1e-9)::INT AS g),
+src AS (SELECT DISTINCT p_name AS norm FROM part WHERE p_partkey % 3 <> 0), nm AS (SELECT DISTINCT p_name, EXISTS (SELECT 1 FROM src WHERE contains(norm, p_name)) AS found FROM part), cl AS (SELECT e.*, p_name, found FROM kg_edges e JOIN part ON target = 'part-' || p_partkey JOIN nm USING (p_name) WHERE relation = 'approximates'),
+st AS (SELECT id FROM cl WHERE epistemic_state IN ('grounded', 'failed') AND provenance = 'span-present' AND NOT found), ch AS (SELECT list_distinct(flatten(list(split(p_name, ' ')))) AS t FROM part WHERE p_partkey % 211 = 1), re AS (SELECT id FROM cl, ch WHERE epistemic_state IN ('failed', 'rejected') AND list_has_any(split(p_name, ' '), t)),
+ln AS (SELECT 'items' AS block, row_number() OVER (ORDER BY used) AS position, id, tokens FROM it WHERE used <= 60000 UNION ALL SELECT 'hypotheses', row_number() OVER (ORDER BY used), id, tokens FROM hy WHERE used <= 60000 - (SELECT coalesce(max(used), 0) FROM it WHERE used <= 60000)),
+bm AS (SELECT row_number() OVER (ORDER BY CASE WHEN g = 1 THEN sb ELSE structural_bridge END DESC, CASE WHEN g = 1 THEN 0 ELSE betweenness END DESC, degree DESC, id) AS position, id, label, CASE WHEN g = 1 THEN sb ELSE betweenness END AS value FROM rs, gt)
+SELECT block, position::INT AS position, id, NULL::VARCHAR AS label, tokens::DOUBLE AS value, 0::BIGINT AS total FROM ln UNION ALL SELECT 'approx_tokens', 1, NULL, NULL, coalesce(sum(tokens), 0), 0 FROM ln UNION ALL SELECT 'failures', 1, NULL, NULL, count(*), 0 FROM kg_edges WHERE epistemic_state IN ('failed', 'rejected')
+UNION ALL SELECT 'gate', 1, NULL, NULL, g, 0 FROM gt UNION ALL SELECT 'structural_bridge', position, id, label, degree, 0 FROM (SELECT row_number() OVER (ORDER BY degree DESC, id) AS position, * FROM rs WHERE bridge_communities >= 2) WHERE position <= 10 UNION ALL SELECT 'bridge_metric', position, id, label, value, 0 FROM bm WHERE position <= 10
+UNION ALL SELECT 'stale', position, id, NULL, NULL, total FROM (SELECT row_number() OVER (ORDER BY id) AS position, count(*) OVER () AS total, id FROM st) WHERE position <= 50 UNION ALL SELECT 're_examinable', position, id, NULL, NULL, total FROM (SELECT row_number() OVER (ORDER BY id) AS position, count(*) OVER () AS total, id FROM re) WHERE position <= 50""")
+def kg_context(spark, d):
+    """A read whole: lanes, counters and advisories. Edges to parts stand on the part's
+    name, which some sources have no more, and other sources have changed."""
+    p = lift.table(spark, d, "part")
+    told = stored(_told(spark, d), "told")
+    ranked = g.stored(_ranked(spark, d), "ranked")
+    ranked = ranked.crossJoin(F.broadcast(g.specificity_gate(ranked).select("gate_on")))
+    claims = told.where("relation = 'approximates'").join(p.select(F.concat(F.lit("part-"), "p_partkey").alias("target"), F.col("p_name").alias("norm_span")), "target")
+    claims = stored(claims.select(F.lit("edge").alias("kind"), "id", "epistemic_state", "provenance", "norm_span", F.lit("").alias("source_file"), F.split("norm_span", " ").alias("terms")), "claims")
+    sources = p.where("p_partkey % 3 <> 0").select(F.concat(F.lit("p"), "p_partkey").alias("name"), F.col("p_name").alias("norm"))
+    terms = p.where("p_partkey % 211 = 1").select(F.explode(F.split("p_name", " ")).alias("term"))
+    none = flags.none(claims)
+    return a.answer(told, ranked, flags.stale(none, claims, sources, 1), flags.re_examinable(none, claims, terms, 1), "-77", 60_000)

@@ -137,6 +137,42 @@ def three_way_merge(spark, d):
     return w.three_way(e.where("relation <> 'bridges'"), change(0.7, "failed"), change(0.5, "grounded"))
 
 
+@query(L + """, b AS (SELECT *, 'agent' AS verdict_by FROM kg_edges WHERE relation <> 'bridges'), o AS (SELECT id, confidence_score AS c, CASE WHEN confidence_score > 0.7 THEN 'failed' ELSE epistemic_state END AS s FROM kg_edges WHERE relation <> 'projects'), t AS (SELECT id, confidence_score + 1 AS c, CASE WHEN confidence_score > 0.5 THEN 'grounded' ELSE epistemic_state END AS s FROM kg_edges WHERE relation <> 'grounds'),
+j AS (SELECT id, o.c AS oc, t.c AS tc, o.s AS os, t.s AS ts, b.epistemic_state AS bs FROM o FULL JOIN t USING (id) LEFT JOIN b USING (id)),
+k AS (SELECT *, os IS NOT NULL AND ts IS NOT NULL AND os <> ts AND coalesce(os <> bs, true) AND coalesce(ts <> bs, true) AS conflict, os IS NULL OR (ts IS NOT NULL AND (os = ts OR coalesce(os = bs, false))) AS take FROM j)
+SELECT id, CASE WHEN conflict THEN 'unverified' WHEN take THEN ts ELSE os END AS epistemic_state, CASE WHEN take THEN tc ELSE oc END AS confidence_score, CASE WHEN conflict THEN NULL WHEN take THEN 'theirs' ELSE 'ours' END AS verdict_by, conflict FROM k""")
+def three_way_edges(spark, d):
+    """Whole edges: ours lacks a relation, theirs another, the base a third."""
+    e, c = stored_edges(spark, d), F.col("confidence_score")
+
+    def side(df, over, to, score, by):
+        return df.select("id", F.when(c > over, to).otherwise(F.col("epistemic_state")).alias("epistemic_state"), score.alias("confidence_score"), F.lit(by).alias("verdict_by"))
+
+    ours = side(e.where("relation <> 'projects'"), 0.7, "failed", c, "ours")
+    theirs = side(e.where("relation <> 'grounds'"), 0.5, "grounded", c + 1, "theirs")
+    return w.three_way_edges(side(e.where("relation <> 'bridges'"), 9, "failed", c, "agent"), ours, theirs)
+
+
+@query(L + """, v AS (SELECT id, label, node_type, community AS c, length(label) AS n FROM kg_nodes), b AS (SELECT id, label, node_type, 'unverified' AS s, 'about ' || label AS body FROM v WHERE c <> -1),
+o AS (SELECT id, CASE WHEN c % 2 = 0 THEN upper(label) ELSE label END AS label, node_type, CASE WHEN c % 4 = 0 THEN 'grounded' ELSE 'unverified' END AS s, 'about ' || label || CASE WHEN c % 5 = 0 THEN ' here' ELSE '' END AS body FROM v WHERE c % 7 <> 3),
+t AS (SELECT id, CASE WHEN c % 3 = 0 THEN lower(label) ELSE label END AS label, CASE WHEN c % 9 = 1 THEN 'concept' ELSE node_type END AS node_type, CASE WHEN c % 3 = 0 THEN 'failed' ELSE 'unverified' END AS s, 'about ' || label || CASE WHEN c % 3 = 1 THEN ' there' ELSE '' END AS body FROM v WHERE c % 7 <> 4),
+j AS (SELECT id, o.label AS ol, t.label AS tl, b.label AS bl, o.node_type AS ok, t.node_type AS tk, b.node_type AS bk, o.s AS os, t.s AS ts, b.s AS bs, o.body AS oy, t.body AS ty, coalesce(b.body, '') AS y FROM o FULL JOIN t USING (id) LEFT JOIN b USING (id)),
+k AS (SELECT *, coalesce(os <> ts, false) AND coalesce(os <> bs, true) AND coalesce(ts <> bs, true) AS conflict, coalesce(oy <> ty AND oy <> y AND ty <> y, false) AS body_conflict FROM j)
+SELECT id, CASE WHEN os IS NULL OR (ts IS NOT NULL AND ol = bl) THEN tl ELSE ol END AS label, CASE WHEN os IS NULL OR (ts IS NOT NULL AND ok = bk) THEN tk ELSE ok END AS node_type, CASE WHEN conflict THEN 'unverified' WHEN os IS NULL OR (ts IS NOT NULL AND os = bs) THEN ts ELSE os END AS epistemic_state,
+  CASE WHEN body_conflict THEN '<<<<<<< ours' || chr(10) || oy || chr(10) || '=======' || chr(10) || ty || chr(10) || '>>>>>>> theirs' || chr(10) WHEN os IS NULL OR (ts IS NOT NULL AND oy = y) THEN ty ELSE oy END AS body, conflict, body_conflict FROM k""")
+def three_way_notes(spark, d):
+    """Labels, types, states and bodies of notes that two sides changed, some without a base."""
+    n = nodes(spark, d).withColumn("about", F.concat(F.lit("about "), "label"))
+    c, same = F.col("community"), F.col("label")
+    state = lambda when, to: F.when(when, to).otherwise("unverified").alias("epistemic_state")
+    more = lambda when, word: F.when(when, F.concat("about", F.lit(word))).otherwise(F.col("about")).alias("body")
+    never = F.lit(False)
+    base = n.where(c != -1).select("id", "label", "node_type", state(never, ""), more(never, ""))
+    ours = n.where(c % 7 != 3).select("id", F.when(c % 2 == 0, F.upper(same)).otherwise(same).alias("label"), "node_type", state(c % 4 == 0, "grounded"), more(c % 5 == 0, " here"))
+    theirs = n.where(c % 7 != 4).select("id", F.when(c % 3 == 0, F.lower(same)).otherwise(same).alias("label"), F.when(c % 9 == 1, "concept").otherwise(F.col("node_type")).alias("node_type"), state(c % 3 == 0, "failed"), more(c % 3 == 1, " there"))
+    return w.three_way_nodes(base, ours, theirs)
+
+
 @query(L + """, au AS (SELECT id AS key, epistemic_state AS st FROM kg_edges WHERE confidence_score < 0.4), ba AS (SELECT id, CASE WHEN confidence_score > 0.8 THEN epistemic_state WHEN confidence_score > 0.6 THEN 'failed' ELSE 'unverified' END AS was FROM kg_edges),
 j AS (SELECT e.id, e.epistemic_state AS st, b.was, a.key IS NOT NULL AS paid FROM kg_edges e JOIN ba b USING (id) LEFT JOIN au a ON a.key = e.id),
 x AS (SELECT *, CASE WHEN st = was THEN 'unchanged' WHEN st <> 'unverified' AND paid THEN 'audited' WHEN was IN ('failed', 'rejected') THEN 'failure-restored' WHEN st <> 'unverified' THEN 're-quarantined' ELSE 'unchanged' END AS action FROM j)
