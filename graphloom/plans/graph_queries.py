@@ -235,11 +235,26 @@ def _second(spark: SparkSession, d: str) -> DataFrame:
     return o.select(F.concat(F.lit("customer-"), "o_custkey").alias("u"), F.concat(F.lit("supplier-"), F.col("o_custkey") % 100 + 1).alias("v")).distinct()
 
 
-@query(L + ", sec AS (" + SECOND + ") SELECT DISTINCT 'edge' AS kind, 'ensemble' AS mechanism, least(u, v) AS source, greatest(u, v) AS target, 'bridges' AS relation, 1.0::DOUBLE AS score FROM sec WHERE u IN (SELECT id FROM kg_nodes) AND v IN (SELECT id FROM kg_nodes) AND NOT EXISTS (SELECT 1 FROM kg_adj x WHERE x.u = sec.u AND x.v = sec.v)")
+ENSEMBLE = L + ", sec AS (" + SECOND + ") SELECT DISTINCT 'edge' AS kind, 'ensemble' AS mechanism, least(u, v) AS source, greatest(u, v) AS target, 'bridges' AS relation, 1.0::DOUBLE AS score FROM sec WHERE u IN (SELECT id FROM kg_nodes) AND v IN (SELECT id FROM kg_nodes) AND NOT EXISTS (SELECT 1 FROM kg_adj x WHERE x.u = sec.u AND x.v = sec.v)"
+
+
+@query(ENSEMBLE)
 def gen_ensemble(spark, d):
     return gen.ensemble(g.adjacency(edges(spark, d)), nodes(spark, d).select("id"), _second(spark, d))
 
 
+@query(ENSEMBLE)
+def construction_ensemble(spark, d):
+    """The same pairs, read from a construction that has a store of its own."""
+    from ..operators.checkpoint import shared_dir
+    from ..sources.constructions import Constructions
+
+    made = Constructions(spark, f"{shared_dir(spark)}/graphloom/constructions-{uuid.uuid4().hex}")
+    e = _second(spark, d).select(F.concat(F.lit("e_"), "u", F.lit("__bridges__"), "v").alias("id"), F.col("u").alias("source"), F.col("v").alias("target"), F.lit("bridges").alias("relation"), F.lit("inferred").alias("provenance"), F.lit("unverified").alias("epistemic_state"), F.col("u").alias("owner"))
+    made.open("orders", "orders", edges=e)
+    return gen.ensemble(g.adjacency(edges(spark, d)), nodes(spark, d).select("id"), made.pairs("orders"))
+
+
 @query(R + """, cut AS (SELECT quantile_disc(degree, 0.25) AS cut FROM kg_ranked WHERE degree > 0), low AS (SELECT r.id AS u, degree FROM kg_ranked r, cut WHERE degree > 0 AND degree <= cut),
 sh AS (SELECT l.u, b.u AS v, count(*) AS shared FROM low l JOIN kg_adj a ON a.u = l.u JOIN kg_adj b ON b.v = a.v WHERE b.u <> l.u GROUP BY ALL),
 best AS (SELECT sh.u, sh.v, sh.shared, row_number() OVER (PARTITION BY sh.u ORDER BY sh.shared DESC, r.specificity DESC, sh.v) AS k FROM sh JOIN kg_ranked r ON r.id = sh.v WHERE NOT EXISTS (SELECT 1 FROM kg_adj x WHERE x.u = sh.u AND x.v = sh.v))

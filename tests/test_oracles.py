@@ -13,7 +13,7 @@ gen_bridge gen_seed gen_regroup gen_periphery gen_ensemble edge_dispositions mer
 ideation_scores precision_scoring idf_terms span_verification scrub_redact variety_erosion similarity_limits knn_novelty niche_elites ask_pairs preference_recall
 audit_tail_stream context_whole json_tokens section_coverage sections_of_talks grounded_mix rekeyed_archive preference_summary materialized_pins pin_fates
 payload_shapes kg_write propose_refusals receipts_replayed index_tables audit_ledger legacy_import topology_digest knn_join similarity_join kg_write_committed ledger_folded projection_after_edit persistent_flags merge_migrations merge_refusals
-op_collapse operations kg_operate node_flood three_way_edges three_way_notes kg_context""".split()
+op_collapse operations kg_operate node_flood three_way_edges three_way_notes kg_context construction_ensemble""".split()
 
 
 def rows(df):
