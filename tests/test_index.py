@@ -86,3 +86,25 @@ def test_small_and_large_tables_agree(spark, monkeypatch):
     small = {tuple(r)[:2] for r in vector.knn(rows, rows, 3).collect()}
     monkeypatch.setattr(vector, "FEW_BLOCKS", 0)
     assert {tuple(r)[:2] for r in vector.knn(rows, rows, 3).collect()} == small
+
+
+def test_vectors_travel_once_for_a_pack(spark, monkeypatch):
+    """On vectors without structure every cell is asked, yet no vector goes to each."""
+    m = np.random.default_rng(9).normal(size=(600, 16))
+    rows = table(spark, m / np.linalg.norm(m, axis=1, keepdims=True))
+    idx = index.VectorIndex(rows, 5)
+    seen, compared = [], idx._compared
+    monkeypatch.setattr(idx, "_compared", lambda asked, keep: seen.append(asked.count()) or compared(asked, keep))
+    idx.pairs_over(rows, 0.3)
+    assert len(idx.pivots) == 120 and seen[0] <= 10 * len(m)
+
+
+def test_greedy_pass_beside_existing_rows(spark):
+    m = clustered(np.random.default_rng(10), 120)
+    old, new = range(0, 120, 10), [i for i in range(120) if i % 10]
+    want, sim = [], m @ m.T
+    for i in new:
+        if not any(sim[i, j] > 0.9 for j in [*old, *want]):
+            want.append(i)
+    got = vector.near_dedupe(table(spark, m[new], new), 0.9, table(spark, m[list(old)], old)).collect()
+    assert sorted(r["id"] for r in got) == new and sorted(r["id"] for r in got if r["kept"]) == want
