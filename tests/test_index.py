@@ -108,3 +108,12 @@ def test_greedy_pass_beside_existing_rows(spark):
             want.append(i)
     got = vector.near_dedupe(table(spark, m[new], new), 0.9, table(spark, m[list(old)], old)).collect()
     assert sorted(r["id"] for r in got) == new and sorted(r["id"] for r in got if r["kept"]) == want
+
+
+def test_gap_to_all_needs_no_pairs(spark):
+    m = clustered(np.random.default_rng(11), 200)
+    rows = spark.createDataFrame([(i, [float(x) for x in r], i % 7) for i, r in enumerate(m)], "id long, v array<double>, label int")
+    got = vector.gap_to_all(rows.where("id % 10 = 0"), rows).first()
+    pairs = [(1 - m[q] @ m[r], abs(q % 7 - r % 7)) for q in range(0, 200, 10) for r in range(200) if q != r]
+    s, k = np.array(pairs).T
+    assert np.allclose([got["surface"], got["mechanism"], got["gap"], got["correlation"]], [s.mean(), k.mean(), s.mean() - k.mean(), np.corrcoef(s, k)[0, 1]], atol=2e-6)
