@@ -272,7 +272,7 @@ def hot_groups(rows: DataFrame, by: list[str], times: str) -> DataFrame:
     return stored(n.crossJoin(total).where(F.col("n") * HOT_SHARES >= F.col("total")).select(*by, shares.alias("shares")), "hot-groups")
 
 
-def summaries(rows: DataFrame, hot: DataFrame, by: list[str], part: str, value: str, times: str, whole: int, most: int = POINTS) -> DataFrame:
+def summaries(rows: DataFrame, hot: DataFrame, by: list[str], part: str, value: str, times: str, whole: int, most: int | None = None) -> DataFrame:
     """``by``, ``part``, ``n`` and the elements ``xs``, ``rmins``, ``rmaxs`` of
     the summary of each part and, as part ``whole``, of each group. ``value`` is
     a long, ``times`` its number of occurrences, ``hot`` from ``hot_groups``."""
@@ -284,7 +284,7 @@ def summaries(rows: DataFrame, hot: DataFrame, by: list[str], part: str, value:
     while left > FAN:
         left = -(-left // FAN)
         split = stored(_merged(split.withColumn("node", F.pmod(F.xxhash64("leaf"), F.lit(left))), by, part), "leaves")
-    return _finished(marked.where("shares is null").drop("shares").unionByName(split), by, part, whole, most)
+    return _finished(marked.where("shares is null").drop("shares").unionByName(split), by, part, whole, most or POINTS)
 
 
 def answers(summary: DataFrame, keys: list[str], quantiles: int) -> DataFrame:
