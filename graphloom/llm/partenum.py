@@ -22,8 +22,10 @@ components are taken up again: they leave out their most frequent signatures,
 stars around the smallest component's first set are verified until a round
 merges little, and the pairs across components are compared in tiles of a
 bounded number of sets, each pair at the smallest signature that sketches of
-the two show as shared. A histogram of the shingles' hashes bounds the
-difference from below and drops most of them unseen. Nothing is capped: each
+the two show as shared. Histograms of the shingles' hashes bound the difference
+from below and drop most of them unseen; in tiles, where pairs are many, they
+have about as many bins as a set has shingles, so that little more than what
+is similar becomes a row. Nothing is capped: each
 pair that shares a signature which neither set may leave out is verified, or
 already connected, or provably dissimilar.
 
@@ -56,6 +58,8 @@ SLACK = 1.3
 POOR = 1
 SMALL = 4
 HISTOGRAM = 64
+#: Bins of the histograms in tiles, as powers of two: of small and of large sets.
+BINS = 6, 12
 SKETCH = 16
 #: Sets of a tile; a pair of tiles' sets is compared in one task.
 TILE, BLOCK = 1024, 512
@@ -275,16 +279,39 @@ def _still_open(members: DataFrame, comp: DataFrame) -> DataFrame:
     return stored(with_comp.join(apart, "sig"), "near-open")
 
 
+def fine_histogram(s: np.ndarray) -> np.ndarray:
+    """Of a set, with as many bins as shingles, about; a bin counts to 255, which
+    can only lower the difference of two."""
+    bits = min(BINS[1], max(BINS[0], (len(s) - 1).bit_length()))
+    return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
+
+
+def _close(fine: list[np.ndarray], a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Which of the pairs a, b of ``fine`` have a difference of ``most`` at most,
+    by the bins of the one with fewer."""
+    ok, size = np.ones(len(a), bool), np.array([len(f) for f in fine])
+    low = np.minimum(size[a], size[b])
+    for bins in np.unique(low[low > HISTOGRAM]).tolist():
+        on = np.flatnonzero(low == bins)
+        who, code = np.unique(np.concatenate([a[on], b[on]]), return_inverse=True)
+        h = np.stack([fine[w].reshape(bins, -1).sum(1, dtype=np.int32) for w in who])
+        for k in range(0, len(on), 2_000_000 // bins):
+            x, y = code[: len(on)][k : k + 2_000_000 // bins], code[len(on) :][k : k + 2_000_000 // bins]
+            ok[on[k : k + len(x)]] = (DEN + NUM) * np.abs(h[x] - h[y]).sum(1) <= most[on[k : k + len(x)]]
+    return ok
+
+
 def _across(rest: DataFrame) -> DataFrame:
     """Pairs ``a < b`` of one signature but different components that the sizes
-    and histograms allow, from rows ``sig, i, j, x, id, comp, n, hist, sketch``
+    and histograms allow, from rows ``sig, i, j, x, id, comp, n, fine, sketch``
     sorted by tile (sig, i, j); x, the row's own block, is i or j."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(tile: tuple, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
             sig, first, second = tile
             x, i, c, z = (np.array([r[k] for r in rows], np.int64) for k in range(4))
-            h = np.frombuffer(b"".join(r[4] for r in rows), "<i4").reshape(-1, HISTOGRAM)
+            fine = [np.frombuffer(r[4], np.uint8) for r in rows]
+            h = np.stack([f.reshape(HISTOGRAM, -1).sum(1, dtype=np.int32) for f in fine])
             # Which smaller signatures each set has, of those that two of them have.
             row, value = np.repeat(np.arange(len(rows)), [len(r[5]) for r in rows]), np.array([v for r in rows for v in r[5]], np.int64)
             row, value = row[value < sig], value[value < sig]
@@ -309,6 +336,8 @@ def _across(rest: DataFrame) -> DataFrame:
                     for k in range(0, len(s), 20_000):
                         f, g = s[k : k + 20_000], t[k : k + 20_000]
                         near = (DEN + NUM) * np.abs(h[p[f]] - h[q[g]]).sum(1) <= most[f, g]
+                        f, g = f[near], g[near]
+                        near = _close(fine, p[f], q[g], most[f, g])
                         a, b = i[p[f[near]]], i[q[g[near]]]
                         if len(a):
                             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
@@ -332,10 +361,17 @@ def _tiles(open_: DataFrame, loaded: DataFrame) -> DataFrame:
     each set to the tiles of its block with every block."""
     blocks = open_.groupBy("sig").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
     sketch = open_.groupBy("id").agg(F.slice(F.array_sort(F.collect_set("sig")), 1, SKETCH).alias("sketch"))
-    about = loaded.select("id", "n", "hist").join(sketch, "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fine = [fine_histogram(np.frombuffer(s, np.uint64)).tobytes() for s in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fine, pa.binary()), b.column(3)], names=["id", "n", "fine", "sketch"])
+
+    about = loaded.join(sketch, "id").select("id", "n", "s", "sketch").mapInArrow(run, "id long, n long, fine binary, sketch array<long>")
+    about = stored(about, "near-fine")
     rows = open_.join(blocks, "sig").join(about, "id").withColumn("x", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("sig", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "x", "id", "comp", "n", "hist", "sketch")
+    rows = rows.select("sig", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "x", "id", "comp", "n", "fine", "sketch")
     return rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "id")
 
 
