@@ -89,7 +89,7 @@ def regroup(nodes: DataFrame, adj: DataFrame, edges: DataFrame, other: DataFrame
     """The ``k`` strongest bridges that another partition makes visible, leaving
     out those that failed before, whichever way round."""
     failed = edges.where(F.col("epistemic_state").isin(*FAILURE) & (F.col("relation") == gen.RELATION))
-    barred = adj.unionAll(failed.select("source", "target")).unionAll(failed.select("target", "source")).distinct()
+    barred = adj.unionAll(failed.select("source", "target")).unionAll(failed.select("target", "source"))
     found = stored(gen.regroup(nodes, barred, other, k), "regroup")
     if found.isEmpty():
         raise Refused("another partition shows no bridges")
@@ -108,23 +108,25 @@ def open_up(nodes: DataFrame, k: int = OPEN_POINTS, label: str = "", body: str =
     return made, _edges(points.crossJoin(F.broadcast(first)).select("source", F.lit(gen.RELATION).alias("relation"), F.col("id").alias("target")))
 
 
-def structure(op: str, nodes: DataFrame, edges: DataFrame, of: DataFrame | None = None, other: DataFrame | None = None, *, target: str | None = None, members: list[str] | None = None, k: int | None = None, label: str = "", body: str = "") -> tuple[DataFrame, DataFrame]:
+def structure(op: str, nodes: DataFrame, edges: DataFrame, of: DataFrame | None = None, other: DataFrame | None = None, *, target: str | None = None, members: list[str] | None = None, k: int | None = None, label: str = "", body: str = "", adj: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """What an operation would write. ``of`` and ``other`` are partitions ``id,
     community``; where none is given, communities are found, ``other`` at a
-    resolution of 4. Nodes that ``of`` does not have are in no community."""
+    resolution of 4. Nodes that ``of`` does not have are in no community. ``adj``
+    is the adjacency of ``edges``, where the caller has it."""
     if op not in OPS:
         raise Refused(f"unknown operation {op!r}: one of {', '.join(OPS)}")
     ids = nodes.select("id")
     if op == "collapse" and members:
         return collapse(ids, None, members, label, body)
-    adj = stored(adjacency(edges), "adjacency")
+    near = lambda: stored(adjacency(edges), "adjacency") if adj is None else adj
     if op in ("explode", "open"):
-        n = degree(ids, adj)
+        n = degree(ids, near())
         return explode(n, edges, target, k, label, body) if op == "explode" else open_up(n, k or OPEN_POINTS, label, body)
-    of = communities(ids, adj) if of is None else of.select("id", "community")
-    n = ids.join(of, "id", "left")
     if op == "collapse":
+        n = ids.join(communities(ids, near()) if of is None else of.select("id", "community"), "id", "left")
         return collapse(n, target, None, label, body)
+    adj = near()
+    n = ids.join(communities(ids, adj) if of is None else of.select("id", "community"), "id", "left")
     other = stored(communities(ids, adj, resolution=4.0), "regrouped") if other is None else other
     ranked = degree(n, adj).join(bridge_communities(n, adj), "id").withColumn("strength", bridge_strength(F.lit(0)))
     return regroup(stored(ranked, "ranked"), adj, edges, other, k or REGROUP_K)
