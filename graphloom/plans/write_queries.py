@@ -103,7 +103,8 @@ def merge_nodes(spark, d):
 def _merges(spark, d):
     s = lift.table(spark, d, "supplier")
     low = s.groupBy("s_nationkey").agg(F.min("s_suppkey").alias("low"))
-    return s.join(low, "s_nationkey").select(F.concat(F.lit("supplier-"), "s_suppkey").alias("old"), F.concat(F.lit("supplier-"), "low").alias("new"))
+    # A table, so that its size is known and the edges need not travel for their ends.
+    return g.stored(s.join(low, "s_nationkey").select(F.concat(F.lit("supplier-"), "s_suppkey").alias("old"), F.concat(F.lit("supplier-"), "low").alias("new")), "merges")
 
 
 MERGED = " SELECT id, epistemic_state FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, p DESC, was DESC) AS k FROM rk) WHERE k = 1"
