@@ -43,13 +43,13 @@ def test_seeds_for_agreement_are_those_of_all_pairs(spark, monkeypatch):
     none = lambda: ensemble().where("false")
     makers = {m: none for m in gen.ORDER} | {"ensemble": ensemble, "seed": lambda: gen.seed(adj)}
     want = sorted(tuple(x) for x in gen.run(makers, "all", 10, e).select("mechanism", "source", "target", "score", "convergence").collect())
-    del makers["seed"]
+    makers["seed"] = lambda pairs: gen.seed(adj, e, 10, pairs)
 
     def fail(adj):
         raise AssertionError("a row for each pair")
 
     monkeypatch.setattr(gen, "wedges", fail)
-    got = sorted(tuple(x) for x in gen.run(makers, "all", 10, e, lambda p: gen.seed(adj, e, 10, p)).select("mechanism", "source", "target", "score", "convergence").collect())
+    got = sorted(tuple(x) for x in gen.run(makers, "all", 10, e).select("mechanism", "source", "target", "score", "convergence").collect())
     assert got == want and any(x[4] > 1 for x in got)
 
 
