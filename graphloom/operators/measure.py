@@ -64,10 +64,12 @@ def ideation(outputs: DataFrame, source: DataFrame) -> DataFrame:
     terms, a vocabulary, are looked for in the source by ``span_hits``.
     """
     found = lambda c: F.regexp_extract_all(c, F.lit(WORDS), F.lit(0))
+    # Words have no blanks, so all of a text are lowered at once.
+    lowered = lambda c: F.split(F.lower(F.array_join(found(c), " ")), " ")
     hashed = lambda w: F.array_distinct(F.transform(ngrams(w), lambda g: F.xxhash64(g)))
-    o = stored(outputs.where("text is not null").select("output", "arm", "text", hashed(F.transform(found(F.col("text")), F.lower)).alias("grams")), "outputs")
-    src = source.where("text is not null").select(F.monotonically_increasing_id().alias("doc"), F.lower("text").alias("norm"))
-    known = src.select(F.explode(hashed(F.transform(found(F.col("norm")), F.lower))).alias("g")).distinct().withColumn("known", F.lit(1))
+    o = stored(outputs.where("text is not null").select("output", "arm", "text", hashed(lowered(F.col("text"))).alias("grams")), "outputs")
+    src = source.where("text is not null").select(F.monotonically_increasing_id().alias("doc"), "text", F.lower("text").alias("norm"))
+    known = src.select(F.explode(hashed(lowered(F.col("text")))).alias("g")).distinct().withColumn("known", F.lit(1))
     per = stored(o.select("arm", "output", F.explode("grams").alias("g")).join(known, "g", "left"), "grams")
     pooled = per.groupBy("arm").agg((F.count_distinct("g") / F.count("*")).alias("diversity"))
     new = per.groupBy("output").agg((1 - F.sum(F.coalesce("known", F.lit(0))) / F.count("*")).alias("novelty"))

@@ -184,6 +184,14 @@ def test_ideation_leaves_out_what_it_cannot_judge(spark):
     assert got["b"]["unsupported_rate"] == 0.0 and got["b"]["diversity"] == 1.0
 
 
+def test_ngrams_take_their_words_once(spark):
+    from graphloom.functions import text as tx
+
+    df = spark.createDataFrame([("a1 b2 c3 d4",), ("a1 b2",), (None,)], "t string").select(tx.ngrams(tx.words("t")).alias("g"))
+    assert [x["g"] for x in df.collect()] == [["a1 b2 c3", "b2 c3 d4"], [], []]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+
+
 def test_erosion_needs_decay_that_quickens(spark):
     rows = [(s, i, x, n, 10) for s, xs, n in (("fast", [0.9, 0.89, 0.88, 0.8, 0.7, 0.55, 0.35], 10), ("steady", [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3], 10), ("few", [0.9, 0.89, 0.88, 0.8, 0.7, 0.55, 0.35], 5)) for i, x in enumerate(xs)]
     h = spark.createDataFrame(rows, "session string, cycle long, novelty double, submitted long, target long")
